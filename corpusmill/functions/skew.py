@@ -76,3 +76,16 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, n
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k).withColumn(
         name, F.col(name).cast("long")
     )
+
+
+def fits(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; reads no more than that to find out."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def salted(big: DataFrame, small: DataFrame, spread: Column, salts: int) -> tuple[DataFrame, DataFrame]:
+    """Add a ``salt`` to both sides: each row of ``big`` gets one, ``small`` is repeated for all."""
+    return (
+        big.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts))),
+        small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")),
+    )
