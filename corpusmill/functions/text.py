@@ -91,3 +91,8 @@ def token_overlap(query: Column, content: Column) -> Column:
     wanted = F.array_distinct(tokenize(query))
     hit = F.size(F.array_intersect(wanted, tokenize(content)))
     return F.when(F.size(wanted) > 0, hit / F.size(wanted)).otherwise(F.lit(0.0))
+
+
+def fixed(col: Column, digits: int) -> Column:
+    """Fixed decimals as C and Python print them: half-even on the exact binary value."""
+    return F.call_function("format_number", col.cast("double"), F.lit("0." + "0" * digits if digits else "0"))

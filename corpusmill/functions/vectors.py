@@ -58,11 +58,12 @@ Reducer = Callable[[pd.DataFrame], pd.DataFrame]
 
 def _compare(q_ids, q: np.ndarray, block: pd.DataFrame, metric: str, floor: float | None, k: int | None) -> pd.DataFrame:
     """Candidate pairs of one block: above the floor and, per query, not below the k-th score."""
-    sims = np.round(_similarity(q, _matrix(block["vector"]), metric), 9)
+    sims = _similarity(q, _matrix(block["vector"]), metric)
+    order = np.round(sims, 9)
     mask = np.ones_like(sims, dtype=bool) if floor is None else sims >= floor
     if k is not None and sims.shape[1] > k:
-        kth = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
-        mask &= sims >= kth[:, None]
+        kth = np.partition(order, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+        mask &= order >= kth[:, None]
     qi, vi = np.nonzero(mask)
     rest = {c: block[c].to_numpy()[vi] for c in block.columns if c != "vector"}
     return pd.DataFrame({"query_id": np.asarray(q_ids)[qi], **rest, "score": sims[qi, vi]})
@@ -126,12 +127,13 @@ def nearest(
     """(query_id, id, score, rank): exact best ``k`` per query, ties by id."""
 
     def cut(found: pd.DataFrame) -> pd.DataFrame:
-        ordered = found.sort_values(["query_id", "score", id], ascending=[True, False, True])
-        return ordered.groupby("query_id", sort=False).head(k)
+        tagged = found.assign(__order=found["score"].round(9))
+        ordered = tagged.sort_values(["query_id", "__order", id], ascending=[True, False, True])
+        return ordered.groupby("query_id", sort=False).head(k).drop(columns="__order")
 
     floor = threshold if threshold > 0 else None
     found = compare_blocks(queries, vectors.select(id, "vector"), metric, cut, floor, k)
-    return top_k(found, ["query_id"], [F.desc("score"), F.asc(id)], k)
+    return top_k(found, ["query_id"], [F.desc(F.round("score", 9)), F.asc(id)], k)
 
 
 def first_similar(queries: DataFrame, entries: DataFrame, floor: float, order: list[str]) -> DataFrame:
