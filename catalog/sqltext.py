@@ -57,3 +57,8 @@ def heading_level(x: str, nxt: str) -> str:
         when {rx(x, P.CHAPTER_HEADING)} then 1
         when coalesce({rx(nxt, P.DATE_RANGE)}, false) then 2
         when length({x}) <= 28 and {rx(x, P.HEADING_WORD)} then 1 else 2 end)"""
+
+
+def any_rule(x: str, patterns: tuple[str, ...]) -> str:
+    joined = ("(?i)(" + ")|(".join(patterns) + ")").replace("'", "''")
+    return f"regexp_matches({x}, '{joined}')"
