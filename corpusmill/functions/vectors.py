@@ -144,3 +144,35 @@ def first_similar(queries: DataFrame, entries: DataFrame, floor: float, order: l
 
     found = compare_blocks(queries, entries, "cosine", cut, floor, None)
     return top_k(found, ["query_id"], [F.asc(c) for c in order], 1).drop("rank")
+
+
+def nearest_scoped(queries: DataFrame, members: DataFrame, k: int, id: str, metric: str = "l2") -> DataFrame:
+    """``nearest`` inside scopes: ``queries(query_id, scope_id, vector)`` against
+    ``members(scope_id, id, vector)``. A scope of any size is spread over blocks of vectors."""
+    asked = queries.select("query_id", "scope_id", "vector")
+    held = members.select("scope_id", id, "vector")
+    v_blocks = max(1, math.ceil(held.count() / VECTOR_BLOCK))
+    q_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+
+    def spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int, key: str) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).cast("long")
+        )
+
+    left = spread(asked, "qb", q_blocks, "vb", v_blocks, "query_id")
+    right = spread(held, "vb", v_blocks, "qb", q_blocks, id)
+    types = {f.name: f.dataType.simpleString() for f in [*asked.schema.fields, *held.schema.fields]}
+    schema = f"query_id {types['query_id']}, {id} {types[id]}, score double"
+
+    def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or v.empty:
+            return pd.DataFrame(columns=["query_id", id, "score"])
+        found = _compare(q["query_id"].tolist(), _matrix(q["vector"]), v[[id, "vector"]], metric, None, k)
+        tagged = found.assign(__order=found["score"].round(9)).sort_values(
+            ["query_id", "__order", id], ascending=[True, False, True]
+        )
+        return tagged.groupby("query_id", sort=False).head(k)[["query_id", id, "score"]]
+
+    keys = ("scope_id", "qb", "vb")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+    return top_k(found, ["query_id"], [F.desc(F.round("score", 9)), F.asc(id)], k)
