@@ -83,9 +83,25 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def each(n: int) -> Column:
+    """Repeat a row for every number below ``n``."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
 def salted(big: DataFrame, small: DataFrame, spread: Column, salts: int) -> tuple[DataFrame, DataFrame]:
     """Add a ``salt`` to both sides: each row of ``big`` gets one, ``small`` is repeated for all."""
     return (
         big.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts))),
-        small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")),
+        small.withColumn("salt", each(salts)),
     )
+
+
+def previous_time(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], segment: Column, name: str) -> DataFrame:
+    """Add the time of the key's row before (null for its first), sorting one segment at a time."""
+    tagged = df.withColumn("__segment", segment)
+    last = tagged.groupBy(*keys, "__segment").agg(F.max(ts).alias("__last"))
+    before = Window.partitionBy(*keys).orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, "__segment", F.max("__last").over(before).alias("__carried"))
+    inside = Window.partitionBy(*keys, "__segment").orderBy(*order)
+    out = tagged.withColumn("__lag", F.lag(ts).over(inside)).join(carried, [*keys, "__segment"])
+    return out.withColumn(name, F.coalesce("__lag", "__carried")).drop("__lag", "__carried", "__segment")

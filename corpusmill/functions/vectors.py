@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.skew import fits, top_k
+from corpusmill.functions.skew import each, fits, top_k
 
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 20_000
@@ -106,9 +106,7 @@ def compare_blocks(
     v_blocks = max(1, math.ceil(vectors.count() / VECTOR_BLOCK))
 
     def spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int, key: Column) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).cast("long")
-        )
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(other, each(n_other))
 
     left = spread(queries, "qb", q_blocks, "vb", v_blocks, F.col("query_id"))
     right = spread(vectors, "vb", v_blocks, "qb", q_blocks, F.struct(*[f.name for f in others]))
@@ -155,9 +153,7 @@ def nearest_scoped(queries: DataFrame, members: DataFrame, k: int, id: str, metr
     q_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
 
     def spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int, key: str) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).cast("long")
-        )
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(other, each(n_other))
 
     left = spread(asked, "qb", q_blocks, "vb", v_blocks, "query_id")
     right = spread(held, "vb", v_blocks, "qb", q_blocks, id)

@@ -33,11 +33,10 @@ class Index(NamedTuple):
 
 def no_retrieval(queries: DataFrame, index: Index) -> DataFrame:
     """No hits, in the shape of hits."""
-    empty = queries.select("query_id").limit(0).join(index.chunks.select("chunk_id", "text", "source").limit(0), F.lit(False))
-    return empty.select(
-        "query_id", "chunk_id", F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("score"),
-        F.lit("hybrid").alias("match_type"), "text", "source",
-    )
+    types = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *index.chunks.schema.fields]}
+    shape = f"""query_id {types['query_id']}, chunk_id {types['chunk_id']}, rank long, score double, match_type string,
+        text string, source {types['source']}"""
+    return queries.sparkSession.createDataFrame([], shape)
 
 
 def single_step(
@@ -54,7 +53,8 @@ def single_step(
         if "element_type" in chunks.columns:
             held = members.join(chunks.select("chunk_id", "element_type", "text"), "chunk_id")
             found = fusion.structure_search(routing.query_intent(scoped, pack), held)
-            structural = found.withColumn("match_type", F.lit("keyword"))
+            # few rows, used three times below: written once
+            structural = cut_lineage(found.withColumn("match_type", F.lit("keyword")))
             rest = queries.join(structural.select("query_id").distinct(), "query_id", "left_anti")
         inside = rest.filter("scope_id is not null")
         free = rest.filter("scope_id is null")
