@@ -137,29 +137,39 @@ def bm25_topk_scoped(
 ) -> DataFrame:
     """BM25 where document counts, lengths and term weights are those of the query's scope.
 
-    ``queries(query_id, query, scope_id)``; statistics are computed once per scope, not per query.
+    ``queries(query_id, query, scope_id)``; statistics are computed once per distinct set of
+    clauses, not per query.
     """
     small = fits(queries, BROADCAST_QUERIES)
-    members = scope_members(scopes, chunks, id)
-    inside = chunks.select(id, text).join(members, id)
-    postings = build_postings(inside, id, text, ("scope_id",))
-    totals = inside.groupBy("scope_id").agg(
-        F.count("*").alias("n_docs"), F.avg(F.size(T.tokenize(F.col(text)))).alias("mean_length")
+    keyed = scopes.withColumn(
+        "scope_key",
+        F.sha2(
+            F.to_json(F.struct(
+                "session_id", F.array_sort(F.array_distinct("document_ids")).alias("d"),
+                F.array_sort(F.array_distinct("sources")).alias("s"),
+            )), 256,
+        ),
     )
-    weighed = (
-        postings.groupBy("scope_id", "term").agg(F.count("*").alias("df")).join(totals, "scope_id")
-        .withColumn("raw", raw_idf(F.col("n_docs"), F.col("df")))
+    distinct = keyed.dropDuplicates(["scope_key"]).drop("scope_id").withColumnRenamed("scope_key", "scope_id")
+    members = scope_members(distinct, chunks, id).withColumnRenamed("scope_id", "scope_key")
+    # every document is tokenised once, whatever number of scopes it is in
+    inside = build_postings(chunks, id, text).join(members, id)
+    vocabulary = inside.groupBy("scope_key", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    sizes = members.groupBy("scope_key").agg(F.count("*").alias("n_docs"))
+    weighed = vocabulary.join(sizes, "scope_key").withColumn("raw", raw_idf(F.col("n_docs"), F.col("df")))
+    overall = weighed.groupBy("scope_key").agg(
+        F.avg("raw").alias("mean_idf"), (F.sum("cf") / F.first("n_docs")).alias("mean_length")
     )
-    means = weighed.groupBy("scope_id").agg(F.avg("raw").alias("mean_idf"))
     wanted = (
-        query_terms(queries).join(queries.select("query_id", "scope_id"), "query_id")
-        .join(weighed, ["scope_id", "term"]).join(means, "scope_id")
+        query_terms(queries)
+        .join(queries.select("query_id", "scope_id").join(keyed.select("scope_id", "scope_key"), "scope_id"), "query_id")
+        .join(weighed, ["scope_key", "term"]).join(overall, "scope_key")
         .select(
-            "query_id", "scope_id", "term", "mean_length",
+            "query_id", "scope_key", "term", "mean_length",
             (F.col("qtf") * F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw"))).alias("weight"),
         )
     )
-    matched = _join_terms(postings, wanted, id, ["scope_id", "term"], small)
+    matched = _join_terms(inside, wanted, id, ["scope_key", "term"], small)
     part = F.col("weight") * _score(F.col("tf"), F.col("doc_length"), F.col("mean_length"))
     scored = matched.groupBy("query_id", id).agg(F.sum(part).alias("score")).filter("score > 0")
     return top_k(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc(id)], k)
