@@ -165,19 +165,17 @@ def _(spark, sf):
 @query(
     "csv_sources",
     """with h as (select user_id as query_id, event_type || case when event_id % 2 = 0 and user_id % 3 != 0 then '.CSV' else '.txt' end as source,
-      row_number() over (partition by user_id order by event_id) as rank from events),
+      event_id as rank from events),
     own as (select query_id, source, min(rank) as position from h where lower(source) like '%.csv' group by all),
     sc as (select distinct user_id as query_id, event_type || '.csv' as source from events)
     select * from own union all select query_id, source, null from sc where query_id not in (select query_id from own)""",
 )
 def _(spark, sf):
-    from pyspark.sql import Window
-
     events = table(spark, sf, "events")
     is_csv = (F.col("event_id") % 2 == 0) & (F.col("user_id") % 3 != 0)
     hits = events.select(
         F.col("user_id").alias("query_id"), F.concat("event_type", F.when(is_csv, ".CSV").otherwise(".txt")).alias("source"),
-        F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("rank"),
+        F.col("event_id").alias("rank"),
     )
     scope = events.select(F.col("user_id").alias("query_id"), F.concat("event_type", F.lit(".csv")).alias("source"))
     return tables.csv_sources(hits, scope)

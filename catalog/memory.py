@@ -390,7 +390,7 @@ def _(spark, sf):
 
 @query(
     "merge_updates",
-    """with u as (select user_id as request_id, event_type as field, event_id as seq, case when event_type in ('click', 'view') then null else value end as value,
+    """with u as (select event_id // 10 as request_id, event_type as field, event_id as seq, case when event_type in ('click', 'view') then null else value end as value,
       case when event_type in ('click', 'view') then [event_id, (props->>'$.k')::bigint] end as items from events)
     select request_id, field, round(arg_max(value, seq) filter (where items is null), 6) as value,
       coalesce(string_agg(items[1] || ',' || items[2], ',' order by seq) filter (where items is not null), '') as items from u group by all""",
@@ -398,7 +398,7 @@ def _(spark, sf):
 def _(spark, sf):
     listed = F.col("event_type").isin("click", "view")
     updates = table(spark, sf, "events").select(
-        F.col("user_id").alias("request_id"), F.col("event_type").alias("field"), F.col("event_id").alias("seq"),
+        F.floor(F.col("event_id") / 10).alias("request_id"), F.col("event_type").alias("field"), F.col("event_id").alias("seq"),
         F.when(~listed, F.col("value")).alias("value"),
         F.when(listed, F.array("event_id", F.get_json_object("props", "$.k").cast("long"))).alias("items"),
     )

@@ -134,6 +134,7 @@ def bm25_topk_scoped(
     k: int = 10,
     id: str = "chunk_id",
     text: str = "text",
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """BM25 where document counts, lengths and term weights are those of the query's scope.
 
@@ -153,7 +154,8 @@ def bm25_topk_scoped(
     distinct = keyed.dropDuplicates(["scope_key"]).drop("scope_id").withColumnRenamed("scope_key", "scope_id")
     members = scope_members(distinct, chunks, id).withColumnRenamed("scope_id", "scope_key")
     # every document is tokenised once, whatever number of scopes it is in
-    inside = build_postings(chunks, id, text).join(members, id)
+    postings = build_postings(chunks, id, text) if postings is None else postings
+    inside = postings.join(members, id)
     vocabulary = inside.groupBy("scope_key", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     sizes = members.groupBy("scope_key").agg(F.count("*").alias("n_docs"))
     weighed = vocabulary.join(sizes, "scope_key").withColumn("raw", raw_idf(F.col("n_docs"), F.col("df")))

@@ -29,6 +29,7 @@ HITS = ("query_id", "chunk_id", "rank", "score", "match_type", "text", "source")
 class Index(NamedTuple):
     chunks: DataFrame
     vectors: DataFrame
+    postings: DataFrame | None = None  # a stored ``build_postings`` of the chunks, if there is one
 
 
 def no_retrieval(queries: DataFrame, index: Index) -> DataFrame:
@@ -44,7 +45,7 @@ def single_step(
     top_k: int = TOP_K, threshold: float = 0.0,
 ) -> DataFrame:
     """Structure first for scoped global questions; otherwise BM25 and vectors, fused and rescored."""
-    chunks, vectors = index
+    chunks, vectors, postings = index
     has_limit = "retrieval_top_k" in queries.columns
     rest, structural = queries, None
     if scopes is not None:
@@ -58,12 +59,14 @@ def single_step(
             rest = queries.join(structural.select("query_id").distinct(), "query_id", "left_anti")
         inside = rest.filter("scope_id is not null")
         free = rest.filter("scope_id is null")
-        words = lexical.bm25_topk(free, chunks, BM25_K).unionByName(lexical.bm25_topk_scoped(inside, scopes, chunks, BM25_K))
+        words = lexical.bm25_topk(free, chunks, BM25_K, postings=postings).unionByName(
+            lexical.bm25_topk_scoped(inside, scopes, chunks, BM25_K, postings=postings)
+        )
         near = dense.dense_topk(free.filter("vector is not null"), vectors, DENSE_K).unionByName(
             nearest_scoped(inside.filter("vector is not null"), members.join(vectors, "chunk_id"), DENSE_K, "chunk_id")
         )
     else:
-        words = lexical.bm25_topk(rest, chunks, BM25_K)
+        words = lexical.bm25_topk(rest, chunks, BM25_K, postings=postings)
         near = dense.dense_topk(rest.filter("vector is not null"), vectors, DENSE_K)
     fused = fusion.rrf_fuse(words, near).filter(F.col("rank") <= POOL)
     content = fusion.with_content(fused, chunks, ["text", "source"])
@@ -89,6 +92,9 @@ def multi_step(
     written out before the next, so plans stay short and a lost executor costs one round.
     """
     scope = ["scope_id"] if "scope_id" in queries.columns else []
+    if index.postings is None:
+        # every round reads the postings again, so they are written once
+        index = index._replace(postings=cut_lineage(lexical.build_postings(index.chunks)))
 
     def search(asked: DataFrame) -> DataFrame:
         """``asked(sub_id, query_id, query, vector, ...)``: hits keep the owning query."""
@@ -210,14 +216,15 @@ def adaptive_search(
 ) -> DataFrame:
     """Each query goes the way its class asks for; table answers come first. Adds ``strategy``.
 
-    Only the strategies named are planned; queries routed to others raise in ``route``'s output
-    by being absent, so name all that can occur.
+    Only the strategies named are planned; a query routed to another one takes the single step.
     """
     scoped = None
     if "scope_id" in queries.columns:
         queries = queries.withColumn("__scoped", F.col("scope_id").isNotNull())
         scoped = "__scoped"
     routed = routing.route(queries, pack, scoped=scoped)
+    planned = F.col("strategy").isin(*strategies)
+    routed = routed.withColumn("strategy", F.when(planned, F.col("strategy")).otherwise("single_step"))
     parts = None
     for name in strategies:
         own = routed.filter(F.col("strategy") == name).drop("strategy")

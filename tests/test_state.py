@@ -195,3 +195,29 @@ def test_index_life(spark, tmp_path):
     assert sorted(r["chunk_id"] for r in ix.index_read(spark, path).collect()) == ["c0", "c1", "c3", "c4"]
     ix.index_clear(spark, path)
     assert ix.index_count(spark, path) == 0 and ix.index_generation(spark, path) == 4
+
+
+def test_streams_agree_with_their_twins(spark, tmp_path):
+    """Two files, read one per batch, so state has to carry over."""
+    from corpusmill.streaming import stateful as st
+
+    rng = random.Random(4)
+    rows = [("a" if rng.random() < 0.7 else "b", i, i * 30.0, rng.random() < 0.4) for i in range(120)]
+    schema = "user string, event_id long, ts double, failed boolean"
+    for part in (rows[:60], rows[60:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    table = spark.createDataFrame(rows, schema)
+
+    def stream():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def pairs(df, column):
+        return sorted((r["event_id"], r[column]) for r in df.collect())
+
+    got = st.drain(st.stream_bucket(stream(), "user", 3, 1))
+    assert pairs(got, "allowed") == pairs(twins.token_bucket(table, "user", "ts", ["event_id"], 3, 1), "allowed")
+    got = st.drain(st.stream_breaker(stream(), "user"))
+    twin = twins.quality_breaker(table, "user", "ts", ["event_id"])
+    assert pairs(got, "status") == pairs(twin, "status") and pairs(got, "allowed") == pairs(twin, "allowed")
+    got = st.drain(st.stream_ttl_cache(stream(), "user", 100.0))
+    assert pairs(got, "hit") == pairs(twins.ttl_cache(table, "user", "ts", ["event_id"], 100.0), "hit")
