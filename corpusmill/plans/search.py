@@ -235,6 +235,8 @@ def adaptive_search(
             kwargs |= {"rewrites": rewrites, **multi}
         hits = run_strategy(name, own, index, **kwargs).withColumn("strategy", F.lit(name))
         parts = hits if parts is None else parts.unionByName(hits)
+    # a few rows per query, read below both for table answers and as hits: written once
+    parts = cut_lineage(parts)
     asked = routed.filter(matches(F.col("query"), pack["aggregate"]))
     contexts = parts.join(asked.select("query_id", "query"), "query_id").select("query_id", "query", "rank", "text")
     answers = aggregate_markdown(contexts, pack, budget_words).select(
