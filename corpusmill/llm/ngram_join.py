@@ -2,8 +2,9 @@
 
 The incidence of a document is its set of distinct 5-word shingles (64-bit hashes). Documents with equal
 sets are one row of the matrix. Rows can only reach the bound when they share an n-gram among the first
-n - ceil(t n) + 1 of each in one global order; the order puts frequent n-grams last. Rows that share such an
-n-gram, directly or over others, form a block. Blocks are multiplied with themselves column block by
+n - ceil(t n) + 1 of each in one global order; the order puts frequent n-grams last. Over these n-grams the product is taken first, in column
+blocks whose counts are summed; pairs that cannot reach their bound any more go. Rows that
+are left connected form a block. Blocks are multiplied with themselves column block by
 column block: overlap counts are accumulated, and a pair is dropped as soon as its count plus what is
 left of the shorter row stays below the bound that the two sizes give. A block too large for a task is
 cut into tiles; every two parts of it meet in one tile. A tile returns a spanning forest and the number of
@@ -27,13 +28,18 @@ from corpusmill.llm.common import binary_texts, components, mix, rolling, rows,
 #: same links, this one keeps blocks small.
 RANKED_NGRAMS = 100_000
 #: N-grams gathered before local counts are passed on.
-COUNTED_AT_ONCE = 2_000_000
+COUNTED_AT_ONCE = 4_000_000
+#: Rows from which on an n-gram is a node of the candidate graph instead of giving pairs.
+HOT_ROWS = 200
 #: Rows, and entries, of a block that one task multiplies.
 BLOCK_ROWS = 1024
 BLOCK_ENTRIES = 4_000_000
 #: Columns added to the overlap counts at once.
 COLUMN_BLOCK = 2048
 
+#: One n-gram of one row: its low bits, the row, the row's size, its n-grams here and where they end.
+POST = np.dtype([("ngram", "<u4"), ("row", "<i8"), ("n", "<u4"), ("q", "<u4"), ("theta", "<u4")])
+
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 
@@ -59,14 +65,15 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def frequent_ngrams(docs: DataFrame, k: int, limit: int = RANKED_NGRAMS) -> np.ndarray:
-    """The ``limit`` most frequent n-grams, rarest first, from counts over all documents."""
+def frequent_ngrams(docs: DataFrame, k: int, limit: int = RANKED_NGRAMS) -> tuple[np.ndarray, int]:
+    """The ``limit`` most frequent n-grams, rarest first, from counts over all documents, and how many
+    of them are not hot."""
     schema = pa.schema([("ngram", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held):
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            return rows(schema, (signed(values[n > 2]), n[n > 2]))
+            return rows(schema, (signed(values[n > 1]), n[n > 1]))
 
         held, size = [], 0
         for batch in batches:
@@ -81,37 +88,45 @@ def frequent_ngrams(docs: DataFrame, k: int, limit: int = RANKED_NGRAMS) -> np.n
             yield flush(held)
 
     counts = binary_texts(docs).mapInArrow(count, "ngram long, n long").groupBy("ngram").agg(F.sum("n").alias("n"))
-    top = counts.filter("n >= 8").orderBy(F.desc("n"), "ngram").limit(limit).collect()
-    return np.array([r.ngram for r in reversed(top)], dtype=np.int64).view(np.uint64)
+    top = counts.filter("n >= 4").orderBy(F.desc("n"), "ngram").limit(limit).collect()
+    return np.array([r.ngram for r in reversed(top)], dtype=np.int64).view(np.uint64), sum(r.n < HOT_ROWS for r in top)
 
 
-def incidence(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, row (id of the set, null if empty), and the set's first n-grams in the global order."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("prefix", pa.binary())])
+def incidence(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, cold: int) -> DataFrame:
+    """doc_id, n, row (id of the set, null if empty), the set's first n-grams in the global order, apart
+    from the hot ones among them, and theta, the place in that order up to which all are given."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("prefix", pa.binary()), ("hot", pa.binary()), ("theta", pa.int64())])
     order = np.argsort(frequent)
-    known, rank = frequent[order], order.astype(np.uint64) | np.uint64(1 << 63)
+    known, rank = frequent[order], order.astype(np.uint64) << np.uint64(32) | np.uint64(1 << 63)
+    first_hot, last = np.uint64(cold << 32 | 1 << 63), (1 << 32) - 1
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             for low, high, texts in slices(batch):
-                n, row, prefix = [], [], []
+                n, row, prefix, hot, theta = [], [], [], [], []
                 for s in shingle_sets(texts, k):
                     n.append(len(s))
                     if not len(s):
                         row.append(None)
                         prefix.append(b"")
+                        hot.append(b"")
+                        theta.append(0)
                         continue
                     key = s >> np.uint64(1)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         key = np.where(known[at] == s, rank[at], key)
-                    first = s[np.argsort(key, kind="stable")[: len(s) - needed(len(s), percent) + 1]]
+                    order = np.argsort(key, kind="stable")[: len(s) - needed(len(s), percent) + 1]
+                    first, key = s[order], key[order]
+                    q = int(np.searchsorted(key, first_hot))
                     row.append(int(signed(np.array([set_id(s)]))[0]))
-                    prefix.append(first.tobytes())
-                yield rows(schema, (ids.slice(low, high - low), n, row, prefix))
+                    prefix.append(first[:q].tobytes())
+                    hot.append(first[q:].tobytes())
+                    theta.append(int(key[-1] >> np.uint64(32)) if q == len(first) else last)
+                yield rows(schema, (ids.slice(low, high - low), n, row, prefix, hot, theta))
 
-    return binary_texts(docs, "doc_id").mapInArrow(build, "doc_id long, n long, row long, prefix binary")
+    return binary_texts(docs, "doc_id").mapInArrow(build, "doc_id long, n long, row long, prefix binary, hot binary, theta long")
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,55 +147,77 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def shared_ngrams(spark: SparkSession, distinct: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Edges (a, b) that connect all rows which share an n-gram of their prefixes.
+def candidate_links(spark: SparkSession, distinct: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect every two rows which may link.
 
-    A frequent n-gram is a node of its own, so its rows never meet in one task. The rows of any other
-    n-gram are brought together in compact blobs; each task passes on a spanning forest.
+    Rows of one n-gram meet in compact blobs; a task adds up what its column block gives for each pair, the
+    counts of all column blocks are summed, and pairs below their bound go: up to the smaller of two
+    prefix ends the overlap is known, beyond it no more than the rest of that row can be shared. An
+    n-gram of very many rows (``HOT_ROWS``) is a node of its own instead, so its rows never meet in one task.
     """
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = np.sort(frequent)
-    sent = pa.schema([("part", pa.int32()), ("ngrams", pa.binary()), ("owners", pa.binary())])
+    sent = pa.schema([("part", pa.int32()), ("posts", pa.binary())])
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32()), ("need", pa.int32())])
 
-    def spread(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = batch.column("prefix").to_pylist()
-            if not blobs:
-                continue
+            size = np.array([len(b) // 8 for b in blobs], dtype=np.int64)
             ngram = np.frombuffer(b"".join(blobs), np.uint64)
-            owner = np.repeat(np.asarray(batch.column("row")), [len(b) // 8 for b in blobs])
-            is_hot = np.isin(ngram, known)
-            if hot:
-                if is_hot.any():
-                    yield rows(edge, forest(signed(ngram[is_hot]), owner[is_hot]))
-                continue
-            ngram, owner = ngram[~is_hot], owner[~is_hot]
-            part = (ngram >> np.uint64(20)) % np.uint64(parts)
+            part = ((ngram >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            ngram, owner = ngram[order], owner[order]
+            post = np.empty(len(ngram), POST)
+            post["ngram"], post["q"] = ngram & np.uint64(0xFFFFFFFF), np.repeat(size, size)
+            for c in ("row", "n", "theta"):
+                post[c] = np.repeat(np.asarray(batch.column(c)), size)
+            post, cuts = post[order], np.searchsorted(part[order], np.arange(parts + 1))
             full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            yield rows(sent, (full, [ngram[cuts[p] : cuts[p + 1]].tobytes() for p in full], [owner[cuts[p] : cuts[p + 1]].tobytes() for p in full]))
+            yield rows(sent, (full, [post[cuts[p] : cuts[p + 1]].tobytes() for p in full]))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ngrams, owners = [], []
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for p, blob in zip(batch.column("part").to_pylist(), batch.column("posts").to_pylist(), strict=True):
+                blobs.setdefault(p, []).append(blob)
+        for p in list(blobs):
+            post = np.frombuffer(b"".join(blobs.pop(p)), POST)
+            order = np.lexsort((post["row"], post["ngram"]))
+            run = np.flatnonzero(np.diff(post["ngram"][order], prepend=np.uint32(0)) != 0)
+            first = np.union1d([0], run)
+            length = np.diff(np.append(first, len(post)))
+            i, j = [], []
+            for m in np.unique(length[length > 1]):
+                at = order[first[length == m][:, None] + np.arange(m)[None, :]]
+                u, v = np.triu_indices(int(m), 1)
+                for low in range(0, len(at), max(1, 1_000_000 // len(u))):
+                    some = at[low : low + max(1, 1_000_000 // len(u))]
+                    x, y = some[:, u].ravel(), some[:, v].ravel()
+                    n, o = post["n"][x].astype(np.int64), post["n"][y].astype(np.int64)
+                    fit = (100 * np.minimum(n, o) >= percent * np.maximum(n, o)) & (post["row"][x] != post["row"][y])
+                    i.append(x[fit])
+                    j.append(y[fit])
+            if not i:
+                continue
+            x, y = post[np.concatenate(i)], post[np.concatenate(j)]
+            both, at, count = np.unique(np.stack((x["row"], y["row"]), axis=1), axis=0, return_index=True, return_counts=True)
+            if not len(both):
+                continue
+            x, y = x[at], y[at]
+            left_x, left_y = x["n"].astype(np.int64) - x["q"], y["n"].astype(np.int64) - y["q"]
+            left = np.where(x["theta"] < y["theta"], left_x, np.where(x["theta"] > y["theta"], left_y, np.maximum(left_x, left_y)))
+            least = -(-percent * (x["n"].astype(np.int64) + y["n"]) // (100 + percent))
+            yield rows(pair, (both[:, 0], both[:, 1], count, least - left))
+
+    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ngrams += batch.column("ngrams").to_pylist()
-            owners += batch.column("owners").to_pylist()
-        if not ngrams:
-            return
-        ngram, owner = np.frombuffer(b"".join(ngrams), np.uint64), np.frombuffer(b"".join(owners), np.int64)
-        order = np.lexsort((owner, ngram))
-        ngram, owner = ngram[order], owner[order]
-        same = np.flatnonzero(ngram[1:] == ngram[:-1])
-        if len(same):
-            yield rows(edge, forest(owner[same], owner[same + 1]))
-
-    posts = distinct.select("row", "prefix")
-    cold = posts.mapInArrow(lambda x: spread(x, False), "part int, ngrams binary, owners binary")
-    cold = cold.repartition(parts // 8, "part").mapInArrow(meet, "a long, b long")
-    return cold.union(posts.mapInArrow(lambda x: spread(x, True), "a long, b long"))
+            blobs = batch.column("hot").to_pylist()
+            if any(blobs):
+                yield rows(edge, forest(np.frombuffer(b"".join(blobs), np.int64), np.repeat(np.asarray(batch.column("row")), [len(b) // 8 for b in blobs])))
+
+    cold = distinct.mapInArrow(spread, "part int, posts binary").repartition(parts // 8, "part").mapInArrow(meet, "a long, b long, c int, need int")
+    cold = cold.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).filter("c >= need").select("a", "b")
+    return cold.union(distinct.filter("length(hot) > 0").mapInArrow(hot, "a long, b long"))
 
 
 def product_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -222,11 +259,11 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, block_row
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = frequent_ngrams(docs, k)
-    matrix = cut_lineage(incidence(docs, k, percent, frequent))
+    frequent, cold = frequent_ngrams(docs, k)
+    matrix = cut_lineage(incidence(docs, k, percent, frequent, cold))
     distinct = matrix.filter("row is not null").dropDuplicates(["row"])
     size = matrix.filter("row is not null").groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("n").alias("n"))
-    candidates = components(shared_ngrams(spark, distinct, frequent))
+    candidates = components(candidate_links(spark, distinct, percent))
     member = cut_lineage(candidates.withColumnRenamed("node", "row").join(size, "row"))
     blocks = member.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("entries")).filter("m > 1")
     blocks = blocks.select("root", F.ceil(F.greatest(F.col("m") / block_rows, F.col("entries") / block_entries)).cast("int").alias("parts"))
