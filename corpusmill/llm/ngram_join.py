@@ -2,10 +2,10 @@
 
 The incidence of a document is its set of distinct 5-word shingles (64-bit hashes). Documents with equal
 sets are one row of the matrix. Rows can only reach the bound when they share an n-gram among the first
-n - ceil(t n) + 1 of each in one global order; the order puts frequent n-grams last. Over these n-grams the product is taken first, in column
-blocks whose counts are summed; pairs that cannot reach their bound any more go. Rows that
-are left connected form a block. Blocks are multiplied with themselves column block by
-column block: overlap counts are accumulated, and a pair is dropped as soon as its count plus what is
+n - ceil(t n) + 1 of each in one global order; the order puts frequent n-grams last. Over these n-grams the product is taken first, in
+column blocks whose counts are summed; pairs that cannot reach their bound any more go. Rows that are left
+connected form a block. Blocks are multiplied with themselves over their whole sets: overlap counts are
+accumulated column block by column block, and a pair is dropped as soon as its count plus what is
 left of the shorter row stays below the bound that the two sizes give. A block too large for a task is
 cut into tiles; every two parts of it meet in one tile. A tile returns a spanning forest and the number of
 links of each row, never its pairs.
@@ -29,6 +29,8 @@ from corpusmill.llm.common import binary_texts, components, mix, rolling, rows,
 RANKED_NGRAMS = 100_000
 #: N-grams gathered before local counts are passed on.
 COUNTED_AT_ONCE = 4_000_000
+#: Prefix n-grams gathered before they are sent to their column blocks.
+POSTS_AT_ONCE = 2_000_000
 #: Rows from which on an n-gram is a node of the candidate graph instead of giving pairs.
 HOT_ROWS = 200
 #: Rows, and entries, of a block that one task multiplies.
@@ -155,25 +157,36 @@ def candidate_links(spark: SparkSession, distinct: DataFrame, percent: int) -> D
     prefix ends the overlap is known, beyond it no more than the rest of that row can be shared. An
     n-gram of very many rows (``HOT_ROWS``) is a node of its own instead, so its rows never meet in one task.
     """
-    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = pa.schema([("part", pa.int32()), ("posts", pa.binary())])
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32()), ("need", pa.int32())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+
+        def flush() -> pa.RecordBatch:
+            post, part = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(part, kind="stable")
+            post, cuts = post[order], np.searchsorted(part[order], np.arange(parts + 1))
+            full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+            return rows(sent, (full, [post[cuts[p] : cuts[p + 1]].tobytes() for p in full]))
+
         for batch in batches:
             blobs = batch.column("prefix").to_pylist()
             size = np.array([len(b) // 8 for b in blobs], dtype=np.int64)
             ngram = np.frombuffer(b"".join(blobs), np.uint64)
-            part = ((ngram >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
             post = np.empty(len(ngram), POST)
             post["ngram"], post["q"] = ngram & np.uint64(0xFFFFFFFF), np.repeat(size, size)
             for c in ("row", "n", "theta"):
                 post[c] = np.repeat(np.asarray(batch.column(c)), size)
-            post, cuts = post[order], np.searchsorted(part[order], np.arange(parts + 1))
-            full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            yield rows(sent, (full, [post[cuts[p] : cuts[p + 1]].tobytes() for p in full]))
+            held.append((post, ((ngram >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)))
+            waiting += len(post)
+            if waiting > POSTS_AT_ONCE:
+                yield flush()
+                held, waiting = [], 0
+        if held:
+            yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[bytes]] = {}
@@ -215,7 +228,7 @@ def candidate_links(spark: SparkSession, distinct: DataFrame, percent: int) -> D
             if any(blobs):
                 yield rows(edge, forest(np.frombuffer(b"".join(blobs), np.int64), np.repeat(np.asarray(batch.column("row")), [len(b) // 8 for b in blobs])))
 
-    cold = distinct.mapInArrow(spread, "part int, posts binary").repartition(parts // 8, "part").mapInArrow(meet, "a long, b long, c int, need int")
+    cold = distinct.mapInArrow(spread, "part int, posts binary").repartition(parts // 2, "part").mapInArrow(meet, "a long, b long, c int, need int")
     cold = cold.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).filter("c >= need").select("a", "b")
     return cold.union(distinct.filter("length(hot) > 0").mapInArrow(hot, "a long, b long"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.ngram_join import ngram_jaccard_join
+from corpusmill.llm.substring_dedup import substring_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +47,21 @@ _LOW = WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
 )
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read(spark, sf_dir, "documents"))
+
+
+_RAW = WORDS.format("text")
+
+
+@query(
+    "op4_substring_dedup",
+    f"""with w as (select doc_id, coalesce({_RAW}, []) w from documents),
+    s as (select doc_id, unnest(range(1, len(w) - 18)) p, w from w where len(w) >= 20),
+    g as (select doc_id, p, row_number() over (partition by array_to_string(w[p:p + 19], ' ') order by doc_id, p) r from s),
+    c as (select distinct doc_id, unnest(range(p, p + 20)) p from g where r > 1),
+    k as (select u.doc_id, count(c.p) g, coalesce(string_agg(x, ' ' order by p) filter (c.p is null), '') t
+        from (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from w) u left join c using (doc_id, p) group by 1)
+    select w.doc_id, len(w)::bigint n_words, coalesce(g, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256
+    from w left join k using (doc_id)""",
+)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read(spark, sf_dir, "documents"))
