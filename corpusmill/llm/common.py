@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,7 +104,7 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, end row, texts) of runs of rows with about ``limit`` bytes; null texts come as empty."""
     column = batch.column(text)
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+    size = np.asarray(pc.fill_null(pc.binary_length(column), 0))
     total, low = np.cumsum(size), 0
     while low < len(size):
         before = total[low - 1] if low else 0
