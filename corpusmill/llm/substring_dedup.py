@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.session import cut_lineage
-from corpusmill.llm.common import binary_texts, pack_gaps, rolling, rows, slices, unpack_gaps, word_hashes
+from corpusmill.llm.common import mix, pack_gaps, rolling, rows, slices, unpack_gaps, word_hashes
 
 #: Hashes gathered in a task before they are sent to their ranges.
 SENT_AT_ONCE = 3_000_000
@@ -34,6 +34,26 @@ _SENT = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("sizes", pa.bin
 _BACK = pa.schema([("doc_id", pa.int64()), ("places", pa.binary())])
 
 
+def _blobs(part: np.ndarray, parts: int, doc: np.ndarray, place: np.ndarray, value: np.ndarray, width: int) -> pa.RecordBatch:
+    """One blob for each part; places ascend within a document, and a document's places are side by side."""
+    order = np.argsort(part, kind="stable")
+    doc, place, value = doc[order], place[order], value[order]
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    out = [[], [], [], [], []]
+    for p in range(parts):
+        a, b = cuts[p], cuts[p + 1]
+        if a == b:
+            continue
+        first = np.concatenate(([0], np.flatnonzero(np.diff(doc[a:b])) + 1))
+        size = np.diff(np.append(first, b - a))
+        last = place[a:b][first + size - 1]
+        at = place[a:b] + np.repeat(np.cumsum(np.concatenate(([0], last[:-1]))), size)  # one ascending run over all documents
+        raw = value[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        for column, x in zip(out, (p, doc[a:b][first].tobytes(), pack_gaps(np.cumsum(size)), pack_gaps(at), raw.tobytes()), strict=True):
+            column.append(x)
+    return rows(_SENT, out)
+
+
 class _Sender:
     """Gathers (document, place, hash) and cuts them by hash range."""
 
@@ -45,29 +65,12 @@ class _Sender:
         self.size += len(place)
 
     def flush(self) -> pa.RecordBatch:
-        doc = np.array([d for d, _, _ in self.held], dtype=np.int64)
-        owner = np.repeat(np.arange(len(doc)), [len(p) for _, p, _ in self.held])
+        doc = np.repeat(np.array([d for d, _, _ in self.held], dtype=np.int64), [len(p) for _, p, _ in self.held])
         place = np.concatenate([p for _, p, _ in self.held])
         value = np.concatenate([v for _, _, v in self.held])
-        part = (value % np.uint64(self.parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        owner, place, value = owner[order], place[order], value[order]
-        cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
-        out = [[], [], [], [], []]
-        for p in range(self.parts):
-            a, b = cuts[p], cuts[p + 1]
-            if a == b:
-                continue
-            used, first = np.unique(owner[a:b], return_index=True)
-            size = np.diff(np.append(first, b - a))
-            at = place[a:b].copy()
-            start = np.cumsum(np.concatenate(([0], at[first + size - 1][:-1])))
-            at += np.repeat(start, size)  # one ascending run over all documents of the blob
-            raw = (value[a:b] // np.uint64(self.parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width]
-            for column, x in zip(out, (p, doc[used].tobytes(), pack_gaps(np.cumsum(size)), pack_gaps(at), raw.tobytes()), strict=True):
-                column.append(x)
         self.held, self.size = [], 0
-        return rows(_SENT, out)
+        n = np.uint64(self.parts)
+        return _blobs((value % n).astype(np.int32), self.parts, doc, place, value // n, self.width)
 
 
 def _received(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -91,23 +94,33 @@ def _received(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[n
         yield np.concatenate(doc), np.concatenate(place), np.concatenate(value)
 
 
-def _by_document(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    ids, first = np.unique(doc, return_index=True)
-    ends = np.append(first[1:], len(doc))
-    return rows(_BACK, (ids, [pack_gaps(place[a:b]) for a, b in zip(first, ends, strict=True)]))
+def _replies(found: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """What a task found, (document, place) in any order, as one blob for each group of documents."""
+    found = list(found)
+    if found:
+        doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order]
+        yield _blobs((mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int32), parts, doc, place, np.zeros(len(doc), np.uint64), 0)
+
 
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for doc, place, _ in _received(batches, 0):
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order]
+        ids, first = np.unique(doc, return_index=True)
+        ends = np.append(first[1:], len(doc))
+        yield rows(_BACK, (ids, [pack_gaps(place[a:b]) for a, b in zip(first, ends, strict=True)]))
 
-def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
+
+def repeated_windows(texts: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, places): starts of windows whose words also start at an earlier place.
 
-    Needs unique, non-null doc_id; see ``substring_dedup`` for the general case.
+    Needs doc_id, unique and not null, and the text as bytes; see ``substring_dedup`` for the general case.
     """
-    spark, block = docs.sparkSession, (window + 1) // 2
+    spark, block = texts.sparkSession, (window + 1) // 2
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = 2 * count
-    texts = binary_texts(docs, "doc_id")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(parts, ANCHOR_BYTES)
@@ -124,7 +137,7 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
         if sender.size:
             yield sender.flush()
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for doc, place, value in _received(batches, ANCHOR_BYTES):
             order = np.argsort(value, kind="stable")
             v = value[order]
@@ -138,7 +151,7 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
             anchors = np.unique(v[place[order] % block == 0])
             hit = order[np.isin(v, anchors)]
             if len(hit):
-                yield _by_document(doc[hit], place[hit])
+                yield doc[hit], place[hit]
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(parts, 8)
@@ -149,7 +162,7 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
                 w = rolling(hashes, window)
                 for i, (a, b) in enumerate(zip(begin[:-1], begin[1:], strict=True)):
                     n = b - a - window + 1
-                    at = np.unique(np.concatenate([unpack_gaps(x) for x in hits[low + i]]))
+                    at = unpack_gaps(hits[low + i])
                     edge = np.zeros(n + 1, np.int64)
                     np.add.at(edge, np.clip(at - block + 1, 0, n), 1)
                     np.add.at(edge, np.clip(at + 1, 0, n), -1)
@@ -161,18 +174,21 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
         if sender.size:
             yield sender.flush()
 
-    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for doc, place, value in _received(batches, 8):
             order = np.lexsort((place, doc, value))
             v = value[order]
             again = order[1:][v[1:] == v[:-1]]
             if len(again):
-                yield _by_document(doc[again], place[again])
+                yield doc[again], place[again]
+
+    def back(df: DataFrame, find) -> DataFrame:
+        sent = df.repartition(count, "part").mapInArrow(lambda x: _replies(find(x), parts), _PLACES)
+        return sent.repartition(count, "part").mapInArrow(_by_document, "doc_id long, places binary")
 
-    hits = texts.mapInArrow(probe, _PLACES).repartition(count, "part").mapInArrow(match, "doc_id long, places binary")
-    hits = hits.groupBy("doc_id").agg(F.collect_list("places").alias("hits"))
-    near = docs.join(hits, "doc_id").select("doc_id", "hits", F.col("text").cast("binary").alias("text"))
-    return near.mapInArrow(extend, _PLACES).repartition(count, "part").mapInArrow(later, "doc_id long, places binary")
+    hits = back(texts.mapInArrow(probe, _PLACES), match).withColumnRenamed("places", "hits")
+    near = texts.join(hits, "doc_id").select("doc_id", "hits", "text")
+    return back(near.mapInArrow(extend, _PLACES), later)
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = False) -> DataFrame:
@@ -185,10 +201,15 @@ def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = False)
     Other columns are ignored. Windows are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    repeated = docs.filter("text is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 or doc_id is null").limit(1)
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 or doc_id is null").limit(1)
     if repeated.count():
         return _with_repeated_ids(docs, window, with_text)
-    return _rebuild(docs, repeated_windows(docs, window), window, with_text).drop("key")
+    return _rebuild(_bytes(docs), window, with_text).drop("key")
+
+
+def _bytes(docs: DataFrame, *keep: str) -> DataFrame:
+    """Both joins with the texts start from this, so that the texts are dealt out once."""
+    return docs.filter("doc_id is not null").select("doc_id", *keep, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
 def _with_repeated_ids(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -198,12 +219,12 @@ def _with_repeated_ids(docs: DataFrame, window: int, with_text: bool) -> DataFra
     ordered = docs.repartitionByRange(count, F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     ordered = cut_lineage(ordered.select("doc_id", "text", F.monotonically_increasing_id().alias("number")))
     numbered = ordered.select(F.col("number").alias("doc_id"), "text", F.col("doc_id").alias("key"))
-    out = _rebuild(numbered, repeated_windows(numbered.select("doc_id", "text"), window), window, with_text)
+    out = _rebuild(_bytes(numbered, "key"), window, with_text)
     return out.drop("doc_id").withColumnRenamed("key", "doc_id").select("doc_id", *[c for c in out.columns if c not in ("doc_id", "key")])
 
 
-def _rebuild(docs: DataFrame, places: DataFrame, window: int, with_text: bool) -> DataFrame:
-    keyed = "key" in docs.columns
+def _rebuild(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
+    keyed = "key" in texts.columns
     fields = [("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     fields += [("text", pa.string())] if with_text else []
     schema = pa.schema(fields)
@@ -217,7 +238,7 @@ def _rebuild(docs: DataFrame, places: DataFrame, window: int, with_text: bool) -
                     words, at = text.split(), hits[low + i]
                     n, removed = len(words), 0
                     if at:
-                        start = np.concatenate([unpack_gaps(x) for x in at])
+                        start = unpack_gaps(at)
                         edge = np.bincount(start, minlength=n + 1) - np.bincount(start + window, minlength=n + 1)
                         gone = np.cumsum(edge[:n]) > 0
                         removed = int(gone.sum())
@@ -228,8 +249,7 @@ def _rebuild(docs: DataFrame, places: DataFrame, window: int, with_text: bool) -
                         column.append(x)
                 yield rows(schema, (batch.column("doc_id").slice(low, high - low), batch.column("key").slice(low, high - low), *out[: 4 if with_text else 3]))
 
-    gathered = places.groupBy("doc_id").agg(F.collect_list("places").alias("hits"))
     key = F.col("key") if keyed else F.lit(None).cast("long")
-    joined = docs.join(gathered, "doc_id", "left").select("doc_id", key.alias("key"), "hits", F.col("text").cast("binary").alias("text"))
+    joined = texts.join(repeated_windows(texts, window).withColumnRenamed("places", "hits"), "doc_id", "left").select("doc_id", key.alias("key"), "hits", "text")
     spec = "doc_id long, key long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "")
     return joined.mapInArrow(rebuild, spec)
