@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.ngram_join import ngram_jaccard_join
+from corpusmill.llm.packing import best_fit_pack
 from corpusmill.llm.substring_dedup import substring_dedup
+from corpusmill.llm.token_files import token_round_trip
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +67,19 @@ _RAW = WORDS.format("text")
 )
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op10_token_files")
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))

@@ -87,7 +87,7 @@ def _received(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[n
             last = at[np.cumsum(size) - 1]
             at = at - np.repeat(np.concatenate(([0], last[:-1])), size)
             raw = np.zeros((len(at), 8), np.uint8)
-            raw[:, :width] = np.frombuffer(hashes, np.uint8).reshape(-1, width)
+            raw[:, :width] = np.frombuffer(hashes, np.uint8).reshape(len(at), width)
             doc.append(np.repeat(np.frombuffer(docs, np.int64), size))
             place.append(at)
             value.append(raw.view("<u8").ravel())
