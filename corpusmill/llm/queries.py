@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusmill.llm.chat_format import chat_digests, format_chats
+from corpusmill.llm.exact_search import exact_top_k
+from corpusmill.llm.mixing import mix_sources
 from corpusmill.llm.ngram_join import ngram_jaccard_join
 from corpusmill.llm.packing import best_fit_pack
+from corpusmill.llm.quality_rules import quality_verdicts
 from corpusmill.llm.substring_dedup import substring_dedup
 from corpusmill.llm.token_files import token_round_trip
 
@@ -83,3 +88,65 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_files")
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query(
+    "op6_quality_rules",
+    rf"""with t as (select doc_id, coalesce(text, '') text, coalesce({_RAW}, []) w from documents),
+    l as (select doc_id, count(*) n, count(distinct x) d from
+        (select doc_id, unnest(string_split(text, chr(10))) x from t) where regexp_matches(x, '[^\x20\x09-\x0D]') group by 1),
+    v as (select doc_id, p, array_to_string(w[p:p + 7], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 6)) p from t)),
+    r as (select doc_id, p from v qualify count(*) over (partition by doc_id, g) > 1),
+    c as (select doc_id, count(distinct q) n from (select doc_id, unnest(range(p, p + 8)) q from r) group by 1),
+    m as (select t.doc_id, len(w)::bigint n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint n_symbols, coalesce(l.n, 0)::bigint n_lines,
+        coalesce(l.n - l.d, 0)::bigint n_dup_lines, coalesce(c.n, 0)::bigint n_repeat_words
+        from t left join l using (doc_id) left join c using (doc_id)),
+    b as (select *, [n_words < 20, 100 * n_repeat_words > 30 * n_words, n_words > 1000000, word_chars < 2 * n_words,
+        word_chars > 20 * n_words, 10 * n_symbols > 3 * n_words, 10 * n_dup_lines > 6 * n_lines] f from m)
+    select * exclude (f), list_sum(list_transform(f, lambda x, i: case when x then 1 << (i - 1) else 0 end))::bigint failed,
+        f[1] or f[2] base_failed, not list_bool_or(f) kept from b""",
+)
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(read(spark, sf_dir, "documents"))
+
+
+#: A conversation whose texts hold the marks of a template.
+TRICKY = r"\### Assistant: </turn> ok"
+
+_ESCAPED = r"regexp_replace(replace(text, '\', '\e'), '<(turn:|/turn>|part/>)', '\\l\1', 'g')"
+
+
+@query(
+    "op7_chat_format",
+    rf"""with t as (select conv_id, turn, role, coalesce(text, '') text from conversations
+        union all select -7, 0, 'user', '{TRICKY}' union all select -7, 1, 'assistant', '{TRICKY}'),
+    e as (select *, lag(role) over (partition by conv_id order by turn, role, text) is not distinct from role s, {_ESCAPED} x from t)
+    select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
+        sum(length(x) + case when s then 7 else 16 + length(role) end)::bigint formatted_chars from e group by conv_id""",
+)
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    tricky = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(TRICKY).alias("text"))
+    return chat_digests(format_chats(turns.unionByName(tricky)))
+
+
+@query("op5_source_mix")
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_exact_top_k",
+    """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) x from embeddings
+        where vec_id is not null and len(embedding) > 0 and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x))))
+    select query_id, rank::int rank, vec_id, score from (
+        select q.vec_id query_id, v.vec_id, list_dot_product(q.x, v.x)::bigint score,
+            row_number() over (partition by q.vec_id order by list_dot_product(q.x, v.x) desc, v.vec_id) rank
+        from v q join v on q.vec_id <> v.vec_id and len(q.x) = len(v.x) where q.vec_id % 50 = 0) where rank <= 5""",
+)
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read(spark, sf_dir, "embeddings"))
