@@ -13,6 +13,7 @@ from corpusmill.llm.packing import best_fit_pack
 from corpusmill.llm.quality_rules import quality_verdicts
 from corpusmill.llm.substring_dedup import substring_dedup
 from corpusmill.llm.token_files import token_round_trip
+from corpusmill.llm.toxicity import fit_toxicity, is_held_out, score_toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +151,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(read(spark, sf_dir, "embeddings"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
