@@ -152,6 +152,22 @@ def rows(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def numbered_rows(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with numbers that ascend with doc_id, then the other columns, nulls first; kept in the shared folder.
+
+    For tables in which ids are null or come more than once.
+    """
+    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.asc_nulls_first(c) for c in ("doc_id", *sorted(c for c in docs.columns if c != "doc_id"))]
+    ordered = docs.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    return cut_lineage(ordered.withColumn(name, F.monotonically_increasing_id()))
+
+
+def unique_ids(docs: DataFrame) -> bool:
+    """Whether doc_id is never null and never repeated."""
+    return not docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 or doc_id is null").limit(1).count()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of an edge table; root is the smallest node it can reach.
 

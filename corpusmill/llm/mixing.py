@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.session import cut_lineage
-from corpusmill.llm.common import WORD
+from corpusmill.llm.common import WORD, numbered_rows, unique_ids
 
 #: Sizes of one class differ by at most this factor.
 CLASS_RATIO = 1.05
@@ -145,3 +145,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: f
     return planned.join(targets.select(F.col("source").alias("_source"), "source_size", "target"), equal(["source"])).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
+
+
+def mix_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all columns; needs doc_id, text and source."""
+    name = "__row"
+    rows = docs.withColumn(name, F.col("doc_id").cast("long")) if unique_ids(docs) else numbered_rows(docs, name)
+    mix = mix_sources(rows.select(F.col(name).alias("doc_id"), "text", "source"), weights, budget, cap).select(F.col("doc_id").alias(name), "copies")
+    taken = rows.join(mix.filter("copies > 0"), name)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusmill.llm.chat_format import chat_digests, format_chats
 from corpusmill.llm.exact_search import exact_top_k
+from corpusmill.llm.license_scan import scan_licenses
 from corpusmill.llm.mixing import mix_sources
 from corpusmill.llm.ngram_join import ngram_jaccard_join
 from corpusmill.llm.packing import best_fit_pack
@@ -158,3 +160,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.session import cut_lineage
-from corpusmill.llm.common import mix, pack_gaps, rolling, rows, slices, unpack_gaps, word_hashes
+from corpusmill.llm.common import mix, numbered_rows, pack_gaps, rolling, rows, slices, unique_ids, unpack_gaps, word_hashes
 
 #: Hashes gathered in a task before they are sent to their ranges.
 SENT_AT_ONCE = 3_000_000
@@ -187,69 +186,57 @@ def repeated_windows(texts: DataFrame, window: int = 20) -> DataFrame:
         return sent.repartition(count, "part").mapInArrow(_by_document, "doc_id long, places binary")
 
     hits = back(texts.mapInArrow(probe, _PLACES), match).withColumnRenamed("places", "hits")
-    near = texts.join(hits, "doc_id").select("doc_id", "hits", "text")
+    near = texts.join(hits, "doc_id", "left").filter("hits is not null").select("doc_id", "hits", "text")
     return back(near.mapInArrow(extend, _PLACES), later)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = False) -> DataFrame:
-    """Remove each word that lies in a window of ``window`` words whose sequence also starts earlier.
-
-    Earlier is a smaller doc_id, or a smaller place in the same document; windows are judged on the input.
-    Returns doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space) and, if asked for,
-    the kept text; one row per input row. Null and empty texts have no words. Rows that share a doc_id
-    are ordered by their text, and of equal rows all but one count as later; a null doc_id is the smallest.
-    Other columns are ignored. Windows are told apart by 64-bit hashes.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 or doc_id is null").limit(1)
-    if repeated.count():
-        return _with_repeated_ids(docs, window, with_text)
-    return _rebuild(_bytes(docs), window, with_text).drop("key")
-
-
-def _bytes(docs: DataFrame, *keep: str) -> DataFrame:
-    """Both joins with the texts start from this, so that the texts are dealt out once."""
-    return docs.filter("doc_id is not null").select("doc_id", *keep, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-
-
-def _with_repeated_ids(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """The same for tables in which an id is null or comes more than once: rows get numbers in (doc_id, text)
-    order, range by range, and keep them in a table of the shared folder."""
-    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(count, F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    ordered = cut_lineage(ordered.select("doc_id", "text", F.monotonically_increasing_id().alias("number")))
-    numbered = ordered.select(F.col("number").alias("doc_id"), "text", F.col("doc_id").alias("key"))
-    out = _rebuild(_bytes(numbered, "key"), window, with_text)
-    return out.drop("doc_id").withColumnRenamed("key", "doc_id").select("doc_id", *[c for c in out.columns if c not in ("doc_id", "key")])
-
-
-def _rebuild(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
-    keyed = "key" in texts.columns
-    fields = [("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    fields += [("text", pa.string())] if with_text else []
-    schema = pa.schema(fields)
+def dedup_texts(docs: DataFrame, window: int = 20) -> DataFrame:
+    """keep (all columns but the text), n_words, n_removed, kept_sha256 and kept (the text without its repeats; as it was if it
+    has none); see ``substring_dedup``."""
+    keep = F.struct(*[c for c in docs.columns if c != "text"])
+    text = F.col("text").cast("string").cast("binary")
+    if unique_ids(docs):
+        row = F.col("doc_id").cast("long")
+    else:
+        docs, row = numbered_rows(docs, "__row"), F.col("__row")
+    # Both joins with the texts start from this, so that the texts are dealt out once.
+    texts = docs.select(row.alias("doc_id"), keep.alias("keep"), text.alias("text")).filter("doc_id is not null")
+    spec = texts.select("keep").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = batch.column("hits").to_pylist()
+            hits, there = batch.column("hits").to_pylist(), batch.column("text").is_valid().to_pylist()
             for low, high, texts in slices(batch):
                 out = [[], [], [], []]
-                for i, text in enumerate(texts):
-                    words, at = text.split(), hits[low + i]
-                    n, removed = len(words), 0
-                    if at:
-                        start = unpack_gaps(at)
+                for i, text in enumerate(texts, low):
+                    words, n, removed = text.split(), 0, 0
+                    n = len(words)
+                    if hits[i]:
+                        start = unpack_gaps(hits[i])
                         edge = np.bincount(start, minlength=n + 1) - np.bincount(start + window, minlength=n + 1)
                         gone = np.cumsum(edge[:n]) > 0
                         removed = int(gone.sum())
                         words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     kept = b" ".join(words)
-                    found = (n, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if removed else text.decode())
+                    found = (n, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if removed else text.decode() if there[i] else None)
                     for column, x in zip(out, found, strict=True):
                         column.append(x)
-                yield rows(schema, (batch.column("doc_id").slice(low, high - low), batch.column("key").slice(low, high - low), *out[: 4 if with_text else 3]))
+                keep = batch.column("keep").slice(low, high - low)
+                n_words, n_removed, digest, kept = out
+                arrays = [keep, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, ["keep", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    places = repeated_windows(texts, window).withColumnRenamed("places", "hits")
+    return texts.join(places, "doc_id", "left").select("keep", "hits", "text").mapInArrow(rebuild, spec)
+
 
-    key = F.col("key") if keyed else F.lit(None).cast("long")
-    joined = texts.join(repeated_windows(texts, window).withColumnRenamed("places", "hits"), "doc_id", "left").select("doc_id", key.alias("key"), "hits", "text")
-    spec = "doc_id long, key long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "")
-    return joined.mapInArrow(rebuild, spec)
+def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
+    """Remove each word that lies in a window of ``window`` words whose sequence also starts earlier.
+
+    Earlier is a smaller doc_id, or a smaller place in the same document; windows are judged on the input.
+    Returns doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space), one row per input row.
+    Null and empty texts have no words. Rows that share a doc_id are ordered by their text, and of equal rows all but
+    one count as later; a null doc_id is the smallest. Other columns are ignored. Windows are told apart by 64-bit hashes.
+    """
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return dedup_texts(named, window).select("keep.doc_id", "n_words", "n_removed", "kept_sha256")

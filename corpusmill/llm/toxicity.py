@@ -274,22 +274,35 @@ def _weigh(texts: DataFrame, model: ToxicityModel) -> None:
     model.weights = w
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted (1 from 0.5 on), one row per input row.
-
-    Needs doc_id and text; other columns are ignored. Null and empty texts are scored as texts without words.
-    """
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
+def scored_texts(docs: DataFrame, model: ToxicityModel, with_text: bool = True) -> DataFrame:
+    """keep (all columns but the text), score, predicted and, if asked for, the text."""
+    keep = F.struct(*[c for c in docs.columns if c != "text"])
+    texts = docs.select(keep.alias("keep"), F.col("text").cast("string").cast("binary").alias("text"))
+    spec = texts.select("keep").schema.add("score", "double").add("predicted", "integer")
+    spec = spec.add("text", "binary") if with_text else spec
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
         for batch in batches:
             for low, high, found in slices(batch):
                 s = [scorer.score(t.decode()) for t in found]
-                yield rows(schema, (batch.column("doc_id").slice(low, high - low), s, [int(v >= 0.5) for v in s]))
+                arrays = [batch.column("keep").slice(low, high - low), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())]
+                names = ["keep", "score", "predicted"]
+                if with_text:
+                    arrays, names = [*arrays, batch.column("text").slice(low, high - low)], [*names, "text"]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    out = texts.mapInArrow(score, spec)
+    return out.withColumn("text", F.col("text").cast("string")) if with_text else out
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(score, "doc_id long, score double, predicted int")
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """doc_id, score (0 to 1) and predicted (1 from 0.5 on), one row per input row.
+
+    Needs doc_id and text; other columns are ignored. Null and empty texts are scored as texts without words.
+    """
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return scored_texts(named, model, with_text=False).select("keep.doc_id", "score", "predicted")
 
 
 def restored_words(docs: DataFrame, model: ToxicityModel) -> DataFrame:
