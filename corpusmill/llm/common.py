@@ -153,14 +153,14 @@ def rows(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
 
 
 def numbered_rows(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with numbers that ascend with doc_id, then the other columns, nulls first; kept in the shared folder.
+    """The rows with numbers that ascend with doc_id, nulls first, then in an order that the rows fix; kept in the shared folder.
 
     For tables in which ids are null or come more than once.
     """
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.asc_nulls_first(c) for c in ("doc_id", *sorted(c for c in docs.columns if c != "doc_id"))]
-    ordered = docs.repartitionByRange(count, *order).sortWithinPartitions(*order)
-    return cut_lineage(ordered.withColumn(name, F.monotonically_increasing_id()))
+    order = [F.asc_nulls_first("doc_id"), F.asc("__tie")]
+    ordered = docs.withColumn("__tie", F.xxhash64(*sorted(docs.columns))).repartitionByRange(count, *order).sortWithinPartitions(*order)
+    return cut_lineage(ordered.drop("__tie").withColumn(name, F.monotonically_increasing_id()))
 
 
 def unique_ids(docs: DataFrame) -> bool:

@@ -235,7 +235,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
 
     Earlier is a smaller doc_id, or a smaller place in the same document; windows are judged on the input.
     Returns doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space), one row per input row.
-    Null and empty texts have no words. Rows that share a doc_id are ordered by their text, and of equal rows all but
+    Null and empty texts have no words. Rows that share a doc_id have an order that their contents fix, and of equal rows all but
     one count as later; a null doc_id is the smallest. Other columns are ignored. Windows are told apart by 64-bit hashes.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -28,7 +28,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Write doc_id, part, local_start (ids of the part before it), n_tokens and ids, one file per part.
 
     ``encoding``: dictionary, or delta for ids without a dictionary. A null or empty text is the end id alone; null
-    doc_ids come first; repeated rows are written each, rows of one doc_id in the order of their texts.
+    doc_ids come first; repeated rows are written each, rows of one doc_id in an order that their texts fix.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -45,8 +45,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 yield rows(schema, (ids.slice(low, high - low), np.full(len(size), part), at + ends - size, size, lists))
                 at += int(ends[-1])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")]
+    text = F.col("text").cast("binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
     writer = texts.repartitionByRange(files, *order).sortWithinPartitions(*order).mapInArrow(encode, _SCHEMA).write.mode("overwrite")
     options = {
         "parquet.block.size": row_group_mb << 20,
