@@ -366,7 +366,8 @@ def _(spark, sf):
 
 def page_spans(spark, sf_dir):
     """Text spans of every page: heading and body tags with the size a browser gives them."""
-    tag = r"<(h1|h2|h3|li|p)>(.*?)</?(?:h1|h2|h3|li|p|ul|article)>"
+    # Up to the next tag of a block, which is not taken in: it may open the next span.
+    tag = r"<(h1|h2|h3|li|p)>(.*?)(?=</?(?:h1|h2|h3|li|p|ul|article|body|html)>|$)"
     found = F.regexp_extract_all("html", F.lit(rf"(?s){tag}"), F.lit(0))
     pages = unfold(table(spark, sf_dir, "pages"), [F.col("page_id").alias("doc_id")], found, "pos", "m")
     name = F.regexp_extract("m", "^<([a-z0-9]+)>", 1)

@@ -189,14 +189,14 @@ GUARDED = (
 )
 GUARDED_SQL = (
     "gq as (select conv_id * 1000 + turn as query_id, case when (conv_id + turn) % 11 = 0 then '  ' else ["
-    + ", ".join(f"'{g}'" for g in GUARDED) + f"][(conv_id + turn) % {len(GUARDED)} + 1] || text[1:150] end as query, text as answer, turn from conversations)"
+    + ", ".join(f"'{g}'" for g in GUARDED) + f"][(conv_id + turn) % {len(GUARDED)} + 1] || text end as query, text as answer, turn from conversations)"
 )
 
 
 def guarded_requests(spark, sf):
     i = F.col("conv_id") + F.col("turn")
     opening = F.get(F.array(*[F.lit(g) for g in GUARDED]), (i % len(GUARDED)).cast("int"))
-    asked = F.when(i % 11 == 0, F.lit("  ")).otherwise(F.concat(opening, F.substring("text", 1, 150)))
+    asked = F.when(i % 11 == 0, F.lit("  ")).otherwise(F.concat(opening, F.col("text")))
     return table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), asked.alias("query"), F.col("text").alias("answer"), "turn"
     )

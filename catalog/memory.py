@@ -211,7 +211,7 @@ def cache_rows(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector"))
     c = conversations(spark, sf).filter("role = 'user'")
     rows = c.select(
-        ca.cache_key(F.substring("text", 1, 6)).alias("key"), (F.col("conv_id") * 40 + F.col("turn") * 60).alias("ts"),
+        ca.cache_key(F.col("text")).alias("key"), (F.col("conv_id") * 40 + F.col("turn") * 60).alias("ts"),
         F.concat(F.lit("answer "), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("answer"),
         (F.col("conv_id") * 2 + F.col("turn")).alias("v"),
     )
@@ -223,17 +223,17 @@ def cache_requests(spark, sf):
     c = conversations(spark, sf).filter("role != 'system'")
     now = c.agg(F.max(F.col("conv_id") * 40 + 600)).scalar()
     rows = c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit(" "), F.upper(F.substring("text", 1, 6))).alias("query"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit(" "), F.col("text")).alias("query"),
         now.alias("now"), (F.col("conv_id") + F.col("turn")).alias("v"),
     )
     return rows.join(vectors, "v", "left").drop("v")
 
 
-STRIPPED = "lower(trim(text[1:6], chr(32) || chr(9) || chr(10) || chr(13)))"
+STRIPPED = "lower(trim(text, chr(32) || chr(9) || chr(10) || chr(13)))"
 CACHE_SQL = f"""cr as (select sha256({STRIPPED}) as key, {NOW} as ts, 'answer ' || conv_id || '/' || turn as answer, e.embedding::double[] as v
   from conversations left join embeddings e on e.vec_id = conv_id * 2 + turn where role = 'user'),
 nw as (select max(conv_id * 40 + 600) as now from conversations where role != 'system'),
-rqs as (select conv_id * 1000 + turn as query_id, sha256(lower(trim(' ' || upper(text[1:6]), chr(32) || chr(9) || chr(10) || chr(13)))) as key, now, e.embedding::double[] as v
+rqs as (select conv_id * 1000 + turn as query_id, sha256(lower(trim(' ' || text, chr(32) || chr(9) || chr(10) || chr(13)))) as key, now, e.embedding::double[] as v
   from conversations left join embeddings e on e.vec_id = conv_id + turn, nw where role != 'system'),
 nst as (select key, max(ts) as ts, arg_max(answer, ts) as answer from cr group by key),
 ex as (select query_id, answer from rqs join nst using (key) where now - ts <= 3600)"""

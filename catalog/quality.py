@@ -176,7 +176,7 @@ REQUESTS_SQL = """rq as (select event_id as query_id, user_id as session_id, eve
   case when event_id % 5 != 0 then least(1, value / 6) end as context_precision,
   case event_id % 4 when 0 then 'simple' when 1 then 'complex' else 'medium' end as complexity from events),
 ht as (select event_id as query_id, r as rank, d.doc_id, d.text, d.lang as source, (1 - 0.1 * r - event_id % 5 / 20.0)::double as score
-  from events, (select unnest([1, 2, 3]) as r) join documents d on d.doc_id = (event_id + 7 * r) % 200 where event_id % 6 != 0)"""
+  from events, (select unnest([1, 2, 3]) as r) join documents d on d.doc_id = (event_id + 7 * r) % (select count(*) from documents) where event_id % 6 != 0)"""
 
 
 def requests(spark, sf):
@@ -197,7 +197,8 @@ def requests(spark, sf):
 def request_hits(spark, sf):
     e = table(spark, sf, "events").filter("event_id % 6 != 0").select("event_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("rank"))
     docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("source"))
-    keyed = e.withColumn("doc_id", (F.col("event_id") + 7 * F.col("rank")) % 200)
+    size = docs.agg(F.count("*")).scalar()
+    keyed = e.withColumn("doc_id", (F.col("event_id") + 7 * F.col("rank")) % size)
     score = 1 - 0.1 * F.col("rank") - F.col("event_id") % 5 / 20.0
     return keyed.join(docs, "doc_id").select(
         F.col("event_id").alias("query_id"), F.col("rank").cast("long").alias("rank"), "doc_id", "text", "source", score.alias("score")

@@ -108,7 +108,7 @@ def _(spark, sf):
 @query(
     "dedupe_hits",
     f"""with {BM25}, {DENSE}, ro as (select query_id, chunk_id, rank, 1 as round from bm union all select query_id, chunk_id, rank, 2 from dn),
-    n as (select ro.*, row_number() over (partition by query_id, d.text[1:200] order by round, rank, chunk_id) as n
+    n as (select ro.*, row_number() over (partition by query_id, chunk_id order by round, rank, chunk_id) as n
       from ro join documents d on d.doc_id = ro.chunk_id)
     select query_id, chunk_id, round::bigint as round, rank from n where n = 1""",
 )
@@ -203,14 +203,14 @@ def _(spark, sf):
     "sufficiency",
     f"""with {RERANKED},
     w as (select item_id as query_id, list_distinct(regexp_extract_all(lower(text), '[\\x{{4e00}}-\\x{{9fff}}a-z0-9_]{{2,}}')) as ws from benchmark),
-    f as (select query_id, count(distinct text[1:100]) as u, count(*) filter (where score >= 0.5) as g, sum(length(text)) as c,
+    f as (select query_id, count(distinct chunk_id) as u, count(*) filter (where score >= 0.5) as g, sum(length(text)) as c,
       string_agg(lower(text), chr(10)) as body from re group by 1)
     select w.query_id, coalesce(u > 1 and g > 0 and c >= 300 and (len(ws) = 0 or
       len(list_filter(ws, lambda x: contains(body, x))) / len(ws) >= 0.4), false) as sufficient
     from w left join f using (query_id)""",
 )
 def _(spark, sf):
-    return fusion.sufficiency(questions(spark, sf), reranked_hits(spark, sf).select("query_id", "score", "text"))
+    return fusion.sufficiency(questions(spark, sf), reranked_hits(spark, sf).select("query_id", "chunk_id", "score", "text"))
 
 
 def kinded_hits(spark, sf):

@@ -68,6 +68,17 @@ def _(spark, sf):
     return rounded(hits.select("query_id", "chunk_id", "rank", "score", "strategy"))
 
 
+#: What the English questions need in place of the Chinese defaults.
+COMPLEX = {"evidence": fusion.EVIDENCE_EN, "step_back": routing.STEP_BACK_EN, "sub_queries": routing.SUB_QUERIES_EN}
+
+
+@query("adaptive_search_all")
+def _(spark, sf):
+    """As above with every strategy: complex questions search in several steps, with vectors for each rewrite."""
+    hits = se.adaptive_search(opened(spark, sf), index(spark, sf), outside_rewrites(spark, sf), pack=EN, budget_words=BUDGET_EN, **COMPLEX)
+    return rounded(hits.select("query_id", "chunk_id", "rank", "score", "strategy"))
+
+
 def outside_rewrites(spark, sf):
     words = F.split("text", " ")
     return table(spark, sf, "benchmark").select(
@@ -107,6 +118,14 @@ def _(spark, sf):
     )
 
 
+@query("compare_strategies_all")
+def _(spark, sf):
+    asked = opened(spark, sf)
+    paths = F.explode(F.array(*map(F.lit, ("direct", "standard", "adaptive"))))
+    answers = asked.select("query_id", F.col("query").alias("answer"), paths.alias("path"))
+    return se.compare_strategies(asked, index(spark, sf), answers, rewrites=outside_rewrites(spark, sf), pack=EN, budget_words=BUDGET_EN, **COMPLEX)
+
+
 @query(
     "prepend_aggregate",
     f"""with {RERANKED} select query_id, chunk_id, rank + case when query_id % 2 = 0 then 1 else 0 end as rank, round(score, 6) as score, null as chunk_index from re

@@ -128,7 +128,7 @@ def _(spark, sf):
       case when chunk_index = 0 then '' else 'plan ' || chunk_index end as chunk_plan_reason, n_chars as uploaded_at, doc_id from ck),
     y as (select *, coalesce(nullif(document_id, ''), source) as d from x)
     select session_id, d as document_id, count(*) as chunks, count(*) as indexed,
-      arg_min(chunk_plan_reason, chunk_index * 100000 + doc_id) filter (where chunk_plan_reason != '') as chunk_plan_reason from y where document_id != '' group by all""",
+      arg_min(chunk_plan_reason, chunk_index * 100000 + doc_id) filter (where chunk_plan_reason != '') as chunk_plan_reason from y group by all""",
 )
 def _(spark, sf):
     chunks = paragraph_chunks(spark, sf).select(
@@ -137,7 +137,7 @@ def _(spark, sf):
         F.col("n_chars").alias("uploaded_at"), "doc_id",
     )
     marked = chunks.withColumn("document_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("document_id")))
-    listed = ix.list_session_documents(marked.filter("document_id != ''"))
+    listed = ix.list_session_documents(marked)
     return listed.select("session_id", "document_id", "chunks", "indexed", "chunk_plan_reason")
 
 

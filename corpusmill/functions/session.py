@@ -27,10 +27,12 @@ def build_session(app: str = "corpusmill", master: str | None = None, partitions
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where the session names none (tests).
+    A machine-local folder is used only where the session names none and runs on one machine (tests).
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -64,32 +64,46 @@ def split_text(text: str, size: int, overlap: int, separators: Sequence[str] = S
     return [c for c in (chunk.strip() for chunk in run(text, 0)) if c]
 
 
-PROTECTED = (
-    ("CODE", re.compile(r"```[\s\S]*?```")),
-    ("TABLE", re.compile(r"^\|.+\|(?:\n\|.+\|)*$", re.M)),
-    ("LIST", re.compile(r"^[-*][ \t]+.+(?:\n[-*][ \t]+.+)*$", re.M)),
-    ("LIST", re.compile(r"^\d+\.[ \t]+.+(?:\n\d+\.[ \t]+.+)*$", re.M)),
-)
+def _line_kind(line: str) -> str:
+    if line.startswith("|") and line.rstrip().endswith("|") and len(line.rstrip()) > 2:
+        return "table"
+    if re.match(r"[-*][ \t]+\S", line) or re.match(r"[0-9]+\.[ \t]+\S", line):
+        return "list"
+    return ""
+
+
+def block_spans(text: str) -> list[tuple[str, str]]:
+    """The text as (kind, lines) runs: code fences, tables, lists, and free text as "". A fence that never closes is free text."""
+    lines, out, at = text.splitlines(keepends=True), [], 0
+    while at < len(lines):
+        kind, end = _line_kind(lines[at]), at + 1
+        if lines[at].lstrip().startswith("```"):
+            close = next((i for i in range(at + 1, len(lines)) if lines[i].lstrip().startswith("```")), None)
+            kind, end = ("code", close + 1) if close is not None else ("", end)
+        elif kind:
+            while end < len(lines) and _line_kind(lines[end]) == kind:
+                end += 1
+        run = "".join(lines[at:end])
+        if out and not kind and not out[-1][0]:
+            out[-1] = ("", out[-1][1] + run)
+        else:
+            out.append((kind, run))
+        at = end
+    return out
 
 
 def split_protected(text: str, size: int, overlap: int, separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """``split_text`` that never cuts a code fence, a table or a list: each is a short token while
-    splitting and is put back afterwards, outer ones first."""
-    held: list[tuple[str, str]] = []
-
-    def hold(kind: str, pattern: re.Pattern[str], value: str) -> str:
-        def swap(match: re.Match[str]) -> str:
-            token = f"__{kind}_BLOCK_{len(held)}__"
-            held.append((token, match.group(0)))
-            return token
-
-        return pattern.sub(swap, value)
-
-    for kind, pattern in PROTECTED:
-        text = hold(kind, pattern, text)
-    chunks = split_text(text, size, overlap, separators)
-    for token, original in reversed(held):
-        chunks = [c.replace(token, original) for c in chunks]
+    """Chunks that never cut a code fence, a table or a list: only the free text between them is split. A block
+    joins the chunk before it, or free text the block before it, while both fit the size by their real lengths."""
+    chunks: list[str] = []
+    joins = False
+    for kind, run in block_spans(text):
+        for i, part in enumerate([run.strip("\n")] if kind else split_text(run, size, overlap, separators)):
+            if chunks and (kind or (joins and i == 0)) and len(chunks[-1]) + 1 + len(part) <= size:
+                chunks[-1] += "\n" + part
+            elif part.strip():
+                chunks.append(part)
+        joins = bool(kind)
     return chunks
 
 

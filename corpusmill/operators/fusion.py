@@ -23,11 +23,6 @@ def _ranked(df: DataFrame, order: list[Column], keys: tuple[str, ...] = ("query_
     return df.withColumn("rank", F.row_number().over(window).cast("long"))
 
 
-def prefix_key(content: Column, chars: int = 100) -> Column:
-    """Optional fusion key: the first characters of the content."""
-    return F.substring(content, 1, chars)
-
-
 def rrf_fuse(first: DataFrame, second: DataFrame, k: int = RRF_K, key: str = "chunk_id") -> DataFrame:
     """Sum of 1 / (k + rank) over both lists, best first."""
     lists = first.select("query_id", key, "rank").unionByName(second.select("query_id", key, "rank"))
@@ -95,9 +90,10 @@ def rejoin_metadata(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def dedupe_hits(hits: DataFrame, prefix: int = 200, content: str = "text") -> DataFrame:
-    """Across rounds, keep the first hit per content prefix."""
-    first = Window.partitionBy("query_id", F.substring(content, 1, prefix)).orderBy("round", "rank", "chunk_id")
+def dedupe_hits(hits: DataFrame, prefix: int | None = None, content: str = "text") -> DataFrame:
+    """Across rounds, keep the first hit of each chunk, or, if ``prefix`` is given, of each content prefix."""
+    key = F.col("chunk_id") if prefix is None else F.substring(content, 1, prefix)
+    first = Window.partitionBy("query_id", key).orderBy("round", "rank", "chunk_id")
     return hits.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
@@ -213,7 +209,7 @@ def sufficiency(queries: DataFrame, hits: DataFrame, content: str = "text") -> D
     asked = queries.select("query_id", words.alias("__words"))
     seen = F.filter("__words", lambda w: F.contains(F.lower(content), w))
     figures = hits.join(asked, "query_id").groupBy("query_id").agg(
-        F.count_distinct(F.substring(content, 1, 100)).alias("unique_docs"),
+        F.count_distinct("chunk_id").alias("unique_docs"),
         F.sum((F.col("score") >= 0.5).cast("long")).alias("good_docs"),
         F.sum(F.length(content)).cast("long").alias("chars"),
         F.size(F.array_distinct(F.flatten(F.collect_list(seen)))).alias("covered"),

@@ -58,11 +58,6 @@ def _join_terms(postings: DataFrame, wanted: DataFrame, id: str, keys: list[str]
     return left.join(right, [*keys, "salt"]).drop("salt")
 
 
-def corpus_totals(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """One row: number of documents and of tokens."""
-    return chunks.agg(F.count("*").alias("n_docs"), F.sum(F.size(T.tokenize(F.col(text)))).cast("long").alias("n_tokens"))
-
-
 def bm25_topk(
     queries: DataFrame,
     chunks: DataFrame,

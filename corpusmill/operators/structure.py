@@ -377,10 +377,6 @@ def extract_elements(df: DataFrame, text: str = "text", markdown: bool = False)
     )
 
 
-def element_id(document_id: Column, order: Column) -> Column:
-    return F.concat(document_id, F.lit(":el-"), F.lpad(order.cast("string"), 5, "0"))
-
-
 def section_paths(df: DataFrame, text: str = "text", markdown: bool = False) -> DataFrame:
     """Headings with their level and the path of the headings above them."""
     found = extract_elements(df, text, markdown).filter(F.col("element_type") == "heading")

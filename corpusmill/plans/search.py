@@ -216,8 +216,13 @@ def adaptive_search(
 ) -> DataFrame:
     """Each query goes the way its class asks for; table answers come first. Adds ``strategy``.
 
-    Only the strategies named are planned; a query routed to another one takes the single step.
+    Only the strategies named are planned; a query routed to another one takes the single step. An unknown
+    strategy is an error. Without ``rewrites`` a complex query is searched by its own texts.
     """
+    if unknown := set(strategies) - {"no_retrieval", "single_step", "multi_step"}:
+        raise ValueError(f"unknown strategies: {sorted(unknown)}")
+    if rewrites is None:
+        rewrites = queries.select("query_id", F.array().cast("array<string>").alias("rewrites"))
     scoped = None
     if "scope_id" in queries.columns:
         queries = queries.withColumn("__scoped", F.col("scope_id").isNotNull())
