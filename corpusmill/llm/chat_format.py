@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import bind
+
 #: Fixed marks of the template. In texts, a backslash becomes \e, and the "<" of a mark becomes \l.
 OPEN, CLOSE, INNER = "<turn:", "</turn>\n", "<part/>"
 
@@ -41,13 +43,13 @@ def format_chats(turns: DataFrame, learn_from: str = "assistant") -> DataFrame:
     turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     held = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
-    def piece(x: Column, i: Column) -> Column:
-        before = F.get("turns", i - 1)["role"]
+    def piece(turns: Column, x: Column, i: Column) -> Column:
+        before = F.get(turns, i - 1)["role"]
         header = F.when(i == 0, F.lit("")).when(before == x["role"], F.lit(INNER)).otherwise(F.lit(CLOSE))
         header = F.when((i > 0) & (before == x["role"]), header).otherwise(F.concat(header, F.lit(OPEN), _escape_role(x["role"]), F.lit(">\n")))
         return F.struct(header.alias("header"), escape(x["text"]).alias("text"), (x["role"] == learn_from).alias("loss"))
 
-    pieces = held.select("conv_id", F.transform("turns", piece).alias("pieces"))
+    pieces = held.select("conv_id", bind(F.col("turns"), lambda turns: F.transform(turns, lambda x, i: piece(turns, x, i))).alias("pieces"))
     formatted = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["header"], p["text"])), ""), F.lit(CLOSE))
     run = lambda text, loss: F.struct(F.length(text).cast("long").alias("length"), loss.alias("loss"))
     runs = F.flatten(F.transform("pieces", lambda p: F.array(run(p["header"], F.lit(False)), run(p["text"], p["loss"]))))
@@ -65,11 +67,11 @@ def parse_chats(chats: DataFrame) -> DataFrame:
     blocks = F.transform(blocks, lambda b: F.transform(body(b), lambda t: F.struct(role(b).alias("role"), t.alias("raw"))))
     found = chats.select("conv_id", "formatted", "mask", F.flatten(blocks).alias("found"))
 
-    def turn(x: Column, i: Column) -> Column:
-        run = F.get("mask", 2 * i + 1)
+    def turn(mask: Column, x: Column, i: Column) -> Column:
+        run = F.get(mask, 2 * i + 1)
         return F.struct(x["role"].alias("role"), unescape(x["raw"]).alias("text"), F.when(run["length"] == F.length(x["raw"]), run["loss"]).alias("loss"))
 
-    return found.select("conv_id", "formatted", F.transform("found", turn).alias("turns"))
+    return found.select("conv_id", "formatted", bind(F.col("mask"), lambda mask: F.transform("found", lambda x, i: turn(mask, x, i))).alias("turns"))
 
 
 def chat_digests(chats: DataFrame) -> DataFrame:

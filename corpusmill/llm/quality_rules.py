@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WORD
+from corpusmill.llm.common import WORD, bind
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -58,15 +58,31 @@ def mask(names: Sequence[str], rules: Sequence[Rule] = RULES) -> int:
     return sum(1 << known.index(n) for n in names)
 
 
-def _repeat_words(windows: Column, pairs: Column) -> Column:
-    """Words that the repeated ones of a text's window hashes cover; ``pairs`` is (hash, place) sorted."""
-    n = F.size(windows)
+def _covered(pairs: Column) -> Column:
+    """Words that repeated windows cover; ``pairs`` is (hash, place) of all windows of a text, sorted."""
+    n = F.size(pairs)
 
     def again(x: Column, i: Column) -> Column:
         hash_at = lambda k: F.get(pairs, k)["h"]
         return ((i > 0) & (hash_at(i - 1) == x["h"])) | ((i < n - 1) & (hash_at(i + 1) == x["h"]))
 
-    return F.array_sort(F.transform(F.filter(pairs, again), lambda x: x["p"]))
+    def sums(places: Column) -> Column:
+        gaps = F.transform(places, lambda p, i: F.least(F.coalesce(F.get(places, i + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
+
+    return bind(F.array_sort(F.transform(F.filter(pairs, again), lambda x: x["p"])), sums)
+
+
+def _repeat_words(hashes: Column) -> Column:
+    """Words in windows of WINDOW words that a text holds more than once."""
+    at = F.sequence(F.lit(0), F.size(hashes) - WINDOW)
+    windows = F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
+
+    def of(w: Column) -> Column:
+        pairs = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(w)) < F.size(w), bind(pairs, _covered))
+
+    return F.coalesce(F.when(F.size(hashes) >= WINDOW, bind(windows, of)), F.lit(0).cast("long"))
 
 
 def rule_ledger(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -77,31 +93,16 @@ def rule_ledger(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select("doc_id", text.alias("text"))
-    base = base.withColumn("hashes", F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
+    words = F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    of_words = bind(words, lambda h: F.struct(F.size(h).cast("long").alias("n_words"), _repeat_words(h).alias("n_repeat_words")))
+    of_lines = bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     measured = base.select(
-        "doc_id",
-        "hashes",
-        F.size("hashes").cast("long").alias("n_words"),
+        "doc_id", of_words.alias("w"), of_lines.alias("l"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        lines.alias("lines"),
-    )
-    at = F.sequence(F.lit(0), F.size("hashes") - WINDOW)
-    windows = F.when(F.size("hashes") >= WINDOW, F.transform(at, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
-    measured = measured.select(
-        "doc_id", "n_words", "word_chars", "n_symbols",
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        windows.alias("windows"),
     )
-    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
-    pairs = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-    measured = measured.withColumn("pairs", F.when(repeats, pairs))
-    measured = measured.withColumn("places", F.when(F.col("pairs").isNotNull(), _repeat_words(F.col("windows"), F.col("pairs"))))
-    gaps = F.transform("places", lambda p, i: F.least(F.coalesce(F.get("places", i + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
-    covered = F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g), F.lit(0).cast("long"))
-    measured = measured.withColumn("n_repeat_words", covered).drop("windows", "pairs", "places")
+    measured = measured.select("doc_id", "w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")
     bits = [F.when(F.expr(r.fails), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, r in enumerate(rules)]
     failed = bits[0]
     for b in bits[1:]:
