@@ -183,7 +183,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Toxicity
 
     The character model counts all documents. The rest sees a sample of about TOXIC_SAMPLE and CLEAN_SAMPLE
     documents at most: the logistic model is fitted on one half with the lexicon of the other, then the lexicon on all of it. Labels that are null, or whose document is missing, are left out. With one class only the
-    score is constant, and without labels it is 0.
+    score is constant; without labelled texts it is 0.
     """
     model = ToxicityModel(character_model(docs))
     known = labels.filter("toxic is not null and doc_id is not null").filter(~is_held_out(folds=folds))
@@ -261,6 +261,9 @@ def _weigh(texts: DataFrame, model: ToxicityModel) -> None:
     held = texts.filter("not first").select("toxic", "text").mapInArrow(measure, "toxic int, x array<double>").collect()
     if not held:
         held = texts.select("toxic", "text").mapInArrow(measure, "toxic int, x array<double>").collect()
+    if not held:
+        model.constant = 0.0
+        return
     x, y = np.array([r.x for r in held]), np.array([r.toxic for r in held], dtype=float)
     order = np.lexsort((*x.T, y))  # sums don't depend on the order of rows
     x, y = x[order], y[order]
