@@ -186,7 +186,8 @@ def repeated_windows(texts: DataFrame, window: int = 20) -> DataFrame:
         return sent.repartition(count, "part").mapInArrow(_by_document, "doc_id long, places binary")
 
     hits = back(texts.mapInArrow(probe, _PLACES), match).withColumnRenamed("places", "hits")
-    near = texts.join(hits, "doc_id", "left").filter("hits is not null").select("doc_id", "hits", "text")
+    # All columns stay: the dealt-out texts are then the same for this join and the one that rebuilds them, and are reused.
+    near = texts.join(hits, "doc_id", "left").filter("hits is not null").select(*texts.columns, "hits")
     return back(near.mapInArrow(extend, _PLACES), later)
 
 
