@@ -168,21 +168,25 @@ def chunk_semantic(df: DataFrame, percentile: float = 0.9, min_size: int = MIN_S
     """Break where neighbouring sentences (each with one sentence of context) differ most.
 
     The distance limit is the given percentile within the document; a group shorter than
-    ``min_size`` grows on. Documents with one sentence stay whole.
+    ``min_size`` grows on. Documents with one sentence stay whole. Vectors depend on the sentences alone, so a
+    document is cut the same way in any batch. Other columns come along.
     """
     sentences = F.filter(F.split(F.col(text), r"(?<=[.?!。！？])\s+"), lambda s: T.strip(s) != "")
-    listed = df.select(doc, sentences.alias("__s"))
+    rest = [c for c in _rest(df, text) if c != doc]
+    listed = df.select(doc, F.struct(*rest, F.lit(True).alias("__kept")).alias("__rest"), sentences.alias("__s"))
     context = F.transform(
         "__s", lambda s, i: F.struct(s.alias("sentence"), F.array_join(F.slice("__s", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " ").alias("context"))
     )
-    rows = unfold(listed, [doc], context, "no", "c").select(doc, "no", "c.*")
-    vectored = featurize(rows, dim, "context").select(doc, "no", "sentence", "vector")
+    first = F.when(F.col("no") == 0, F.col("__rest")).alias("__rest")
+    rows = unfold(listed, [doc, "__rest"], context, "no", "c").select(doc, first, "no", "c.*")
+    vectored = featurize(rows, dim, "context", idf=False).select(doc, "__rest", "no", "sentence", "vector")
     by_doc = Window.partitionBy(doc)
     following = F.lead("vector").over(by_doc.orderBy("no"))
     gaps = vectored.withColumn("gap", F.when(following.isNotNull(), 1 - cosine(F.col("vector"), following))).drop("vector")
     limited = gaps.withColumn("limit", F.percentile("gap", percentile).over(by_doc))
     gathered = limited.groupBy(doc).agg(
-        F.array_sort(F.collect_list(F.struct("no", "sentence", F.coalesce(F.col("gap") > F.col("limit"), F.lit(False)).alias("cut")))).alias("s")
+        F.first("__rest", ignorenulls=True).alias("__rest"),
+        F.array_sort(F.collect_list(F.struct("no", "sentence", F.coalesce(F.col("gap") > F.col("limit"), F.lit(False)).alias("cut")))).alias("s"),
     )
     state = "struct<open:string,done:array<string>>"
     start = F.struct(F.lit(None).cast("string").alias("open"), F.array().cast("array<string>").alias("done")).cast(state)
@@ -199,19 +203,21 @@ def chunk_semantic(df: DataFrame, percentile: float = 0.9, min_size: int = MIN_S
         "s", start, step,
         lambda acc: F.when(acc["open"].isNotNull(), F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]),
     )
-    return unfold(gathered.withColumn("__g", groups), [doc], "__g", "chunk_index", "text")
+    named = gathered.withColumn("__g", groups).select(doc, *[F.col("__rest")[c].alias(c) for c in rest], "__g")
+    return unfold(named, [doc, *rest], "__g", "chunk_index", "text")
 
 
 UNSPLIT = ("outline", "row_group", "code")
 
 
-def auto_chunk(df: DataFrame, doc: str = "doc_id", source: str = "source", file_type: str = "file_type", text: str = "text", markdown: bool = False) -> DataFrame:
+def auto_chunk(df: DataFrame, doc: str = "doc_id", source: str = "source", file_type: str = "file_type", text: str = "text", markdown: bool | None = None) -> DataFrame:
     """Planned chunks: the outline first, then each element, split when longer than the plan's
-    target (outline, row group and code never). Narrow from end to end."""
+    target (outline, row group and code never). Narrow from end to end. Each row is read as Markdown
+    or not by its file type, unless ``markdown`` says it for all."""
     kept = [c for c in df.columns if c != text]
     planned = st.infer_chunk_plan(st.profile_documents(df.withColumn("__body", F.col(text)), text, file_type), file_type)
     plan = ["strategy", "target_tokens", "target_chars", "overlap_tokens", "overlap_chars", "reason"]
-    shaped = st.with_elements(planned.select(*kept, "__body", *plan), "__body", markdown)
+    shaped = st.with_elements(planned.select(*kept, "__body", *plan), "__body", st.is_markdown(file_type) if markdown is None else markdown)
     outline = st.outline_column(F.col(doc).cast("string"), F.col(source), F.col(file_type))
     head = F.struct(
         F.lit("outline").alias("element_type"), outline.alias("text"), F.lit("Document Outline").alias("section_title"),

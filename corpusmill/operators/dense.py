@@ -14,13 +14,15 @@ from corpusmill.functions.skew import fits, top_k
 from corpusmill.functions.vectors import dot, nearest
 
 
-def featurize(df: DataFrame, dim: int = 256, text: str = "text", vector: str = "vector") -> DataFrame:
-    """Add a unit-length hashed tf-idf vector per text."""
+def featurize(df: DataFrame, dim: int = 256, text: str = "text", vector: str = "vector", idf: bool = True) -> DataFrame:
+    """Add a unit-length hashed tf-idf vector per text. Without ``idf`` a vector depends on its own text only, so
+    queries, rewrites and later batches share one space."""
     tokens = df.withColumn("__tokens", T.tokenize(F.coalesce(F.col(text), F.lit(""))))
+    weighed = "__tfidf" if idf else "__tf"
     stages = [
         HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=dim),
-        IDF(inputCol="__tf", outputCol="__tfidf"),
-        Normalizer(inputCol="__tfidf", outputCol="__unit"),
+        *([IDF(inputCol="__tf", outputCol="__tfidf")] if idf else []),
+        Normalizer(inputCol=weighed, outputCol="__unit"),
     ]
     out = Pipeline(stages=stages).fit(tokens).transform(tokens)
     return out.withColumn(vector, vector_to_array("__unit")).drop("__tokens", "__tf", "__tfidf", "__unit")

@@ -172,7 +172,18 @@ def infer_chunk_plan(profile: DataFrame, file_type: str = "file_type") -> DataFr
 # ---- headings and line classes -------------------------------------------------------------
 
 
-def is_heading(line: Column, following: Column, markdown: bool = False) -> Column:
+def is_markdown(file_type: str = "file_type") -> Column:
+    return F.coalesce(F.lower(F.col(file_type)).isin(*MARKDOWN_TYPES), F.lit(False))
+
+
+def _by_markdown(markdown: bool | Column, yes: Column, no: Column) -> Column:
+    """``yes`` where a text is Markdown; ``markdown`` is one flag for all rows, or a column."""
+    if isinstance(markdown, Column):
+        return F.when(markdown, yes).otherwise(no)
+    return yes if markdown else no
+
+
+def is_heading(line: Column, following: Column, markdown: bool | Column = False) -> Column:
     dated_next = F.coalesce(following.rlike(P.DATE_RANGE), F.lit(False))
     shape = (
         line.rlike(P.NUMBERED_HEADING)
@@ -182,12 +193,11 @@ def is_heading(line: Column, following: Column, markdown: bool = False) -> Colum
         | (dated_next & (F.length(line) <= 70))
     )
     plain = (F.length(line) <= 90) & ~line.rlike(P.BULLET) & shape
-    if markdown:
-        plain = line.startswith("#") | plain
+    plain = _by_markdown(markdown, line.startswith("#") | plain, plain)
     return (line != "") & ~line.rlike(P.DATE_RANGE) & plain
 
 
-def heading_level(line: Column, following: Column, markdown: bool = False) -> Column:
+def heading_level(line: Column, following: Column, markdown: bool | Column = False) -> Column:
     number = F.regexp_replace(F.element_at(F.split(line, " "), 1), r"^[.、]+|[.、]+$", "")
     level = (
         F.when(line.rlike(P.NUMBERED_HEADING), F.least(F.lit(4), T.occurrences(number, ".") + 1))
@@ -196,17 +206,14 @@ def heading_level(line: Column, following: Column, markdown: bool = False) -> Co
         .when((F.length(line) <= 28) & line.rlike(P.HEADING_WORD), F.lit(1))
         .otherwise(F.lit(2))
     )
-    if markdown:
-        marks = F.length(line) - F.length(F.regexp_replace(line, "^#+", ""))
-        level = F.when(line.startswith("#"), F.least(F.lit(6), marks)).otherwise(level)
-    return level.cast("int")
+    marks = F.length(line) - F.length(F.regexp_replace(line, "^#+", ""))
+    marked = F.when(line.startswith("#"), F.least(F.lit(6), marks)).otherwise(level)
+    return _by_markdown(markdown, marked, level).cast("int")
 
 
-def _flagged(df: DataFrame, text: str, markdown: bool) -> DataFrame:
+def _flagged(df: DataFrame, text: str, markdown: bool | Column) -> DataFrame:
     """Add ``__lines``: array of (line, tab, h, t, b, level) for the non-empty lines."""
-    raw = F.col(text)
-    if markdown:
-        raw = F.regexp_replace(raw, P.CODE_FENCE, "")
+    raw = _by_markdown(markdown, F.regexp_replace(text, P.CODE_FENCE, ""), F.col(text))
     split = F.transform(
         F.split(T.unify_breaks(raw), "\n"),
         lambda x: F.struct(T.normalize_line(T.strip(x)).alias("line"), T.strip(x).contains("\t").alias("tab")),
@@ -227,7 +234,7 @@ def _flagged(df: DataFrame, text: str, markdown: bool) -> DataFrame:
     return df.withColumn("__lines", F.transform("__split", flag)).drop("__split")
 
 
-def classify_lines(df: DataFrame, text: str = "text", markdown: bool = False) -> DataFrame:
+def classify_lines(df: DataFrame, text: str = "text", markdown: bool | Column = False) -> DataFrame:
     """Class of every line: heading, table, bullet or text, in that precedence."""
     keep = [c for c in df.columns if c != text]
     flagged = unfold(_flagged(df, text, markdown), keep, "__lines", "line_no", "f")
@@ -296,7 +303,7 @@ def _heading_fold(lines: str, pieces: str) -> Column:
     return F.aggregate(F.filter(pieces, lambda p: p["kind"] == "h"), start, step, lambda acc: acc["out"])
 
 
-def with_elements(df: DataFrame, text: str = "text", markdown: bool = False) -> DataFrame:
+def with_elements(df: DataFrame, text: str = "text", markdown: bool | Column = False) -> DataFrame:
     """Add ``elements``: the ordered typed elements of the document as one array column."""
     keep = df.columns
     flagged = _flagged(df, text, markdown).withColumn(
@@ -306,8 +313,7 @@ def with_elements(df: DataFrame, text: str = "text", markdown: bool = False) ->
     def locate(run: Column, i: Column) -> Column:
         start = F.length(F.array_join(F.slice("__runs", F.lit(1), i), ""))
         title = F.get("__lines", start)["line"]
-        if markdown:
-            title = T.strip(F.regexp_replace(title, "^#+", ""))
+        title = _by_markdown(markdown, T.strip(F.regexp_replace(title, "^#+", "")), title)
         return F.struct(
             F.substring(run, 1, 1).alias("kind"),
             run.alias("run"),
@@ -353,7 +359,7 @@ def with_elements(df: DataFrame, text: str = "text", markdown: bool = False) ->
         )
 
     elements = F.flatten(F.transform("__pieces", build))
-    if markdown:
+    if isinstance(markdown, Column) or markdown:
         code = F.transform(
             F.regexp_extract_all(F.col(text), F.lit(P.CODE_FENCE), F.lit(0)),
             lambda c: F.struct(
@@ -362,11 +368,11 @@ def with_elements(df: DataFrame, text: str = "text", markdown: bool = False) ->
                 F.lit(None).cast("int").alias("heading_level"), F.lit(None).cast("int").alias("line_count"),
             ).cast(ELEMENT),
         )
-        elements = F.concat(elements, code)
+        elements = _by_markdown(markdown, F.concat(elements, code), elements)
     return headed.withColumn("elements", elements).select(*keep, "elements")
 
 
-def extract_elements(df: DataFrame, text: str = "text", markdown: bool = False) -> DataFrame:
+def extract_elements(df: DataFrame, text: str = "text", markdown: bool | Column = False) -> DataFrame:
     """One row per element, in document order."""
     keep = [c for c in df.columns if c != text]
     return (
@@ -377,7 +383,7 @@ def extract_elements(df: DataFrame, text: str = "text", markdown: bool = False)
     )
 
 
-def section_paths(df: DataFrame, text: str = "text", markdown: bool = False) -> DataFrame:
+def section_paths(df: DataFrame, text: str = "text", markdown: bool | Column = False) -> DataFrame:
     """Headings with their level and the path of the headings above them."""
     found = extract_elements(df, text, markdown).filter(F.col("element_type") == "heading")
     return found.drop("line_count", "section_title", "element_type").withColumnRenamed("text", "heading")
@@ -428,7 +434,7 @@ def outline_column(
 
 
 def build_outline(df: DataFrame, document_id: str, source: str, file_type: str, text: str = "text",
-                  markdown: bool = False) -> DataFrame:
+                  markdown: bool | Column = False) -> DataFrame:
     keep = [c for c in df.columns if c != text]
     outline = outline_column(F.col(document_id).cast("string"), F.col(source), F.col(file_type))
     return with_elements(df, text, markdown).select(*keep, outline.alias("outline"))
@@ -451,12 +457,12 @@ def quality_column(text: Column, warnings: Column | None = None) -> Column:
     return F.when(T.strip(F.coalesce(text, F.lit(""))) == "", F.lit(0.0)).otherwise(bounded)
 
 
-def parse_quality(df: DataFrame, text: str = "text", markdown: bool = False) -> DataFrame:
+def parse_quality(df: DataFrame, text: str = "text", markdown: bool | Column = False) -> DataFrame:
     keep = [c for c in df.columns if c != text]
     return with_elements(df, text, markdown).select(*keep, quality_column(F.col(text)).alias("parse_quality"))
 
 
-def document_title(df: DataFrame, source: str, text: str = "text", markdown: bool = False) -> DataFrame:
+def document_title(df: DataFrame, source: str, text: str = "text", markdown: bool | Column = False) -> DataFrame:
     """First heading, else the file stem."""
     keep = [c for c in df.columns if c != text]
     stem = F.regexp_replace(F.element_at(F.split(F.col(source), "/"), -1), r"(.)\.[^.]*$", "$1")

@@ -3,6 +3,7 @@ from hypothesis import strategies as hs
 
 from corpusmill.functions.splitting import SEPARATORS, split_protected, split_text
 from corpusmill.operators import chunking as ch
+from corpusmill.plans.ingest import ingest
 
 
 def test_split_prefers_the_first_separator():
@@ -65,3 +66,33 @@ def test_semantic_keeps_every_sentence(spark):
     got = ch.chunk_semantic(df, min_size=10).orderBy("doc_id", "chunk_index").collect()
     assert " ".join(r["text"] for r in got if r["doc_id"] == 1) == text
     assert [r["text"] for r in got if r["doc_id"] == 2] == ["Only one sentence here."]
+
+
+def test_semantic_keeps_columns_and_cuts_alike_in_any_batch(spark):
+    text = "Cats purr softly at night. Cats sleep all day long. Stocks fell on Monday morning. Markets were calm after."
+    rows = [(i, f"{text} Document {i} ends. {text}", f"s{i}", None if i else "x") for i in range(6)] + [(9, "", "s9", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, session_id string, source string")
+    together = ch.chunk_semantic(df, min_size=10)
+    assert together.columns == ["doc_id", "session_id", "source", "chunk_index", "text"]
+    alone = ch.chunk_semantic(df.filter("doc_id = 3"), min_size=10).collect()
+    assert len(alone) > 1 and sorted(alone) == sorted(together.filter("doc_id = 3").collect())
+    assert {(r.doc_id, r.session_id, r.source) for r in together.collect()} == {r[:1] + r[2:] for r in rows if r[1]}
+
+
+def test_ingest_with_semantic_chunks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "One sentence. Another sentence.", "a", "f.txt"), (2, "", "a", "g.txt")], "doc_id long, text string, session_id string, source string")
+    got = {r.document_id: (r.raw, r.indexed) for r in ingest(df, str(tmp_path / "index"), "semantic").collect()}
+    assert got["2"] == (1, 0) and got["1"][1] >= 1
+
+
+def test_auto_chunk_reads_markdown_by_file_type(spark):
+    text = "# Title\n```python\nx = 1\n```\n## Two\nSome words here."
+    rows = [(1, text, "a.md", ".md"), (2, text, "b.txt", ".txt"), (3, text, "c", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, file_type string")
+    got = ch.auto_chunk(df).orderBy("doc_id", "structure_order", "chunk_part").collect()
+    by = lambda i, kind: [r["text"] for r in got if r["doc_id"] == i and r["element_type"] == kind]
+    assert by(1, "heading") == ["Title", "Two"] and len(by(1, "code")) == 1 and "x = 1" in by(1, "code")[0]
+    assert {r["section_path"] for r in got if r["doc_id"] == 1 and r["element_type"] == "section"} == {"Title > Two"}
+    assert not by(2, "code") and not by(3, "code") and "Title" not in by(2, "heading")
+    whole = ch.auto_chunk(df.filter("doc_id = 1"), markdown=True).orderBy("structure_order", "chunk_part").collect()
+    assert whole == [r for r in got if r["doc_id"] == 1]
