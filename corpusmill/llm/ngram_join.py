@@ -33,6 +33,8 @@ COUNTED_AT_ONCE = 4_000_000
 POSTS_AT_ONCE = 2_000_000
 #: Rows from which on an n-gram is a node of the candidate graph instead of giving pairs.
 HOT_ROWS = 200
+#: Overlap count of an edge that stays whatever its bound is.
+CERTAIN = 1 << 30
 #: Rows, and entries, of a block that one task multiplies.
 BLOCK_ROWS = 1024
 BLOCK_ENTRIES = 4_000_000
@@ -155,7 +157,9 @@ def candidate_links(spark: SparkSession, distinct: DataFrame, percent: int) -> D
     Rows of one n-gram meet in compact blobs; a task adds up what its column block gives for each pair, the
     counts of all column blocks are summed, and pairs below their bound go: up to the smaller of two
     prefix ends the overlap is known, beyond it no more than the rest of that row can be shared. An
-    n-gram of very many rows (``HOT_ROWS``) is a node of its own instead, so its rows never meet in one task.
+    n-gram of very many rows (``HOT_ROWS``) is a node of its own instead, so its rows never meet in one task. One that
+    turns out to be so frequent only here, as it was not among the ranked ones, ties its rows to the
+    first of them with a count that no bound exceeds: its edges, too, are as many as its rows.
     """
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = pa.schema([("part", pa.int32()), ("posts", pa.binary())])
@@ -202,6 +206,11 @@ def candidate_links(spark: SparkSession, distinct: DataFrame, percent: int) -> D
             i, j = [], []
             for m in np.unique(length[length > 1]):
                 at = order[first[length == m][:, None] + np.arange(m)[None, :]]
+                if m >= HOT_ROWS:
+                    a, b = np.repeat(post["row"][at[:, 0]], m - 1), post["row"][at[:, 1:]].ravel()
+                    a, b = a[a != b], b[a != b]
+                    yield rows(pair, (a, b, np.full(len(a), CERTAIN), np.zeros(len(a), np.int64)))
+                    continue
                 u, v = np.triu_indices(int(m), 1)
                 for low in range(0, len(at), max(1, 1_000_000 // len(u))):
                     some = at[low : low + max(1, 1_000_000 // len(u))]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 
-from corpusmill.llm import exact_search, license_scan, packing, tokens
+from corpusmill.llm import exact_search, license_scan, ngram_join, packing, tokens
 from corpusmill.llm.chat_format import chat_digests, format_chats, parse_chats
 from corpusmill.llm.common import components, pack_gaps, rolling, unpack_gaps, word_hashes
 from corpusmill.llm.mixing import mix_documents, mix_sources
@@ -108,6 +108,16 @@ def test_ngram_join_equals_all_pairs(spark):
     assert Counter(map(tuple, tiled.collect())) == joined(rows)
 
 
+@pytest.mark.parametrize("ranked", [True, False])
+def test_ngram_join_with_frequent_ngrams(spark, monkeypatch, ranked):
+    """N-grams of more rows than HOT_ROWS, known as such from the counts or not."""
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 4)
+    if not ranked:
+        monkeypatch.setattr(ngram_join, "frequent_ngrams", lambda docs, k: (np.empty(0, np.uint64), 0))
+    rows = corpus(5)
+    assert Counter(map(tuple, ngram_jaccard_join(table(spark, rows)).collect())) == joined(rows)
+
+
 def test_ngram_join_repeated_and_null_ids(spark):
     rows = [(None, "a b c d e f"), (4, "A b c d e f"), (4, "A b c d e f"), (9, None), (None, None), (5, "other words of one text here")]
     got = Counter(map(tuple, ngram_jaccard_join(table(spark, rows)).collect()))
