@@ -116,8 +116,11 @@ def test_nearest_scoped_and_ann_recall(spark):
     got = V.nearest_scoped(queries, members, 3, "chunk_id").collect()
     assert all(r["chunk_id"] % 2 == r["query_id"] % 2 for r in got) and len(got) == 18
     exact = {(r["query_id"], r["chunk_id"]) for r in dense.dense_topk(queries, vectors, 5).collect()}
-    near = {(r["query_id"], r["chunk_id"]) for r in dense.ann_topk(queries, vectors, 5, bucket=4.0).collect()}
-    assert len(exact & near) / len(exact) >= 0.8
+    near = {(r["query_id"], r["chunk_id"]) for r in dense.ann_topk(queries, vectors, 5).collect()}
+    assert len(exact & near) / len(exact) >= 0.9
+    pairs = dense.ann_candidates(queries, vectors, probe=8)
+    assert pairs.count() == pairs.select("query_id", "chunk_id").distinct().count() < 6 * 200 / 2
+    assert dense.ann_topk(queries, vectors.limit(0), 5).count() == 0
 
 
 def test_rrf(spark):
