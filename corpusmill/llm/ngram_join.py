@@ -151,7 +151,7 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def candidate_links(spark: SparkSession, distinct: DataFrame, percent: int) -> DataFrame:
+def candidate_links(spark: SparkSession, matrix: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect every two rows which may link.
 
     Rows of one n-gram meet in compact blobs; a task adds up what its column block gives for each pair, the
@@ -159,7 +159,8 @@ def candidate_links(spark: SparkSession, distinct: DataFrame, percent: int) -> D
     prefix ends the overlap is known, beyond it no more than the rest of that row can be shared. An
     n-gram of very many rows (``HOT_ROWS``) is a node of its own instead, so its rows never meet in one task. One that
     turns out to be so frequent only here, as it was not among the ranked ones, ties its rows to the
-    first of them with a count that no bound exceeds: its edges, too, are as many as its rows.
+    first of them with a count that no bound exceeds: its edges, too, are as many as its rows. Edges to hot n-grams are
+    taken from all documents, copies included, so that only prefixes are dealt out by row.
     """
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = pa.schema([("part", pa.int32()), ("posts", pa.binary())])
@@ -237,9 +238,10 @@ def candidate_links(spark: SparkSession, distinct: DataFrame, percent: int) -> D
             if any(blobs):
                 yield rows(edge, forest(np.frombuffer(b"".join(blobs), np.int64), np.repeat(np.asarray(batch.column("row")), [len(b) // 8 for b in blobs])))
 
-    cold = distinct.mapInArrow(spread, "part int, posts binary").repartition(parts // 2, "part").mapInArrow(meet, "a long, b long, c int, need int")
+    held = matrix.filter("row is not null")
+    cold = held.select("row", "n", "theta", "prefix").dropDuplicates(["row"]).mapInArrow(spread, "part int, posts binary").repartition(parts // 2, "part").mapInArrow(meet, "a long, b long, c int, need int")
     cold = cold.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).filter("c >= need").select("a", "b")
-    return cold.union(distinct.filter("length(hot) > 0").mapInArrow(hot, "a long, b long"))
+    return cold.union(held.filter("length(hot) > 0").select("row", "hot").mapInArrow(hot, "a long, b long"))
 
 
 def product_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -283,9 +285,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, block_row
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent, cold = frequent_ngrams(docs, k)
     matrix = cut_lineage(incidence(docs, k, percent, frequent, cold))
-    distinct = matrix.filter("row is not null").dropDuplicates(["row"])
     size = matrix.filter("row is not null").groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("n").alias("n"))
-    candidates = components(candidate_links(spark, distinct, percent))
+    candidates = components(candidate_links(spark, matrix, percent))
     member = cut_lineage(candidates.withColumnRenamed("node", "row").join(size, "row"))
     blocks = member.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("entries")).filter("m > 1")
     blocks = blocks.select("root", F.ceil(F.greatest(F.col("m") / block_rows, F.col("entries") / block_entries)).cast("int").alias("parts"))
