@@ -29,7 +29,8 @@ LEAST_DOCUMENTS, LEAST_NEIGHBOURS = 4, 4
 LEAST_EVIDENCE = 1.5
 STEMS = (4, 5, 6)
 KEPT_WORDS = 300_000
-LONGEST_WORD = 40
+#: Long runs are decoded in windows; a word of up to SHARED characters, separators included, lies whole in one of them.
+WINDOW, SHARED = 240, 80
 
 SYMBOLS = 64
 SPACE, LETTER, OTHER = 60, 59, 61
@@ -47,9 +48,18 @@ LOOKALIKES = {
 #: Costs (negative log probabilities) of the channel's steps.
 SUBSTITUTED, REPEATED, SEPARATED, KEPT_APART, DROPPED = 1.2, 0.4, 0.3, 1.5, 4.0
 
-_SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][0-9@$!|+(<€£¡*]+[^\W\d_]|[@$!|+(<€£¡0-9]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|+(<€£¡]|[^\W\d_][.\-_*~][^\W\d_][.\-_*~]")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\s.\-_*~|][^\W_]){3,}(?![^\W_])")
-_EDGES = ".,;:?!\"'()[]{}«»“”"
+_ALIKE = "".join(c for c in LOOKALIKES if not c.isdigit())
+#: A doubled letter, or a letter or look-alike in a word that is not all letters.
+_DOUBLED = re.compile(r"([^\W\d_])\1")
+_READABLE = re.compile(rf"[^\W_]|[{re.escape(_ALIKE)}]")
+#: Single characters, look-alikes too and each perhaps repeated, with any number of separators between them.
+_UNIT = rf"([^\W_]|[{re.escape(_ALIKE)}])\{{}}*+(?![^\W_])"
+_SPACED = re.compile(rf"(?<![^\W_]){_UNIT.format(1)}(?:[\s.,\-_*~|]++{_UNIT.format(2)}){{2,}}+")
+_GAP = re.compile(r"[\s.,\-_*~]{2,}")
+_LONG_REPEAT = re.compile(r"(.)\1{3,}", re.DOTALL)
+#: Edges that never stand for a letter, and those that may.
+_EDGES = ".,;:?\"')[]{}«»“”"
+_LOOSE_EDGES = _EDGES + "(!|+<¡"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -87,7 +97,7 @@ def restore(seen: str, model: np.ndarray) -> str:
     """The likeliest text behind ``seen`` (lower case): Viterbi search over the lattice of its characters.
 
     A state is the last two characters; each seen character is kept, replaced by a letter that it looks like, taken as a repetition, or, if
-    it separates letters, left out.
+    it separates letters, left out or taken as a blank.
     """
     states: dict[tuple[int, int], tuple[float, str]] = {(SPACE, SPACE): (0.0, "")}
     last = ""
@@ -99,7 +109,7 @@ def restore(seen: str, model: np.ndarray) -> str:
             steps += [(" ", KEPT_APART), ("", SEPARATED)]
         else:
             steps += [(x, SUBSTITUTED) for x in LOOKALIKES.get(c, "")]
-            steps.append(("", SEPARATED if c in ".-_*~|" else DROPPED))
+            steps += [("", SEPARATED), (" ", KEPT_APART)] if c in ".-_*~|" else [("", DROPPED)]
         if c == last:
             steps.append(("", REPEATED))
         last = c
@@ -126,11 +136,24 @@ class ToxicityModel:
     constant: float | None = None
 
 
+def suspects(word: str) -> list[str]:
+    """The forms of a lower-cased word that may be obfuscated: without its edges, and also without those that look like letters."""
+    forms = {word.strip(_EDGES), word.strip(_LOOSE_EDGES)}
+    return sorted(f for f in forms if len(f) > 2 and (_DOUBLED.search(f) or not f.isalpha() and _READABLE.search(f)))
+
+
+def decoded(seen: str, model: np.ndarray) -> list[str]:
+    """What is restored from a run of any length, window by window."""
+    seen = _LONG_REPEAT.sub(r"\1\1\1", seen)
+    return [restore(seen[i : i + WINDOW], model) for i in range(0, max(1, len(seen) - SHARED), WINDOW - SHARED)]
+
+
 def readings(word: str, model: np.ndarray) -> list[str]:
     """The letter runs of a lower-cased word, and of what is restored from it if it may be obfuscated."""
     found = _LETTERS.findall(word)
-    if len(word) <= LONGEST_WORD and _SUSPECT.search(word):
-        found += _LETTERS.findall(restore(word.strip(".,;:?\"'()[]{}«»“”"), model))
+    for seen in suspects(word):
+        for text in decoded(seen, model):
+            found += _LETTERS.findall(text)
     return found
 
 
@@ -138,9 +161,14 @@ def features(run: str) -> list[str]:
     return [run, *(run[:n] + "*" for n in STEMS if len(run) > n)]
 
 
+def spaced_runs(text: str) -> list[str]:
+    """Runs of single characters with separators between them, several separators as one."""
+    return [_GAP.sub(lambda g: " " if any(map(str.isspace, g[0])) else g[0][0], m[0]) for m in _SPACED.finditer(text)]
+
+
 def spaced_out(text: str, model: np.ndarray) -> list[str]:
     """Words restored from runs of single characters with separators between them."""
-    return [w for m in _SPACED.findall(text) for i in range(0, len(m), 200) for w in _LETTERS.findall(restore(m[i : i + 240], model)) if len(w) > 2]
+    return [w for m in spaced_runs(text) for d in decoded(m, model) for w in _LETTERS.findall(d) if len(w) > 2]
 
 
 class _Scorer:
@@ -203,11 +231,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Toxicity
 
 
 def _lexicon(texts: DataFrame, model: ToxicityModel) -> dict[str, float]:
-    characters = model.characters
+    def found_in(known: dict[str, set[str]], word: str) -> set[str]:
+        if word not in known:
+            if len(known) > KEPT_WORDS:
+                known.clear()
+            known[word] = {f for r in readings(word, model.characters) for f in features(r)}
+        return known[word]
+
     found_schema = pa.schema([("feature", pa.string()), ("near", pa.int64())])
     count_schema = pa.schema([("feature", pa.string()), ("n", pa.int64())])
 
     def in_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, set[str]] = {}
         for batch in batches:
             for _, _, found in slices(batch):
                 out: dict[tuple[str, int], int] = {}
@@ -215,7 +250,7 @@ def _lexicon(texts: DataFrame, model: ToxicityModel) -> dict[str, float]:
                     words, seen = t.decode().lower().split(), set()
                     for k, w in enumerate(words):
                         near = _pair(words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "")
-                        for f in {f for r in readings(w, characters) for f in features(r)}:
+                        for f in found_in(known, w):
                             if f not in seen:
                                 seen.add(f)
                                 out[f, i] = near
@@ -227,10 +262,11 @@ def _lexicon(texts: DataFrame, model: ToxicityModel) -> dict[str, float]:
 
     def in_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
+        known: dict[str, set[str]] = {}
         for batch in batches:
             for _, _, found in slices(batch):
                 for t in found:
-                    total.update({f for w in set(t.decode().lower().split()) for r in readings(w, characters) for f in features(r)}.intersection(toxic))
+                    total.update({f for w in set(t.decode().lower().split()) for f in found_in(known, w)}.intersection(toxic))
         yield rows(count_schema, (list(total), list(total.values())))
 
     clean = texts.filter("toxic = 0").select("text").mapInArrow(in_clean, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
@@ -319,8 +355,8 @@ def restored_words(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 out = []
                 for doc, t in zip(ids[low:], found):
                     lower = t.decode().lower()
-                    seen = [w.strip(_EDGES) for w in lower.split() if len(w) <= LONGEST_WORD and _SUSPECT.search(w)] + _SPACED.findall(lower)
-                    out += [(doc, w, restore(w[:240], model.characters)) for w in seen]
+                    seen = [s for w in lower.split() for s in suspects(w)] + spaced_runs(lower)
+                    out += [(doc, w, d) for w in seen for d in decoded(w, model.characters)]
                 yield rows(schema, tuple(zip(*out)) or ([], [], []))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(show, "doc_id long, seen string, restored string")

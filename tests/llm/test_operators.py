@@ -176,6 +176,24 @@ def test_toxicity_without_labels(spark):
     assert score_toxicity(empty, fit_toxicity(empty, labels)).count() == 0
 
 
+OBFUSCATED = [
+    "5h17", "a$$", "4$$", "stuupid", "iiddiioott", "sc.um", "s_tupid", "1 d ! o t", "$ c u m", "i  d  i  o  t", "i. d. i. o. t", "a s s",
+    "$ t u p i d", "river-" * 10 + "st.upid", "id" + "i" * 300 + "ot", "(1d!ot!)", "s " + ". " * 200 + "c u m",
+]
+
+
+def test_toxicity_decodes_every_form(spark):
+    """Each form alone between clean words: found, and the same text without it not."""
+    r, bad = random.Random(2), "shit ass stupid idiot scum".split()
+    say = lambda n: [r.choice("the of and then house tree river stone light water cloud paper".split()) for _ in range(n)]
+    docs = [(i, " ".join(say(15) + [bad[i // 2 % 5]] * (i % 2) + say(15))) for i in range(800)]
+    docs += [(1000 + k, " ".join([*say(12), form, *say(12)])) for k, form in enumerate(OBFUSCATED)] + [(2000, "1 2 3 in 2024, well-known letters (e.g. 50 %) cost $5")]
+    model = fit_toxicity(table(spark, docs), spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id long, toxic int"))
+    got = {x.doc_id: x.predicted for x in score_toxicity(table(spark, docs), model).collect()}
+    assert [f for k, f in enumerate(OBFUSCATED) if not got[1000 + k]] == []
+    assert got[2000] == 0 and all(got[i] == i % 2 for i in range(800))
+
+
 def test_license_scan_matches_plain_alignment(spark):
     index = license_scan.Index(license_scan.TEMPLATES)
     mit = license_scan.TEMPLATES["MIT"]
