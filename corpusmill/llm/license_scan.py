@@ -1,4 +1,4 @@
-"""License scan: winnowed template fingerprints pick candidates, banded alignment reports coverage and spans.
+"""License scan: fingerprints of the templates pick candidates, banded alignment reports coverage and spans.
 
 The index maps fingerprints of the templates (a bounded table that goes to every task) to template and place. All word windows of a
 text are looked up in one vector operation; hits close to one diagonal are one candidate, which is aligned within a band around
@@ -7,7 +7,9 @@ its diagonals. Texts stay where they are: one pass over the documents without a
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import rolling, rows, slices, word_hashes
 from corpusmill.llm.license_texts import TEMPLATES
 
-#: Words of a fingerprint, and fingerprints of which the smallest is kept.
-SHINGLE, WINNOW = 3, 4
+#: Words of a fingerprint, at most.
+SHINGLE = 3
 
 _DROPPED = b".,;:!?()[]{}\"'<>*#/"
 #: Case and punctuation don't count; places in the text stay the same.
@@ -27,42 +29,39 @@ _PLAIN = bytes.maketrans(bytes(range(65, 91)) + _DROPPED, bytes(range(97, 123))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def winnow(h: np.ndarray, width: int = WINNOW) -> np.ndarray:
-    """Places of the smallest hash of every ``width`` neighbours, the last one of equals; all for shorter input."""
-    if len(h) <= width:
-        return np.array([len(h) - 1 - int(np.argmin(h[::-1]))]) if len(h) else np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(h, width)
-    return np.unique(np.arange(len(view)) + width - 1 - np.argmin(view[:, ::-1], axis=1))
+def shingle_words(n: int, least: float) -> int:
+    """Words of a fingerprint so short that one stays whole in every match of at least ``least`` of ``n`` words with one word put in."""
+    changed = n - math.ceil(least * n - 1e-9)
+    return next((k for k in range(SHINGLE, 1, -1) if n - (k - 1) - k * changed - (k - 1) >= 1), 1)
 
 
 class Index:
-    """Inverted index of the templates' winnowed fingerprints."""
+    """Inverted index of all the templates' fingerprints, by their number of words."""
 
-    def __init__(self, templates: Mapping[str, str]):
+    def __init__(self, templates: Mapping[str, str], least: float = 0.8):
         self.names = sorted(templates)
         self.words: list[np.ndarray] = []
-        value, owner, place = [], [], []
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for t, name in enumerate(self.names):
             words = word_hashes([templates[name].encode().translate(_PLAIN)])[0]
             self.words.append(words)
-            h = rolling(words, SHINGLE)
-            at = winnow(h)
-            value.append(h[at])
-            owner.append(np.full(len(at), t))
-            place.append(at)
-        value, self.owner, self.place = (np.concatenate(x) for x in (value, owner, place))
-        order = np.argsort(value, kind="stable")
-        self.value, self.owner, self.place = value[order], self.owner[order], self.place[order]
-
-    def hits(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
+            if len(words):
+                h = rolling(words, k := shingle_words(len(words), least))
+                found.setdefault(k, []).append((h, np.full(len(h), t), np.arange(len(h))))
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        for k, parts in sorted(found.items()):
+            value, owner, place = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(value, kind="stable")
+            self.tables[k] = value[order], owner[order], place[order]
+
+    def hits(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(template, place in it, place in the text) of every shared fingerprint."""
-        low = np.searchsorted(self.value, h, "left")
-        found = np.flatnonzero(np.append(self.value, np.uint64(0))[low] == h)
-        for p in found.tolist():
-            k = int(low[p])
-            while k < len(self.value) and self.value[k] == h[p]:
-                yield int(self.owner[k]), int(self.place[k]), p
-                k += 1
+        for k, (value, owner, place) in self.tables.items():
+            h = rolling(words, k)
+            low, high = np.searchsorted(value, h, "left"), np.searchsorted(value, h, "right")
+            for p in np.flatnonzero(high > low).tolist():
+                for x in range(int(low[p]), int(high[p])):
+                    yield int(owner[x]), int(place[x]), p
 
 
 def align(template: list[int], text: list[int], first: int, last: int, band: int) -> tuple[int, int, int]:
@@ -94,15 +93,15 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, lea
     ``least`` are left out. Spans are half open; words are those that remain when case and punctuation are dropped, characters are those
     of the text. Null and empty texts have no notices; repeated rows report each.
     """
-    index = Index(templates)
+    index = Index(templates, least)
     fields = [("doc_id", pa.int64()), ("license", pa.string()), ("matched_words", pa.int64()), ("coverage", pa.float64())]
     fields += [(c, pa.int64()) for c in ("start_word", "end_word", "start_char", "end_char")]
     schema = pa.schema(fields)
 
-    def candidates(h: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def candidates(found: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(template, lowest and highest diagonal) of hits that lie within a band of each other."""
         seen: dict[int, set[int]] = {}
-        for t, q, p in index.hits(h):
+        for t, q, p in index.hits(found):
             seen.setdefault(t, set()).add(p - q)
         for t, diagonals in sorted(seen.items()):
             band, run = _band(index.words[t]), []
@@ -119,18 +118,21 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, lea
             for low, _, texts in slices(batch):
                 plain = [t.translate(_PLAIN) for t in texts]
                 hashes, begin = word_hashes(plain)
-                h = rolling(hashes, SHINGLE)
-                some = np.flatnonzero(np.isin(h, index.value))
+                some = np.concatenate([np.flatnonzero(np.isin(rolling(hashes, k), v[0])) for k, v in index.tables.items()] or [np.empty(0, np.int64)])
                 out = []
                 for i in np.unique(np.searchsorted(begin, some, "right") - 1).tolist():
                     a, b = int(begin[i]), int(begin[i + 1])
                     words, spans = hashes[a:b].tolist(), None
-                    for t, first, last in candidates(h[a : max(a, b - SHINGLE + 1)]):
+                    for t, first, last in candidates(hashes[a:b]):
                         template = index.words[t].tolist()
                         if first == last and first >= 0 and words[first : first + len(template)] == template:
                             matched, start, end = len(template), first, first + len(template)
                         else:
-                            matched, start, end = align(template, words, first, last, _band(index.words[t]))
+                            band = _band(index.words[t])
+                            part = Counter(words[max(0, first - band) : max(0, last + band + len(template))])
+                            if (part & Counter(template)).total() < least * len(template):
+                                continue  # no alignment matches more words than both have
+                            matched, start, end = align(template, words, first, last, band)
                         if matched < least * len(template):
                             continue
                         spans = spans or [m.span() for m in _WORD.finditer(plain[i])]

@@ -216,6 +216,38 @@ def test_license_scan_matches_plain_alignment(spark):
     assert license_scan.scan_licenses(table(spark, [])).count() == 0
 
 
+def test_license_scan_finds_every_changed_notice(spark):
+    """Each word of each template changed in turn, and a word put in: found where plain alignment reaches the bound."""
+    index = license_scan.Index(license_scan.TEMPLATES)
+    plain = {n: w.tolist() for n, w in zip(index.names, index.words)}
+    texts = []
+    for name in index.names:
+        words = license_scan.TEMPLATES[name].split()
+        for i in range(len(words)):
+            texts.append(" ".join(["pad"] * 9 + words[:i] + ["changed"] + words[i + 1 :] + ["pad"] * 9))
+        texts.append(" ".join(words[:1] + ["added"] + words[1:]))
+        texts.append(" ".join("changed" if i % 5 == 2 else w for i, w in enumerate(words)))
+    want, seen_words = set(), []
+    for d, text in enumerate(texts):
+        seen = word_hashes([text.encode().translate(license_scan._PLAIN)])[0].tolist()
+        seen_words.append(seen)
+        for name, template in plain.items():
+            row = [0] * (len(seen) + 1)
+            for a in template:
+                new = [0]
+                for j, b in enumerate(seen):
+                    new.append(row[j] + 1 if a == b else max(row[j + 1], new[j]))
+                row = new
+            if row[-1] >= 0.8 * len(template):
+                want.add((d, name))
+    got = {(r.doc_id, r.license) for r in license_scan.scan_licenses(table(spark, list(enumerate(texts)))).collect()}
+    assert got <= want
+    for d, name in want - got:  # words scattered over the text: too few on any diagonal with its band
+        template, band = plain[name], license_scan._band(plain[name])
+        best = max(license_scan.align(template, seen_words[d], x, x, band)[0] for x in range(-len(template), len(seen_words[d])))
+        assert best < 0.8 * len(template), (texts[d], name)
+
+
 def test_mix_meets_targets(spark):
     r = random.Random(2)
     names = {i: ("a", "b", None, "c")[min(i % 9, 3)] if i % 3 else "a" for i in range(1500)}
