@@ -11,12 +11,29 @@ from corpusmill.sources import index as ix
 from corpusmill.sources import logs
 
 
+#: Rows of a text file, at most.
+FILE_ROWS = 100
+
+#: Files that give no text, are empty or not in UTF-8.
+ODD_FILES = {
+    "empty.txt": b"", "blank.txt": b" \n\n", "latin.txt": b"caf\xe9 \xff\xfe\x80", "notes.md": b"# Notes\n\nline\n", "table.csv": b"a,b\n1,2\n",
+    "paper.pdf": b"%PDF-1.4\n\x00\xff", "letter.docx": b"PK\x03\x04\x00", "picture.png": b"\x89PNG",
+}
+
+
 def text_folder(spark, sf):
-    """Text files of the documents, one folder per source."""
+    """Text files of the documents, one folder per source, each task writing files of bounded size; and a folder of odd ones."""
     path = scratch_dir(spark, "texts")
-    table(spark, sf, "documents").select(
-        F.col("source").alias("folder"), F.regexp_replace("text", "[\r\n]+", " ").alias("text")
-    ).repartition("folder").write.partitionBy("folder").text(path)
+    docs = table(spark, sf, "documents").select(F.col("source").alias("folder"), "text")
+    docs.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("folder").text(path)
+    jvm = spark._jvm
+    for name, content in ODD_FILES.items():
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/odd/{name}")
+        out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
     return path
 
 

@@ -70,7 +70,7 @@ def load_with_errors(spark: SparkSession, path: str, recursive: bool = False) ->
     """Every file with a status; a file that gives no text never stops the others."""
     files = decode_text(read_files(spark, path, recursive))
     binary = ~F.col("loader").isin(*TEXT_LOADERS)
-    error = F.when(binary, "binary format, decoded outside").when(F.trim(F.coalesce("text", F.lit(""))) == "", "no text")
+    error = F.when(binary, "binary format, decoded outside").when(~F.coalesce("text", F.lit("")).rlike(r"(?U)\S"), "no text")
     return files.select(
         "file_path", "source", "file_type", F.when(error.isNull(), F.col("text")).alias("text"),
         F.when(error.isNull(), "ok").otherwise("error").alias("status"), error.alias("error"),
