@@ -44,6 +44,10 @@ def _(spark, sf):
     return hits.select("query_id", "chunk_id", "rank", "score", "match_type")
 
 
+#: What the English questions need in place of the Chinese defaults.
+COMPLEX = {"evidence": fusion.EVIDENCE_EN, "step_back": routing.STEP_BACK_EN, "sub_queries": routing.SUB_QUERIES_EN}
+
+
 OPENINGS = ("", "hello", "list all members: ", "")
 OPENED_SQL = "benchmark as (select item_id, case item_id % 4 when 1 then 'hello' when 2 then 'list all members: ' || text else text end as text from benchmark)"
 
@@ -62,29 +66,49 @@ def opened(spark, sf):
 )
 def _(spark, sf):
     """Greetings retrieve nothing, low-cost list questions keep five hits, the rest six."""
-    hits = se.adaptive_search(
-        opened(spark, sf), index(spark, sf), pack=EN, budget_words=BUDGET_EN, strategies=("no_retrieval", "single_step")
-    )
+    hits = se.adaptive_search(opened(spark, sf), index(spark, sf), pack=EN, budget_words=BUDGET_EN, **COMPLEX)
     return rounded(hits.select("query_id", "chunk_id", "rank", "score", "strategy"))
 
 
-#: What the English questions need in place of the Chinese defaults.
-COMPLEX = {"evidence": fusion.EVIDENCE_EN, "step_back": routing.STEP_BACK_EN, "sub_queries": routing.SUB_QUERIES_EN}
+def opened_complex(spark, sf):
+    """As ``opened``; the other questions ask for reasons or for people, each every second time."""
+    i = F.col("query_id") % 8
+    opening = F.when(i == 3, "why is it so: ").when(i == 7, "who could support this: ").otherwise("")
+    return opened(spark, sf).withColumn("query", F.concat(opening, "query"))
 
 
 @query("adaptive_search_all")
 def _(spark, sf):
-    """As above with every strategy: complex questions search in several steps, with vectors for each rewrite."""
-    hits = se.adaptive_search(opened(spark, sf), index(spark, sf), outside_rewrites(spark, sf), pack=EN, budget_words=BUDGET_EN, **COMPLEX)
+    """As above with complex questions, which search in several steps, with vectors for each rewrite."""
+    hits = se.adaptive_search(opened_complex(spark, sf), index(spark, sf), pack=EN, budget_words=BUDGET_EN, **several_steps(spark, sf))
     return rounded(hits.select("query_id", "chunk_id", "rank", "score", "strategy"))
 
 
-def outside_rewrites(spark, sf):
-    words = F.split("text", " ")
-    return table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.array(F.array_join(F.slice(words, 1, 8), " "), F.array_join(F.slice(words, 5, 8), " ")).alias("rewrites"),
-    )
+def several_steps(spark, sf):
+    """What comes from outside: both halves of each text as rewrites, the text as fallback and suggestion, vectors for all of them."""
+    given = table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
+    words, half = F.split("text", " "), F.ceil(F.size(F.split("text", " ")) / 2).cast("int")
+    halves = F.array(F.slice(words, 1, half), F.slice(words, half + 1, F.size(words)))
+    rewrites = F.filter(F.transform(halves, lambda h: F.array_join(h, " ")), lambda t: t != "")
+    return COMPLEX | {
+        "rewrites": given.select("query_id", rewrites.alias("rewrites")),
+        "fallback": given.select("query_id", F.col("text").alias("query")),
+        "suggestions": given.select("query_id", F.col("text").alias("suggestion")),
+        "embed": embedder(spark, sf),
+    }
+
+
+def embedder(spark, sf):
+    """Texts without a vector stand for one of the given vectors, by hash."""
+    given = vectors(spark, sf).agg(F.count("*").alias("n")).first().n
+    numbered = table(spark, sf, "embeddings").select(F.col("vec_id").alias("__vec"), F.col("embedding").alias("__embedding"))
+
+    def embed(texts):
+        at = F.pmod(F.xxhash64("query"), F.lit(max(given, 1)))
+        joined = texts.withColumn("__vec", F.when(F.col("vector").isNull(), at)).join(numbered, "__vec", "left")
+        return joined.withColumn("vector", F.coalesce("vector", "__embedding")).drop("__vec", "__embedding")
+
+    return embed
 
 
 @query("multi_step")
@@ -92,10 +116,7 @@ def _(spark, sf):
     i = F.col("query_id") % 3
     opening = F.when(i == 0, "why is it so: ").when(i == 1, "who could support this: ").otherwise("")
     asked = question_vectors(spark, sf).withColumn("query", F.concat(opening, F.col("query")))
-    hits = se.multi_step(
-        asked, index(spark, sf), outside_rewrites(spark, sf), pack=EN, evidence=fusion.EVIDENCE_EN,
-        step_back=routing.STEP_BACK_EN, sub_queries=routing.SUB_QUERIES_EN,
-    )
+    hits = se.multi_step(asked, index(spark, sf), pack=EN, **several_steps(spark, sf))
     return hits.select("query_id", "chunk_id", "rank", "score")
 
 
@@ -113,17 +134,15 @@ def _(spark, sf):
     asked = opened(spark, sf)
     paths = F.explode(F.array(*map(F.lit, ("direct", "standard", "adaptive"))))
     answers = asked.select("query_id", F.col("query").alias("answer"), paths.alias("path"))
-    return se.compare_strategies(
-        asked, index(spark, sf), answers, pack=EN, budget_words=BUDGET_EN, strategies=("no_retrieval", "single_step")
-    )
+    return se.compare_strategies(asked, index(spark, sf), answers, pack=EN, budget_words=BUDGET_EN, **COMPLEX)
 
 
 @query("compare_strategies_all")
 def _(spark, sf):
-    asked = opened(spark, sf)
+    asked = opened_complex(spark, sf)
     paths = F.explode(F.array(*map(F.lit, ("direct", "standard", "adaptive"))))
     answers = asked.select("query_id", F.col("query").alias("answer"), paths.alias("path"))
-    return se.compare_strategies(asked, index(spark, sf), answers, rewrites=outside_rewrites(spark, sf), pack=EN, budget_words=BUDGET_EN, **COMPLEX)
+    return se.compare_strategies(asked, index(spark, sf), answers, pack=EN, budget_words=BUDGET_EN, **several_steps(spark, sf))
 
 
 @query(
