@@ -46,37 +46,40 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def _hash_slice(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_slice(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     solid = ~_SPACE[buf]
     edge = np.diff(solid.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return starts, np.empty(0, np.uint64)
+        return starts, starts, np.empty(0, np.uint64)
     lens = ends - starts
     first = np.concatenate(([0], np.cumsum(lens)[:-1]))
     inside = np.arange(int(lens.sum())) - np.repeat(first, lens)
     value = _BYTE[buf[solid]] * _powers(int(lens.max()))[inside]
-    return starts, mix(np.add.reduceat(value, first) + lens.astype(np.uint64) * _STEP)
+    return starts, lens, mix(np.add.reduceat(value, first) + lens.astype(np.uint64) * _STEP)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of UTF-8 texts, and where each text's words begin (n + 1 offsets)."""
-    joined = b"\n".join(texts)
-    buf = np.frombuffer(joined, np.uint8)
-    starts, hashes, at = [], [], 0
+def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and 64-bit hash of all words of a run of bytes."""
+    found, at = [], 0
     with np.errstate(over="ignore"):
         while at < len(buf):
             end = min(at + SLICE_BYTES, len(buf))
             while end < len(buf) and not _SPACE[buf[end]]:
                 gap = np.flatnonzero(_SPACE[buf[end : end + SLICE_BYTES]])
                 end = end + int(gap[0]) if len(gap) else min(end + SLICE_BYTES, len(buf))
-            s, h = _hash_slice(buf[at:end])
-            starts.append(s + at)
-            hashes.append(h)
+            s, n, h = _hash_slice(buf[at:end])
+            found.append((s + at, n, h))
             at = end
-    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-    where = np.concatenate(starts) if starts else np.empty(0, np.int64)
-    return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), np.searchsorted(where, begins)
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of UTF-8 texts, and where each text's words begin (n + 1 offsets)."""
+    where, _, hashes = word_spans(np.frombuffer(b"\n".join(texts), np.uint8))
+    return hashes, np.searchsorted(where, np.cumsum([0] + [len(t) + 1 for t in texts]))
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:

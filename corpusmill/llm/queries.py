@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusmill.llm.chat_format import chat_digests, format_chats
+from corpusmill.llm.collocations import collocations
 from corpusmill.llm.exact_search import exact_top_k
 from corpusmill.llm.license_scan import scan_licenses
 from corpusmill.llm.mixing import mix_sources
 from corpusmill.llm.ngram_join import ngram_jaccard_join
 from corpusmill.llm.packing import best_fit_pack
+from corpusmill.llm.periodic_runs import periodic_runs, run_digests
 from corpusmill.llm.quality_rules import quality_verdicts
 from corpusmill.llm.substring_dedup import substring_dedup
 from corpusmill.llm.token_files import token_round_trip
 from corpusmill.llm.toxicity import fit_toxicity, is_held_out, score_toxicity
+from corpusmill.llm.vector_dedup import near_duplicate_vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -167,4 +172,64 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
+@query(
+    "op11_vector_dedup",
+    """with v as (select vec_id, list_transform(embedding, lambda x: x::double) x from embeddings where vec_id is not null and len(embedding) > 0
+        and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x)))
+        and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+    l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) where list_cosine_similarity(a.x, b.x) >= 0.9),
+    d as (select a vec_id, count(*) n from l group by 1),
+    r(vec_id, c) as (select a, a from l union select l.b, r.c from r join l on l.a = r.vec_id),
+    m as (select vec_id, min(c) c from r group by 1)
+    select vec_id, coalesce(n, 0)::bigint n_links, coalesce(c, vec_id) component_id, coalesce(c = vec_id, true) kept
+    from embeddings left join d using (vec_id) left join m using (vec_id)""".replace("with v", "with recursive v", 1),
+)
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op12_collocations",
+    r"""with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents),
+    w as (select lang, row_number() over () piece, regexp_extract_all(p, '[^\x20\x09]+') w from p),
+    u as (select lang, piece, unnest(w) x, unnest(range(len(w))) i from w),
+    t as (select lang, x, lead(x) over v y, lead(x, 2) over v z from u window v as (partition by piece order by i)),
+    n as (select lang, count(*) n from u group by 1),
+    f1 as (select lang, x, count(*) a from t group by 1, 2 having count(*) >= 10),
+    f2 as (select lang, x, y, count(*) a from t where y is not null group by 1, 2, 3 having count(*) >= 10),
+    f3 as (select lang, x, y, z, count(*) a from t where z is not null group by 1, 2, 3, 4 having count(*) >= 10),
+    c as (select lang, x || ' ' || y phrase, x, y, null z, f2.a, 1 k, l.a l, r.a r
+            from f2 join f1 l using (lang, x) join (select lang, x y, a from f1) r using (lang, y)
+        union all select lang, x || ' ' || y || ' ' || z, x, y, z, f3.a, 1, l.a, r.a
+            from f3 join f1 l using (lang, x) join (select lang, x y, y z, a from f2) r using (lang, y, z)
+        union all select lang, x || ' ' || y || ' ' || z, x, y, z, f3.a, 2, l.a, r.a
+            from f3 join f2 l using (lang, x, y) join (select lang, x z, a from f1) r using (lang, z)),
+    s as (select *, (1000000::hugeint * a * a // (l::hugeint * r))::bigint score from c),
+    m as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+    i as (select lang, x, y, max(a) longer from (select lang, x, y, a from f3 union all select lang, y, z, a from f3) group by 1, 2, 3),
+    q as (select m.* from m left join i on i.lang = m.lang and i.x = m.x and i.y = m.y and m.z is null where longer is null or 100 * longer < 50 * m.a)
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) rank, phrase, a, l, r, n, score
+    from q join n using (lang) qualify rank <= 2000""",
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+def repeating(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a text; in a tenth of the documents those from some place on repeat the first of them."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(read(spark, sf_dir, "documents"), prepare=repeating))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
