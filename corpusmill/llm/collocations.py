@@ -5,9 +5,9 @@ of all suffixes in the order of their first words, and the same for the reversed
 phrase is an interval of rows in both indexes; all intervals of one length are extended together, to the right over the transform of the
 reversed index and to the left over that of the forward one. As the depth is limited, rows are ordered by one word less than that only.
 
-Counts are summed over shards twice. The first pass sends hashes of words and pairs; those that reach the least count set bits in a
-filter of fixed size. The second pass counts words, pairs and triples whose words and pairs are in the filter, now with their words. As the
-filter never misses a frequent one, counts are exact however full it gets; a fuller one lets more rare phrases through to the sum.
+Counts are summed over shards twice. The first pass sends hashes of all phrases; those that reach the least count set bits in a filter
+of fixed size. The second pass counts the phrases in the filter, now with their words, and does not extend others. As the filter never
+misses a frequent phrase, counts are exact however full it gets; a fuller one lets more rare phrases through to the second sum.
 """
 
 from __future__ import annotations
@@ -183,13 +183,15 @@ def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Shard]:
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for shard in _shards(batches, SHARD_BYTES):
         if shard.size:
-            index = shard.index(1)
-            for x in (one := index.single(), index.right(one, last=True)):
+            index = shard.index(2)
+            one = index.single()
+            two = index.right(one)
+            for x in (one, two, index.left(two, last=True)):
                 yield rows(_HASHES, (signed(shard.names(x.words)), x.count))
 
 
 def _filter(docs: DataFrame, least: int) -> Broadcast:
-    """Bits at the hashes of all words and pairs that reach ``least``; collected by blocks of 4 KB, ``FILTER_BITS`` in all."""
+    """Bits at the hashes of all phrases that reach ``least``; collected by blocks of 4 KB, ``FILTER_BITS`` in all."""
     frequent = docs.mapInArrow(_hashed, "gram long, c int").groupBy("gram").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
     bit = F.pmod(F.col("gram"), F.lit(FILTER_BITS)) + 1
     blocks = frequent.select(F.bitmap_bucket_number(bit).alias("block"), F.bitmap_bit_position(bit).alias("bit"))
@@ -228,7 +230,7 @@ def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
             two = two.take(_passes(bits.value, shard.names(two.words)))
             yield _named(shard, two)
             three = index.left(two, last=True)
-            yield _named(shard, three.take(_passes(bits.value, shard.names(three.words[:, :2]))))
+            yield _named(shard, three.take(_passes(bits.value, shard.names(three.words))))
 
     return docs.mapInArrow(count, "lang string, w1 long, w2 long, w3 long, c long, word binary")
 
@@ -293,7 +295,10 @@ def collocations(docs: DataFrame, least: int = 10, best: int = 2000, keep_percen
 
     # Ties stay until the words are known; the filter on the rank cuts every partition before the shuffle.
     order = [F.desc("score"), F.desc("a")]
-    first = kept.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= best).drop("place")
+    first = kept.withColumn("salt", F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(SALTS)))
+    for group in (("lang", "salt"), ("lang",)):
+        first = first.withColumn("place", F.rank().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("place") <= best)
+    first = first.drop("place", "salt")
     for i in (1, 2, 3):
         first = first.join(words.select("lang", F.col("w1").alias(f"w{i}"), F.col("word").alias(f"t{i}")), ["lang", f"w{i}"], "inner" if i < 3 else "left")
     named = first.withColumn("phrase", F.concat_ws(" ", "t1", "t2", "t3"))
