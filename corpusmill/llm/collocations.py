@@ -25,8 +25,8 @@ from corpusmill.functions.session import cut_lineage
 from corpusmill.functions.skew import each
 from corpusmill.llm.common import mix, rows, signed, word_spans
 
-#: Bytes of text in a shard, but for single longer texts; about two million words.
-SHARD_BYTES = 12_000_000
+#: Bytes of text in a shard, but for single longer texts; about a million words.
+SHARD_BYTES = 6_000_000
 #: Bits of the filter that the first pass builds: 16 MB, whatever the input.
 FILTER_BITS = 1 << 27
 #: Tasks among which the phrases with the same first or last word are dealt.
