@@ -5,8 +5,8 @@ of all suffixes in the order of their first words, and the same for the reversed
 phrase is an interval of rows in both indexes; all intervals of one length are extended together, to the right over the transform of the
 reversed index and to the left over that of the forward one. As the depth is limited, rows are ordered by one word less than that only.
 
-Counts are summed over shards twice. The first pass sends hashes of all phrases; those that reach the least count set bits in a filter
-of fixed size. The second pass counts the phrases in the filter, now with their words, and does not extend others. As the filter never
+Counts are summed over shards twice. The first pass sends short hashes of all phrases, as blobs of a shard's hashes for one range of them;
+those that reach the least count set bits in a filter of fixed size. The second pass counts the phrases in the filter, now with their words, and does not extend others. As the filter never
 misses a frequent phrase, counts are exact however full it gets; a fuller one lets more rare phrases through to the second sum.
 """
 
@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.session import cut_lineage
 from corpusmill.functions.skew import each
-from corpusmill.llm.common import mix, rows, signed, word_spans
+from corpusmill.llm.common import mix, pack_gaps, rows, signed, unpack_gaps, word_spans
 
 #: Bytes of text in a shard, but for single longer texts; about a million words.
 SHARD_BYTES = 6_000_000
 #: Bits of the filter that the first pass builds: 16 MB, whatever the input.
 FILTER_BITS = 1 << 27
+#: Bits of the hashes that the first pass sends; equal ones of different phrases only let both pass.
+SENT_BITS = 40
 #: Tasks among which the phrases with the same first or last word are dealt.
 SALTS = 8
 
@@ -40,7 +42,7 @@ _CLEAN[9] = 32
 _CLEAN = _CLEAN.tobytes()
 
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
-_HASHES = pa.schema([("gram", pa.int64()), ("c", pa.int32())])
+_HASHES = pa.schema([("part", pa.int32()), ("names", pa.binary()), ("counts", pa.binary())])
 _GRAMS = pa.schema([("lang", pa.string()), ("w1", pa.int64()), ("w2", pa.int64()), ("w3", pa.int64()), ("c", pa.int64()), ("word", pa.binary())])
 
 
@@ -180,29 +182,59 @@ def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Shard]:
         yield out(lang)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard in _shards(batches, SHARD_BYTES):
-        if shard.size:
+def _filter(docs: DataFrame, least: int) -> Broadcast:
+    """Bits at the hashes of all phrases that reach ``least``; collected by blocks of 4 KB, ``FILTER_BITS`` in all."""
+    spark = docs.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * count
+    width = np.uint8 if least < 256 else np.uint32
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, SHARD_BYTES):
+            if not shard.size:
+                continue
             index = shard.index(2)
             one = index.single()
             two = index.right(one)
-            for x in (one, two, index.left(two, last=True)):
-                yield rows(_HASHES, (signed(shard.names(x.words)), x.count))
-
-
-def _filter(docs: DataFrame, least: int) -> Broadcast:
-    """Bits at the hashes of all phrases that reach ``least``; collected by blocks of 4 KB, ``FILTER_BITS`` in all."""
-    frequent = docs.mapInArrow(_hashed, "gram long, c int").groupBy("gram").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-    bit = F.pmod(F.col("gram"), F.lit(FILTER_BITS)) + 1
-    blocks = frequent.select(F.bitmap_bucket_number(bit).alias("block"), F.bitmap_bit_position(bit).alias("bit"))
+            levels = (one, two, index.left(two, last=True))
+            name = np.concatenate([_short(shard.names(x.words)) for x in levels])
+            times = np.concatenate([x.count for x in levels])
+            part, name = name % parts, name // parts
+            order = np.lexsort((name, part))
+            name, times = name[order], np.minimum(times[order], least).astype(width)
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            held = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+            yield rows(_HASHES, (held, [pack_gaps(name[cuts[p] : cuts[p + 1]]) for p in held], [times[cuts[p] : cuts[p + 1]].tobytes() for p in held]))
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[tuple[bytes, bytes]]] = {}
+        for batch in batches:
+            for p, *x in zip(*(batch.column(c).to_pylist() for c in ("part", "names", "counts")), strict=True):
+                blobs.setdefault(p, []).append(x)
+        for p in list(blobs):
+            names, times = zip(*blobs.pop(p), strict=True)
+            name = np.concatenate([unpack_gaps(x) for x in names])
+            order = np.argsort(name)
+            name = name[order]
+            first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+            total = np.add.reduceat(np.frombuffer(b"".join(times), width)[order], first, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(name[first[total >= least]] * parts + p)], ["name"])
+
+    sent = docs.mapInArrow(send, "part int, names binary, counts binary").repartition(count, "part")
+    bit = F.pmod(F.col("name"), F.lit(FILTER_BITS)) + 1
+    blocks = sent.mapInArrow(frequent, "name long").select(F.bitmap_bucket_number(bit).alias("block"), F.bitmap_bit_position(bit).alias("bit"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for block, found in blocks.groupBy("block").agg(F.bitmap_construct_agg("bit")).collect():
         bits[(block - 1) * 4096 : block * 4096] = np.frombuffer(found, np.uint8)
-    return docs.sparkSession.sparkContext.broadcast(bits)
+    return spark.sparkContext.broadcast(bits)
+
+
+def _short(names: np.ndarray) -> np.ndarray:
+    return (names >> np.uint64(64 - SENT_BITS)).astype(np.int64)
 
 
 def _passes(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
-    at = names.view(np.int64) % FILTER_BITS
+    at = _short(names) % FILTER_BITS
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
