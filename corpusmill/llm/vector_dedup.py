@@ -25,7 +25,9 @@ SAMPLE_BYTES = 16_000_000
 SAMPLE_ROWS = 16_384
 MAX_CELLS = 1024
 CELL_ROWS = 1000
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
+#: Rows of a block that are multiplied at once.
+STRIPE_ROWS = 512
 STEPS = 8
 #: Tasks among which the copies of one vector are dealt when results return to the rows.
 SALTS = 16
@@ -55,11 +57,11 @@ def fit_centroids(unit: np.ndarray, cells: int, steps: int = STEPS) -> np.ndarra
 def border(threshold: float, dimensions: int, certain: bool) -> float:
     """How far beyond a cell's border a vector of a linked pair can lie when the middle of the pair is inside.
 
-    Half the chord of the angle, if ``certain``. Otherwise four standard deviations of a difference of that size without a preferred
+    Half the chord of the angle, if ``certain``. Otherwise three standard deviations of a difference of that size without a preferred
     direction, which is the less the more dimensions there are.
     """
     half = 2 * math.sin(math.acos(max(-1.0, min(1.0, threshold))) / 4)
-    return half if certain else min(half, 4 * half / math.sqrt(dimensions))
+    return half if certain else min(half, 3 * half / math.sqrt(dimensions))
 
 
 def cells_of(unit: np.ndarray, centre: np.ndarray, reach: float) -> np.ndarray:
@@ -92,18 +94,19 @@ def _links(left: dict, right: dict | None, threshold: float) -> tuple[np.ndarray
     ``right`` None: the block meets itself. Pairs that share a cell with a smaller number were seen there.
     """
     other = left if right is None else right
-    near = left["unit"] @ other["unit"].T >= threshold
-    if right is None:
-        np.fill_diagonal(near, False)
-    if len(left["lower"]) and len(other["lower"]):
-        width = max(left["lower"].max(initial=0), other["lower"].max(initial=0)) + 1
-        seen = [np.zeros((len(x["unit"]), width), np.float32) for x in (left, other)]
-        for mark, x in zip(seen, (left, other), strict=True):
-            mark[x["of"], x["lower"]] = 1
-        at = np.flatnonzero(seen[0].any(axis=1))
-        if len(at):
-            near[at] &= seen[0][at] @ seen[1].T == 0
-    a, b = np.nonzero(near)
+    width = max(left["lower"].max(initial=0), other["lower"].max(initial=0)) + 1
+    seen = [np.zeros((len(x["unit"]), width), np.float32) for x in (left, other)]
+    for mark, x in zip(seen, (left, other), strict=True):
+        mark[x["of"], x["lower"]] = 1
+    found = []
+    for low in range(0, len(left["unit"]), STRIPE_ROWS):
+        near = left["unit"][low : low + STRIPE_ROWS] @ other["unit"].T >= threshold
+        if right is None:
+            near[np.arange(len(near)), low + np.arange(len(near))] = False
+        a, b = np.nonzero(near)
+        new = np.einsum("ij,ij->i", seen[0][low + a], seen[1][b]) == 0 if len(left["lower"]) and len(other["lower"]) else np.ones(len(a), bool)
+        found.append((low + a[new], b[new]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(a):
         return (np.empty(0, np.int64),) * 3
     ids = [(left["key"], np.bincount(a, other["copies"][b].astype(np.float64), len(left["id"])))]
@@ -128,7 +131,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, certain:
     of different lengths, nor rows without a vec_id (their component is null and they are kept). Rows that share a vec_id are one
     node of the graph. Other columns, labels too, are ignored. No pair below the threshold is ever linked; with ``certain`` none above it is
     missed, at the price of many more copies of vectors that lie between cells; without it a pair is missed if its difference points across a border by
-    more than four standard deviations. Up to twice ``CELL_ROWS`` distinct vectors there is one cell and nothing is missed.
+    more than three standard deviations. Up to twice ``CELL_ROWS`` distinct vectors there is one cell and nothing is missed.
     """
     x = F.col("embedding").cast("array<double>")
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0)
