@@ -173,14 +173,22 @@ def _(spark, sf):
     return rounded(fusion.structure_search(asked, chunks, body_words="what|which"), "score")
 
 
-EVIDENCE = (("personnel", "ould"), ("project_status", "wh[aeiou]t"), ("timeline_resource", "eaux"))
+#: One rule for each way in which a text can show evidence.
+EVIDENCE = (
+    fusion.Evidence("personnel", together=(("ould", "qu", "sch"), ("the ", "ein ")), titles=("fr",)),
+    fusion.Evidence("project_status", words=("WHAT", "que", "es")),
+    fusion.Evidence("timeline_resource", words=("eaux",)),
+)
 
 
 @query(
     "evidence_coverage",
     f"""with {FUSED}, x as (select fu.query_id, fu.chunk_id, fu.rank,
-      regexp_matches(lower(d.text || chr(10) || d.lang), 'ould') as m0, regexp_matches(lower(d.text || chr(10) || d.lang), 'wh[aeiou]t') as m1,
-      regexp_matches(lower(d.text || chr(10) || d.lang), 'eaux') as m2 from fu join documents d on d.doc_id = fu.chunk_id),
+      (contains(text, 'ould') and contains(text, 'qu') and contains(text, 'sch')) or (contains(text, 'the ') and contains(text, 'ein ')) or contains(lang, 'fr') as m0,
+      contains(lower(text), 'what') or contains(lower(lang), 'what') or contains(lower(text), 'que') or contains(lower(lang), 'que')
+        or contains(lower(text), 'es') or contains(lower(lang), 'es') as m1,
+      contains(lower(text), 'eaux') or contains(lower(lang), 'eaux') as m2
+      from fu join (select doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang from documents) d on d.doc_id = fu.chunk_id),
     a as (select query_id, count(*) as n, bool_or(m0 and rank <= 6) as i0, bool_or(m1 and rank <= 6) as i1, bool_or(m2 and rank <= 6) as i2,
       min(rank) filter (where m0 and rank > 6) as f0 from x group by 1),
     b as (select *, case when not i0 and n >= 4 and query_id % 3 != 0 then f0 end as p0 from a),
@@ -202,8 +210,8 @@ def _(spark, sf):
 @query(
     "sufficiency",
     f"""with {RERANKED},
-    w as (select item_id as query_id, list_distinct(regexp_extract_all(lower(text), '[\\x{{4e00}}-\\x{{9fff}}a-z0-9_]{{2,}}')) as ws from benchmark),
-    f as (select query_id, count(distinct chunk_id) as u, count(*) filter (where score >= 0.5) as g, sum(length(text)) as c,
+    w as (select item_id as query_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as ws from benchmark),
+    f as (select query_id, count(distinct coalesce(text, '')[1:100]) as u, count(*) filter (where score >= 0.5) as g, sum(length(text)) as c,
       string_agg(lower(text), chr(10)) as body from re group by 1)
     select w.query_id, coalesce(u > 1 and g > 0 and c >= 300 and (len(ws) = 0 or
       len(list_filter(ws, lambda x: contains(body, x))) / len(ws) >= 0.4), false) as sufficient

@@ -6,7 +6,10 @@ search depth times the number of lists), so windows and lists per query stay sma
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+import operator
+from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,29 +150,55 @@ def structure_search(queries: DataFrame, scoped_chunks: DataFrame, k: int = 18,
 
 # ---- evidence and sufficiency ----------------------------------------------------------------
 
+class Evidence(NamedTuple):
+    """What shows one kind of evidence: any of the words in the text or source, whatever their case; all words of one of the sets
+    in the text as written; any of the titles in a heading or the source."""
+
+    name: str
+    words: tuple[str, ...] = ()
+    together: tuple[tuple[str, ...], ...] = ()
+    titles: tuple[str, ...] = ()
+
+
+#: Columns that hold headings or the source, where hits have them.
+TITLE_COLUMNS = ("heading_path", "h1", "h2", "h3", "source")
+
 # Words that show each kind of evidence, in promotion order.
 EVIDENCE_ZH = (
-    ("personnel", r"姓名[\s\S]*所属部门|团队成员"),
-    ("project_status", r"项目|进度|预计|发布|滞后"),
-    ("timeline_resource", r"预算|时间线|q1|q2|支出|剩余|测试中"),
+    Evidence("personnel", together=(("姓名", "所属部门", "技能"), ("| 姓名 |", "| 职位 |")), titles=("团队成员",)),
+    Evidence("project_status", words=("项目", "进度", "预计", "发布", "滞后")),
+    Evidence("timeline_resource", words=("预算", "时间线", "q1", "q2", "支出", "剩余", "测试中")),
 )
 EVIDENCE_EN = (
-    ("personnel", r"name[\s\S]*department|team members"),
-    ("project_status", r"project|progress|expected|release|behind"),
-    ("timeline_resource", r"budget|timeline|q1|q2|spent|remaining|in test"),
+    Evidence("personnel", together=(("name", "department", "skills"), ("| name |", "| position |")), titles=("team members",)),
+    Evidence("project_status", words=("project", "progress", "expected", "release", "behind")),
+    Evidence("timeline_resource", words=("budget", "timeline", "q1", "q2", "spent", "remaining", "in test")),
 )
 
 
+def _any(conditions: Iterable[Column]) -> Column:
+    return functools.reduce(operator.or_, conditions, F.lit(False))
+
+
+def shows(evidence: Evidence, hits: DataFrame, content: str) -> Column:
+    """Whether a hit shows the evidence; null texts and headings hold no words."""
+    text = F.coalesce(content, F.lit(""))
+    source = F.coalesce("source", F.lit("")) if "source" in hits.columns else F.lit("")
+    titles = F.concat_ws(" ", *[c for c in TITLE_COLUMNS if c in hits.columns])
+    anywhere = [F.contains(F.lower(c), F.lit(w.lower())) for w in evidence.words for c in (text, source)]
+    whole = [functools.reduce(operator.and_, [F.contains(text, F.lit(w)) for w in words]) for words in evidence.together]
+    return _any([*anywhere, *whole, *[F.contains(titles, F.lit(t)) for t in evidence.titles]])
+
+
 def evidence_coverage(
-    hits: DataFrame, queries: DataFrame, evidence: tuple[tuple[str, str], ...] = EVIDENCE_ZH,
+    hits: DataFrame, queries: DataFrame, evidence: tuple[Evidence, ...] = EVIDENCE_ZH,
     window: int = 6, content: str = "text", flag: str = "is_inference",
 ) -> DataFrame:
     """Give each evidence type that the first ``window`` hits miss the place right behind them.
 
     Applies to queries whose ``flag`` holds and that have at least four hits. Adds ``new_rank``.
     """
-    body = F.lower(F.concat_ws("\n", content, "source")) if "source" in hits.columns else F.lower(content)
-    flags = hits.select("*", *[body.rlike(p).alias(f"__m{i}") for i, (_, p) in enumerate(evidence)])
+    flags = hits.select("*", *[shows(e, hits, content).alias(f"__m{i}") for i, e in enumerate(evidence)])
     top = F.col("rank") <= window
     found = flags.groupBy("query_id").agg(
         F.count("*").alias("__n"),
@@ -201,15 +230,18 @@ QUESTION_WORDS = ("什么", "怎么", "如何", "为什么", "多少", "哪些",
 
 
 def sufficiency(queries: DataFrame, hits: DataFrame, content: str = "text") -> DataFrame:
-    """Whether the hits look enough to answer: variety, one good score, volume, keyword cover."""
+    """Whether the hits look enough to answer: two different openings of 100 characters, one good score, volume, keyword cover.
+
+    Keywords are runs of two letters or digits of any language and more, so an accented word is one keyword.
+    """
     words = F.filter(
-        F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(rf"[{T.CJK}a-z0-9_]{{2,}}"), F.lit(0))),
+        F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))),
         lambda w: ~w.isin(*QUESTION_WORDS),
     )
     asked = queries.select("query_id", words.alias("__words"))
     seen = F.filter("__words", lambda w: F.contains(F.lower(content), w))
     figures = hits.join(asked, "query_id").groupBy("query_id").agg(
-        F.count_distinct("chunk_id").alias("unique_docs"),
+        F.count_distinct(F.substring(F.coalesce(content, F.lit("")), 1, 100)).alias("unique_docs"),
         F.sum((F.col("score") >= 0.5).cast("long")).alias("good_docs"),
         F.sum(F.length(content)).cast("long").alias("chars"),
         F.size(F.array_distinct(F.flatten(F.collect_list(seen)))).alias("covered"),

@@ -63,7 +63,7 @@ class BucketProcessor(StatefulProcessor):
         allowed = []
         for now in batch["ts"]:
             tokens, ok = bucket_step(tokens, last, float(now), self.cap, self.per_minute)
-            last = float(now)
+            last = float(now) if last is None else max(last, float(now))
             allowed.append(ok)
         self.state.update((float(tokens), float(last)))
         yield pd.DataFrame({"key": key[0], "event_id": batch["event_id"].to_numpy(), "allowed": allowed})

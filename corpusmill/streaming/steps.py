@@ -63,8 +63,8 @@ class Breaker:
 def bucket_step(
     tokens: float | None, last: float | None, now: float, cap: int = BUCKET, per_minute: int = REFILL_PER_MINUTE
 ) -> tuple[float, bool]:
-    """Refill for the time since the last request, spend one token if there is one."""
-    tokens = float(cap) if tokens is None else min(tokens + (now - last) * per_minute / 60.0, float(cap))
+    """Refill for the time since the last request, spend one token if there is one; a request that comes late refills nothing."""
+    tokens = float(cap) if tokens is None else min(tokens + max(now - last, 0.0) * per_minute / 60.0, float(cap))
     return (tokens - 1.0, True) if tokens >= 1.0 else (tokens, False)
 
 

@@ -26,7 +26,7 @@ def token_bucket(requests: DataFrame, key: str, ts: str, order: list[str], cap:
     def step(state, now, row):
         tokens, last = state or (None, None)
         tokens, allowed = bucket_step(tokens, last, now, cap, per_minute)
-        return (tokens, now), {"allowed": allowed, "tokens": tokens}
+        return (tokens, now if last is None else max(last, now)), {"allowed": allowed, "tokens": tokens}
 
     return ordered_scan(requests, key, ts, order, step, "allowed boolean, tokens double", cap * 60.0 / per_minute)
 

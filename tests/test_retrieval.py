@@ -145,6 +145,34 @@ def test_evidence_moves_behind_the_window(spark):
     assert [r["chunk_id"] for r in got] == [0, 1, 2, 3, 4, 5, 8, 7, 6]
 
 
+@pytest.mark.parametrize(
+    "text, heading, source, found",
+    [
+        ("姓名 技能 所属部门", None, None, [1, 0, 0]), ("姓名 所属部门", None, None, [0, 0, 0]), ("所属部门 技能 姓名", None, None, [1, 0, 0]),
+        ("| 姓名 | 其他 | 职位 |", None, None, [1, 0, 0]), ("姓名 | 职位", None, None, [0, 0, 0]), ("团队成员", None, None, [0, 0, 0]),
+        ("x", "一 / 团队成员与职责", None, [1, 0, 0]), ("x", None, "团队成员.md", [1, 0, 0]), ("项目", "预算", None, [0, 1, 0]),
+        ("x", None, "项目.md", [0, 1, 0]), ("计划 Q2", None, None, [0, 0, 1]), (None, None, "q1.csv", [0, 0, 1]), (None, None, None, [0, 0, 0]),
+    ],
+)
+def test_each_way_to_show_evidence(spark, text, heading, source, found):
+    hits = spark.createDataFrame([(text, heading, source)], "text string, heading_path string, source string")
+    got = hits.select(*[fusion.shows(e, hits, "text").cast("int") for e in fusion.EVIDENCE_ZH]).first()
+    assert list(got) == found
+
+
+def test_sufficiency_by_openings_and_accented_words(spark):
+    queries = spark.createDataFrame([(i, q) for i, q in enumerate(["décision été", "décision", "什么 décision", "ab cd ef"])], "query_id long, query string")
+    same, long = "décision " * 30, "y" * 100
+    hits = spark.createDataFrame(
+        [(0, 1, 0.9, long + same), (0, 2, 0.1, "z" * 200), (1, 1, 0.9, long + same), (1, 2, 0.9, long + "other " * 40),
+         (2, 1, 0.9, same), (2, 2, 0.1, "w" * 90), (3, 1, 0.9, "cision " * 90), (3, 2, 0.9, "ab")],
+        "query_id long, chunk_id long, score double, text string",
+    )
+    got = {r.query_id: r.sufficient for r in fusion.sufficiency(queries, hits).collect()}
+    # one of two keywords is covered; two chunks with one opening; the question word does not count; one keyword of three
+    assert got == {0: True, 1: False, 2: True, 3: False}
+
+
 def test_chinese_routing(spark):
     asked = [
         "公司总预算和总支出分别是多少？哪个项目剩余预算最多？", "列出所有项目及其所属部门",

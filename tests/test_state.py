@@ -221,3 +221,12 @@ def test_streams_agree_with_their_twins(spark, tmp_path):
     assert pairs(got, "status") == pairs(twin, "status") and pairs(got, "allowed") == pairs(twin, "allowed")
     got = st.drain(st.stream_ttl_cache(stream(), "user", 100.0))
     assert pairs(got, "hit") == pairs(twins.ttl_cache(table, "user", "ts", ["event_id"], 100.0), "hit")
+
+
+def test_late_requests_refill_nothing():
+    tokens, last, out = None, None, []
+    for now in (0.0, 10.0, -50.0, 10.0, 13.0):
+        tokens, ok = bucket_step(tokens, last, now, 2, 20)
+        last = now if last is None else max(last, now)
+        out.append((round(tokens, 6), ok))
+    assert out == [(1.0, True), (1.0, True), (0.0, True), (0.0, False), (0.0, True)]
