@@ -6,7 +6,7 @@ from catalog import sqltext as S
 from catalog.registry import query, table
 from corpusmill.functions import text as T
 from corpusmill.functions.vectors import cosine
-from corpusmill.operators import dense, lexical
+from corpusmill.operators import ann, dense, lexical
 
 
 def questions(spark, sf):
@@ -204,7 +204,24 @@ def _(spark, sf):
 
 @query("ann_topk")
 def _(spark, sf):
-    return dense.ann_topk(label_centroids(spark, sf), vectors(spark, sf), 10)
+    return ann.ann_topk(label_centroids(spark, sf), vectors(spark, sf), 10)
+
+
+@query(
+    "ann_recall",
+    """select count(*) filter (where vec_id % 50 = 0) as queries, count(*) filter (where vec_id % 50 = 0) * least(10, count(*)) as wanted,
+    true as reached from embeddings where embedding is not null""",
+)
+def _(spark, sf):
+    """Whether every fiftieth vector as a query finds nine tenths of its ten nearest through a stored index."""
+    held = vectors(spark, sf)
+    asked = held.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    found = ann.ann_topk(asked, held, 10, index=ann.build_ann_index(held))
+    both = ann.ann_recall(found, dense.dense_topk(asked, held, 10))
+    return both.agg(
+        F.count("*").alias("queries"), F.coalesce(F.sum("wanted"), F.lit(0)).alias("wanted"),
+        F.coalesce(F.sum("found") >= 0.9 * F.sum("wanted"), F.lit(True)).alias("reached"),
+    )
 
 
 @query("rebuild_vectors", "select count(*) as ok, count(*) as total from conversations")

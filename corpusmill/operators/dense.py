@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions.session import scratch_dir
-from corpusmill.functions.skew import fits, salted, top_k
-from corpusmill.functions.vectors import dot, nearest
-
-#: k-means cells of the approximate index, cells that a query looks into, and vectors that the centres are fitted on at most.
-CELLS, PROBE, CELL_SAMPLE = 64, 40, 20_000
-SALTS = 16
+from corpusmill.functions.vectors import nearest
 
 
 def featurize(df: DataFrame, dim: int = 256, text: str = "text", vector: str = "vector", idf: bool = True) -> DataFrame:
@@ -47,48 +37,6 @@ def dense_topk_cosine(queries: DataFrame, vectors: DataFrame, k: int = 5, thresh
     return nearest(queries, vectors, k, id, "cosine", threshold)
 
 
-def ann_candidates(
-    queries: DataFrame, vectors: DataFrame, id: str = "chunk_id", cells: int = CELLS, probe: int = PROBE, sample: int = CELL_SAMPLE
-) -> DataFrame:
-    """(query_id, q, id, vector): the vectors in the ``probe`` cells whose centres are nearest to a query.
-
-    Every vector is in one cell, that of its nearest k-means centre, so no pair comes twice. Centres are fitted on at most
-    ``sample`` vectors, chosen by hash of the id; all vectors are indexed. More vectors want more cells.
-    """
-    held = vectors.filter("vector is not null").select(id, "vector", array_to_vector(F.col("vector").cast("array<double>")).alias("__v"))
-    some = held.orderBy(F.xxhash64(id)).limit(sample)
-    asked = queries.filter("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("q"))
-    if some.isEmpty():
-        return asked.join(held.select(id, "vector"), F.lit(False))
-    model = KMeans(k=cells, featuresCol="__v", predictionCol="cell", seed=17, maxIter=10).fit(some)
-    centres = np.array(model.clusterCenters())
-
-    def nearest_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                q = np.stack(frame["q"].to_numpy())
-                far = (centres**2).sum(1)[None, :] - 2 * q @ centres.T
-                yield frame.assign(cell=np.argsort(far, axis=1, kind="stable")[:, :probe].tolist())
-
-    types = asked.schema["query_id"].dataType.simpleString()
-    asked = asked.mapInPandas(nearest_cells, f"query_id {types}, q array<double>, cell array<int>").withColumn("cell", F.explode("cell"))
-    held = model.transform(held).select(id, "vector", "cell")
-    if fits(queries, 1024):
-        return held.join(F.broadcast(asked), "cell").drop("cell")
-    held, asked = salted(held, asked, F.col(id), SALTS)
-    return held.join(asked, ["cell", "salt"]).drop("cell", "salt")
-
-
-def ann_topk(
-    queries: DataFrame, vectors: DataFrame, k: int = 10, id: str = "chunk_id", cells: int = CELLS, probe: int = PROBE, sample: int = CELL_SAMPLE
-) -> DataFrame:
-    """Approximate neighbours: candidates from the nearest k-means cells, scores exact; ``k`` rows per query leave a task."""
-    pairs = ann_candidates(queries, vectors, id, cells, probe, sample)
-    gap = dot(F.col("vector"), F.col("vector")) + dot(F.col("q"), F.col("q")) - 2 * dot(F.col("vector"), F.col("q"))
-    scored = pairs.select("query_id", id, F.round(1 / (1 + F.greatest(gap, F.lit(0.0))), 9).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc(id)], k)
-
-
 def rebuild_vectors(entries: DataFrame, path: str | None = None, dim: int = 256, text: str = "content") -> tuple[DataFrame, DataFrame]:
     """Recompute every vector into a fresh folder; returns (entries, one row of ok and total)."""
     path = path or scratch_dir(entries.sparkSession, "vectors")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as V
 from corpusmill.functions.rule_packs import EN, ZH
-from corpusmill.operators import dense, fusion, lexical, routing
+from corpusmill.operators import ann, dense, fusion, lexical, routing
 from corpusmill.plans import search
 
 DOCS = ["the cat sat", "the dog sat", "the bird flew", "the the cat cat cat", "中文 检索 系统", ""]
@@ -107,7 +107,7 @@ def test_nearest_is_exact_in_blocks(spark, monkeypatch, metric, block):
         assert [r["chunk_id"] for r in got if r["query_id"] == i] == want
 
 
-def test_nearest_scoped_and_ann_recall(spark):
+def test_nearest_scoped(spark):
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
     vectors = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
@@ -116,11 +116,45 @@ def test_nearest_scoped_and_ann_recall(spark):
     got = V.nearest_scoped(queries, members, 3, "chunk_id").collect()
     assert all(r["chunk_id"] % 2 == r["query_id"] % 2 for r in got) and len(got) == 18
     exact = {(r["query_id"], r["chunk_id"]) for r in dense.dense_topk(queries, vectors, 5).collect()}
-    near = {(r["query_id"], r["chunk_id"]) for r in dense.ann_topk(queries, vectors, 5).collect()}
+    near = {(r["query_id"], r["chunk_id"]) for r in ann.ann_topk(queries, vectors, 5).collect()}
     assert len(exact & near) / len(exact) >= 0.9
-    pairs = dense.ann_candidates(queries, vectors, probe=8)
-    assert pairs.count() == pairs.select("query_id", "chunk_id").distinct().count() < 6 * 200 / 2
-    assert dense.ann_topk(queries, vectors.limit(0), 5).count() == 0
+
+
+def neighbours(seed, n, clusters=None, dims=13):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, dims))
+    return x if clusters is None else 3 * r.normal(size=(clusters, dims))[np.arange(n) % clusters] + x
+
+
+def vector_table(spark, x, name="chunk_id", first=0):
+    return spark.createDataFrame([(first + i, v.tolist()) for i, v in enumerate(x)], f"{name} long, vector array<double>")
+
+
+@pytest.mark.parametrize("clusters, block", [(None, 1024), (20, 1024), (20, 16)])
+def test_ann_finds_nine_tenths_from_a_fifth_of_the_vectors(spark, monkeypatch, tmp_path, clusters, block):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", block)
+    x = neighbours(1, 1500, clusters)
+    vectors, queries = vector_table(spark, x), vector_table(spark, x[:40] + 0.05, "query_id")
+    ann.build_ann_index(vectors, str(tmp_path / "ann"))
+    index = ann.read_ann_index(spark, str(tmp_path / "ann"))
+    assert index.codes.count() == 1500 and index.codes.select("chunk_id").distinct().count() == 1500
+    exact = dense.dense_topk(queries, vectors, 10)
+    for probe, keep in ((ann.PROBE, 150), (len(index.model.centres), 300)):
+        pairs = ann.ann_candidates(queries, index, keep, probe=probe)
+        assert pairs.count() == pairs.distinct().count() <= 40 * keep <= 40 * 1500 / 5
+        found = ann.ann_topk(queries, vectors, 10, index=index, probe=probe, rescore=keep)
+        recall = ann.ann_recall(found, exact).agg(F.avg("recall")).first()[0]
+        assert recall >= 0.9
+    want = {(r.query_id, r.chunk_id): round(r.score, 6) for r in exact.collect()}
+    assert all(want[key] == round(r.score, 6) for r in found.collect() if (key := (r.query_id, r.chunk_id)) in want)
+
+
+def test_ann_with_few_null_and_equal_vectors(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, [9.0, 9.0])], "chunk_id long, vector array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.1]), (2, None)], "query_id long, vector array<float>")
+    got = [(r.query_id, r.chunk_id, r["rank"]) for r in ann.ann_topk(queries, vectors, 3).orderBy("rank").collect()]
+    assert got == [(1, 1, 1), (1, 3, 2), (1, 4, 3)]
+    assert ann.ann_topk(queries, vectors.limit(0), 3).count() == 0 == ann.ann_topk(queries.limit(0), vectors, 3).count()
 
 
 def test_rrf(spark):
