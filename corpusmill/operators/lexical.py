@@ -1,22 +1,28 @@
 """BM25 and token-set search for whole tables of queries.
 
-Postings are built partitioned by document, so a document's terms stay in one task: matching a
-broadcast query table, summing scores and the first cut to ``k`` all happen without another
-shuffle. Only ``k`` rows per query and task travel to the final ranking.
+Texts are tokenised once, into postings with block bounds (``operators/postings.py``) that can be kept with an index. Term weights come from sums over
+the shards; a shard's task then scores the blocks that can still hold one of the ``k`` best, and only ``k`` rows per query and shard travel to the
+final ranking. Weights are sent to the tasks when they are few; more queries meet single postings in a join.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.functions import text as T
+from corpusmill.functions.session import cut_lineage
 from corpusmill.functions.skew import fits, salted, top_k
-
-# Okapi parameters.
-K1, B, EPSILON = 1.5, 0.75, 0.25
+from corpusmill.operators.postings import EPSILON, K1, B, Postings, Shard, build_block_postings
 
 BROADCAST_QUERIES = 10_000
+#: (query, term) weights that are sent to the tasks at most.
+SENT_WEIGHTS = 500_000
 SALTS = 16
 
 
@@ -58,32 +64,110 @@ def _join_terms(postings: DataFrame, wanted: DataFrame, id: str, keys: list[str]
     return left.join(right, [*keys, "salt"]).drop("salt")
 
 
+def _weight(raw: Column, mean_idf: Column) -> Column:
+    return F.col("qtf") * F.when(raw < 0, mean_idf * EPSILON).otherwise(raw)
+
+
+def _ranked_topk(scored: DataFrame, id: str, k: int) -> DataFrame:
+    return top_k(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc(id)], k)
+
+
+def _shards(postings: Postings, terms: DataFrame) -> DataFrame:
+    """The documents of all shards and the rows of some terms."""
+    return postings.docs.unionByName(postings.terms.join(F.broadcast(terms), "term", "left_semi"), allowMissingColumns=True)
+
+
+def _best_of_shards(rows: DataFrame, wanted: DataFrame, k: int, id: str, kinds: dict[str, str], members: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, held, scored) of the ``k`` best in every shard; ``held`` and ``scored`` count its blocks.
+
+    ``wanted(query_id, scope_key, term, weight, mean_length)`` is collected; ``members(shard, scope_key, numbers)`` restricts scopes.
+    """
+    weights: dict = defaultdict(dict)
+    scope_of, mean_of = {}, {}
+    for r in wanted.collect():
+        weights[r.query_id][r.term] = r.weight
+        scope_of[r.query_id], mean_of[r.query_id] = r.scope_key, r.mean_length
+    shared = rows.sparkSession.sparkContext.broadcast((dict(weights), scope_of, mean_of))
+    asked = to_arrow_type(wanted.schema["query_id"].dataType)
+    schema = f"query_id {kinds['query_id']}, {id} {kinds[id]}, score double, held long, scored long"
+
+    def search(table: pa.Table, scopes: dict[str, np.ndarray] | None) -> pa.Table:
+        weights, scope_of, mean_of = shared.value
+        shard, out = Shard(table), []
+        for query, terms in weights.items():
+            if scopes is not None and scope_of[query] not in scopes:
+                continue
+            inside = None
+            if scopes is not None:
+                inside = np.zeros(len(shard.lengths), bool)
+                inside[scopes[scope_of[query]]] = True
+            number, score, held, scored = shard.best(terms, mean_of[query], k, inside)
+            if len(number):
+                out.append((query, number, score, held, scored))
+        size = [len(x[1]) for x in out]
+        numbers = np.concatenate([x[1] for x in out]) if out else np.empty(0, np.int64)
+        columns = {
+            "query_id": pa.array([x[0] for x in out], asked).take(pa.array(np.repeat(np.arange(len(out), dtype=np.int64), np.array(size, np.int64)))),
+            id: shard.ids.take(pa.array(numbers)),
+            "score": np.concatenate([x[2] for x in out]) if out else np.empty(0),
+            "held": np.repeat(np.array([x[3] for x in out], np.int64), size),
+            "scored": np.repeat(np.array([x[4] for x in out], np.int64), size),
+        }
+        return pa.table(columns)
+
+    if members is None:
+        return rows.groupBy("shard").applyInArrow(lambda table: search(table, None), schema)
+
+    def search_scopes(table: pa.Table, inside: pa.Table) -> pa.Table:
+        scopes = {s: np.asarray(x) for s, x in zip(inside.column("scope_key").to_pylist(), inside.column("numbers").to_pylist(), strict=True)}
+        return search(table, scopes)
+
+    return rows.groupBy("shard").cogroup(members.groupBy("shard")).applyInArrow(search_scopes, schema)
+
+
+def _kinds(queries: DataFrame, chunks: DataFrame, id: str) -> dict[str, str]:
+    return {"query_id": queries.schema["query_id"].dataType.simpleString(), id: chunks.schema[id].dataType.simpleString()}
+
+
 def bm25_topk(
     queries: DataFrame,
     chunks: DataFrame,
     k: int = 10,
     id: str = "chunk_id",
     text: str = "text",
-    postings: DataFrame | None = None,
+    postings: Postings | None = None,
 ) -> DataFrame:
-    """(query_id, id, score, rank): best ``k`` documents with a positive Okapi score."""
-    small = fits(queries, BROADCAST_QUERIES)
-    postings = build_postings(chunks, id, text) if postings is None else postings
-    n_docs = chunks.agg(F.count("*")).scalar()
-    vocabulary = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    weighed = vocabulary.withColumn("raw", raw_idf(n_docs, F.col("df")))
-    overall = weighed.agg(F.struct(F.avg("raw").alias("mean_idf"), (F.sum("cf") / n_docs).alias("mean_length"))).scalar()
-    wanted = (
-        query_terms(queries).join(weighed, "term")
-        .select(
-            "query_id", "term",
-            (F.col("qtf") * F.when(F.col("raw") < 0, overall["mean_idf"] * EPSILON).otherwise(F.col("raw"))).alias("weight"),
-        )
+    """(query_id, id, score, rank): best ``k`` documents with a positive Okapi score.
+
+    ``postings``: stored ones of these chunks (``build_block_postings``, ``index_postings``); otherwise they are made now.
+    """
+    found = bm25_blocks(queries, chunks, k, id, text, postings)
+    return _ranked_topk(found.select("query_id", id, "score"), id, k)
+
+
+def bm25_blocks(queries: DataFrame, chunks: DataFrame, k: int, id: str, text: str, postings: Postings | None) -> DataFrame:
+    """(query_id, id, score, held, scored): a superset of the ``k`` best of each query, with the blocks of their shard that hold
+    one of its terms and those that were scored."""
+    postings = build_block_postings(chunks, None, id, text) if postings is None else postings
+    # One row for each term of a shard, and one for each shard.
+    n_docs = postings.docs.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    counts = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
+    vocabulary = postings.terms.select("term", F.size("numbers").cast("long").alias("df"), counts.alias("cf"))
+    weighed = vocabulary.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).withColumn("raw", raw_idf(F.lit(n_docs), F.col("df")))
+    weighed = cut_lineage(weighed)
+    overall = weighed.agg(F.avg("raw").alias("mean_idf"), F.try_divide(F.sum("cf"), F.lit(n_docs)).alias("mean_length")).first()
+    mean_length = F.lit(overall.mean_length).cast("double")
+    wanted = query_terms(queries).join(weighed, "term").select(
+        "query_id", F.lit(None).cast("string").alias("scope_key"), "term", _weight(F.col("raw"), F.lit(overall.mean_idf).cast("double")).alias("weight"),
+        mean_length.alias("mean_length"),
     )
-    matched = _join_terms(postings, wanted, id, ["term"], small)
-    part = F.col("weight") * _score(F.col("tf"), F.col("doc_length"), overall["mean_length"])
+    wanted = cut_lineage(wanted)
+    if fits(wanted, SENT_WEIGHTS) and fits(queries, BROADCAST_QUERIES):
+        return _best_of_shards(_shards(postings, wanted.select("term").distinct()), wanted, k, id, _kinds(queries, chunks, id))
+    matched = _join_terms(postings.rows(id), wanted.select("query_id", "term", "weight"), id, ["term"], False)
+    part = F.col("weight") * _score(F.col("tf"), F.col("doc_length"), mean_length)
     scored = matched.groupBy("query_id", id).agg(F.sum(part).alias("score")).filter("score > 0")
-    return top_k(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc(id)], k)
+    return scored.withColumns({"held": F.lit(0).cast("long"), "scored": F.lit(0).cast("long")})
 
 
 def scope_members(scopes: DataFrame, chunks: DataFrame, id: str = "chunk_id") -> DataFrame:
@@ -129,14 +213,13 @@ def bm25_topk_scoped(
     k: int = 10,
     id: str = "chunk_id",
     text: str = "text",
-    postings: DataFrame | None = None,
+    postings: Postings | None = None,
 ) -> DataFrame:
     """BM25 where document counts, lengths and term weights are those of the query's scope.
 
     ``queries(query_id, query, scope_id)``; statistics are computed once per distinct set of
     clauses, not per query.
     """
-    small = fits(queries, BROADCAST_QUERIES)
     keyed = scopes.withColumn(
         "scope_key",
         F.sha2(
@@ -148,12 +231,17 @@ def bm25_topk_scoped(
     )
     distinct = keyed.dropDuplicates(["scope_key"]).drop("scope_id").withColumnRenamed("scope_key", "scope_id")
     members = scope_members(distinct, chunks, id).withColumnRenamed("scope_id", "scope_key")
-    # every document is tokenised once, whatever number of scopes it is in
-    postings = build_postings(chunks, id, text) if postings is None else postings
-    inside = postings.join(members, id)
-    vocabulary = inside.groupBy("scope_key", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    sizes = members.groupBy("scope_key").agg(F.count("*").alias("n_docs"))
-    weighed = vocabulary.join(sizes, "scope_key").withColumn("raw", raw_idf(F.col("n_docs"), F.col("df")))
+    postings = build_block_postings(chunks, None, id, text) if postings is None else postings
+    numbered = postings.docs.select("shard", F.posexplode("ids").alias("number", id))
+    members = cut_lineage(
+        members.join(numbered, id).groupBy("shard", "scope_key").agg(F.collect_list("number").alias("numbers"))
+    )
+    inside = postings.docs.unionByName(postings.terms, allowMissingColumns=True).groupBy("shard").cogroup(members.groupBy("shard"))
+    vocabulary = inside.applyInArrow(_scope_counts, "scope_key string, term string, df long, cf long").groupBy("scope_key", "term").agg(
+        F.sum("df").alias("df"), F.sum("cf").alias("cf")
+    )
+    sizes = members.groupBy("scope_key").agg(F.sum(F.size("numbers")).alias("n_docs"))
+    weighed = cut_lineage(vocabulary.join(sizes, "scope_key").withColumn("raw", raw_idf(F.col("n_docs"), F.col("df"))))
     overall = weighed.groupBy("scope_key").agg(
         F.avg("raw").alias("mean_idf"), (F.sum("cf") / F.first("n_docs")).alias("mean_length")
     )
@@ -161,15 +249,42 @@ def bm25_topk_scoped(
         query_terms(queries)
         .join(queries.select("query_id", "scope_id").join(keyed.select("scope_id", "scope_key"), "scope_id"), "query_id")
         .join(weighed, ["scope_key", "term"]).join(overall, "scope_key")
-        .select(
-            "query_id", "scope_key", "term", "mean_length",
-            (F.col("qtf") * F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw"))).alias("weight"),
-        )
+        .select("query_id", "scope_key", "term", _weight(F.col("raw"), F.col("mean_idf")).alias("weight"), "mean_length")
     )
-    matched = _join_terms(inside, wanted, id, ["scope_key", "term"], small)
+    wanted = cut_lineage(wanted)
+    if fits(wanted, SENT_WEIGHTS) and fits(queries, BROADCAST_QUERIES):
+        rows = _shards(postings, wanted.select("term").distinct())
+        found = _best_of_shards(rows, wanted, k, id, _kinds(queries, chunks, id), members)
+        return _ranked_topk(found.select("query_id", id, "score"), id, k)
+    within = members.select("shard", "scope_key", F.explode("numbers").alias("number")).join(numbered, ["shard", "number"]).select(id, "scope_key")
+    matched = _join_terms(postings.rows(id).join(within, id), wanted, id, ["scope_key", "term"], False)
     part = F.col("weight") * _score(F.col("tf"), F.col("doc_length"), F.col("mean_length"))
-    scored = matched.groupBy("query_id", id).agg(F.sum(part).alias("score")).filter("score > 0")
-    return top_k(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc(id)], k)
+    return _ranked_topk(matched.groupBy("query_id", id).agg(F.sum(part).alias("score")).filter("score > 0"), id, k)
+
+
+def _scope_counts(table: pa.Table, inside: pa.Table) -> pa.Table:
+    """Of one shard: for each scope the terms of its documents, in how many of these and how often they are."""
+    shard = Shard(table)
+    number, tf = shard.lists["numbers"], shard.lists["tfs"]
+    term = np.repeat(np.arange(len(shard.terms)), np.diff(shard.ends["numbers"]))
+    order = np.argsort(number, kind="stable")
+    term, tf = term[order], tf[order]
+    ends = np.searchsorted(number[order], np.arange(len(shard.lengths) + 1))
+    out = []
+    for scope, numbers in zip(inside.column("scope_key").to_pylist(), inside.column("numbers").to_pylist(), strict=True):
+        low, size = ends[numbers], ends[np.add(numbers, 1)] - ends[numbers]
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        df, cf = np.bincount(term[at], minlength=len(shard.terms)), np.bincount(term[at], tf[at], len(shard.terms))
+        held = np.flatnonzero(df)
+        out.append((scope, held, df[held], cf[held].astype(np.int64)))
+    held = np.concatenate([x[1] for x in out]) if out else np.empty(0, np.int64)
+    scopes = np.repeat(np.arange(len(out)), np.array([len(x[1]) for x in out], np.int64))
+    return pa.table({
+        "scope_key": pa.array([x[0] for x in out], pa.string()).take(pa.array(scopes)),
+        "term": pa.array(shard.terms, pa.string()).take(pa.array(held)),
+        "df": np.concatenate([x[2] for x in out]) if out else np.empty(0, np.int64),
+        "cf": np.concatenate([x[3] for x in out]) if out else np.empty(0, np.int64),
+    })
 
 
 def jaccard_topk(

@@ -19,6 +19,7 @@ from corpusmill.functions.rule_packs import ZH, matches
 from corpusmill.functions.session import cut_lineage
 from corpusmill.functions.vectors import nearest_scoped
 from corpusmill.operators import dense, fusion, lexical, routing
+from corpusmill.operators.postings import Postings, build_block_postings
 from corpusmill.operators.tables import BUDGET_ZH, aggregate_markdown
 
 # Depth of each list, candidates to rescore, results kept.
@@ -29,7 +30,7 @@ HITS = ("query_id", "chunk_id", "rank", "score", "match_type", "text", "source")
 class Index(NamedTuple):
     chunks: DataFrame
     vectors: DataFrame
-    postings: DataFrame | None = None  # a stored ``build_postings`` of the chunks, if there is one
+    postings: Postings | None = None  # stored block postings of the chunks, if there are some
 
 
 def no_retrieval(queries: DataFrame, index: Index) -> DataFrame:
@@ -94,7 +95,7 @@ def multi_step(
     scope = ["scope_id"] if "scope_id" in queries.columns else []
     if index.postings is None:
         # every round reads the postings again, so they are written once
-        index = index._replace(postings=cut_lineage(lexical.build_postings(index.chunks)))
+        index = index._replace(postings=build_block_postings(index.chunks))
 
     def search(asked: DataFrame) -> DataFrame:
         """``asked(sub_id, query_id, query, vector, ...)``: hits keep the owning query."""

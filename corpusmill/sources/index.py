@@ -16,14 +16,15 @@ from corpusmill.functions.skew import fits
 LOG = "generation long, operation string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def _log(spark: SparkSession, path: str) -> DataFrame:
     folder = f"{path}/generations"
-    if not _exists(spark, folder):
+    if not exists(spark, folder):
         return spark.createDataFrame([], LOG)
     return spark.read.schema(LOG).parquet(folder)
 
@@ -55,7 +56,7 @@ def index_read(spark: SparkSession, path: str) -> DataFrame:
     cleared = _log(spark, path).filter("operation = 'clear'").agg(F.max("generation").alias("g")).first()["g"]
     if cleared is not None:
         rows = rows.filter(F.col("generation") > cleared)
-    if not _exists(spark, f"{path}/deletes"):
+    if not exists(spark, f"{path}/deletes"):
         return rows
     gone = spark.read.parquet(f"{path}/deletes").groupBy("chunk_id").agg(F.max("deleted_in").alias("deleted_in"))
     gone = gone.withColumnRenamed("chunk_id", "gone_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.chunking import chunk_documents
 from corpusmill.plans.ingest import with_ids
-from corpusmill.sources.index import _exists, index_append, index_read
+from corpusmill.sources.index import exists, index_append, index_read
 
 
 def stream_ingest(documents: DataFrame, path: str, checkpoint: str, strategy: str = "auto", available_now: bool = True):
@@ -19,7 +19,7 @@ def stream_ingest(documents: DataFrame, path: str, checkpoint: str, strategy: st
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(["doc_id"])
-        if _exists(spark, f"{path}/chunks"):
+        if exists(spark, f"{path}/chunks"):
             known = index_read(spark, path).select(F.col("document_id").alias("__known")).distinct()
             fresh = fresh.join(known, F.col("doc_id").cast("string") == F.col("__known"), "left_anti")
         index_append(with_ids(chunk_documents(fresh, strategy)), path)

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from collections import Counter
 
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as V
 from corpusmill.functions.rule_packs import EN, ZH
-from corpusmill.operators import ann, dense, fusion, lexical, routing
+from corpusmill.operators import ann, dense, fusion, lexical, postings, routing
 from corpusmill.plans import search
+from corpusmill.sources.index import index_append, index_read
 
 DOCS = ["the cat sat", "the dog sat", "the bird flew", "the the cat cat cat", "中文 检索 系统", ""]
 
@@ -56,6 +58,81 @@ def test_bm25_matches_the_rule(spark, monkeypatch, broadcast):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def prose(seed, n, words=60):
+    """Texts over a skewed vocabulary; some are null, empty or long."""
+    r = random.Random(seed)
+    word = lambda: "w" + "abcdefghij"[min(9, int(r.expovariate(0.4)))] * r.randrange(1, 6)
+    texts = [" ".join(word() for _ in range(r.randrange(1, words))) for _ in range(n)]
+    return texts + [None, "", "...", " ".join(word() for _ in range(900))]
+
+
+@pytest.mark.parametrize("docs, tokens_held, block", [(16_384, 4_000_000, 128), (80, 4_000_000, 4), (16_384, 2000, 4)])
+def test_block_postings_skip_blocks_and_lose_nothing(spark, docs, tokens_held, block):
+    texts = prose(1, 400)
+    queries, chunks = tables(spark, texts, ["waaaa wjjjj", "wb wcc wddd wb", "wzz", "wjj", "", "wa wb wc wd we wf wg"])
+    kept = postings.build_block_postings(chunks, shard_docs=docs, shard_tokens=tokens_held, block_docs=block)
+    plain = {tuple(r) for r in lexical.build_postings(chunks).select("chunk_id", "term", "tf", "doc_length").collect()}
+    assert {tuple(r) for r in kept.rows().collect()} == plain
+    # the bound on a block holds for each of its documents and any mean length
+    lengths = {r.shard: r.lengths for r in kept.docs.collect()}
+    for r in kept.terms.collect():
+        for number, tf in zip(r.numbers, r.tfs):
+            i = r.blocks.index(number // block)
+            for mean in (1.0, 30.0, 1e4):
+                assert postings.part_score(tf, lengths[r.shard][number], mean) <= postings.part_score(r.max_tf[i], r.min_length[i], mean)
+    for k in (1, 5, 1000):
+        want = {}
+        for q, text in enumerate(r.query for r in queries.orderBy("query_id").collect()):
+            scores = sorted((-round(s, 9), d) for d, s in enumerate(okapi(text, [t or "" for t in texts], tokens)) if round(s, 12) > 0)
+            want |= {(q, d): (i, -s) for i, (s, d) in enumerate(scores[:k], 1)}
+        got = {(r.query_id, r.chunk_id): (r["rank"], round(r.score, 9)) for r in lexical.bm25_topk(queries, chunks, k, postings=kept).collect()}
+        assert got.keys() == want.keys() and all(got[key] == pytest.approx(want[key]) for key in got)
+    if block < 128:
+        blocks = lexical.bm25_blocks(queries, chunks, 1, "chunk_id", "text", kept).agg(F.sum("held"), F.sum("scored")).first()
+        assert blocks[1] < 0.9 * blocks[0]
+    assert lexical.bm25_topk(queries, chunks.limit(0)).count() == 0 == lexical.bm25_topk(queries.limit(0), chunks, postings=kept).count()
+
+
+def test_postings_are_made_once_for_each_generation(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = [(i, t, "s", f"d{i}", "a") for i, t in enumerate(DOCS)]
+    schema = "chunk_id long, text string, session_id string, document_id string, source string"
+    index_append(spark.createDataFrame(rows[:3], schema), path)
+    first = postings.index_postings(spark, path)
+    stored = sorted(os.listdir(tmp_path / "index" / "postings" / "generation-1"))
+    again = postings.index_postings(spark, path)
+    assert sorted(os.listdir(tmp_path / "index" / "postings" / "generation-1")) == stored
+    assert {tuple(r) for r in again.rows().collect()} == {tuple(r) for r in first.rows().collect()}
+    index_append(spark.createDataFrame(rows[3:], schema), path)
+    queries = spark.createDataFrame([("q", "the cat 检索")], "query_id string, query string")
+    live = index_read(spark, path)
+    newer = postings.index_postings(spark, path)
+    got = {r.chunk_id: round(r.score, 9) for r in lexical.bm25_topk(queries, live, postings=newer).collect()}
+    assert got == {d: round(s, 9) for d, s in enumerate(okapi("the cat 检索", DOCS, tokens)) if s > 0}
+    assert sorted(os.listdir(tmp_path / "index" / "postings")) == ["generation-1", "generation-2"]
+
+
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_scoped_bm25_over_small_shards(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(lexical, "BROADCAST_QUERIES", broadcast)
+    texts = prose(2, 150)
+    rows = [(i, t, f"s{i % 3}", f"d{i}", "ab"[i % 2]) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string, session_id string, document_id string, source string")
+    scopes = spark.createDataFrame([(0, "s0", None, None), (1, None, None, ["b"]), (2, "s0", None, None), (3, "none", None, None)],
+                                   "scope_id long, session_id string, document_ids array<string>, sources array<string>")
+    asked = ["wjj waaaa", "wb wcc wddd wb", "wa wjjjj", "wa"]
+    queries = spark.createDataFrame([(i, q, i) for i, q in enumerate(asked)], "query_id long, query string, scope_id long")
+    inside = {0: [i for i in range(len(texts)) if i % 3 == 0], 1: [i for i in range(len(texts)) if i % 2], 3: []}
+    inside[2] = inside[0]
+    want = {}
+    for q, docs in inside.items():
+        scores = okapi(asked[q], [texts[d] or "" for d in docs], tokens) if docs else []
+        want |= {(q, d): round(s, 7) for s, d in sorted(((-round(s, 9), d) for d, s in zip(docs, scores) if round(s, 12) > 0))[:3] for s in (-s,)}
+    kept = postings.build_block_postings(chunks, shard_docs=40, block_docs=4)
+    got = {(r.query_id, r.chunk_id): round(r.score, 7) for r in lexical.bm25_topk_scoped(queries, scopes, chunks, 3, postings=kept).collect()}
+    assert got == want
+
+
 def test_scoped_bm25_never_leaves_its_scope(spark):
     rows = [(i, d, f"s{i % 2}", f"d{i}", "a" if i < 3 else "b") for i, d in enumerate(DOCS)]
     chunks = spark.createDataFrame(rows, "chunk_id long, text string, session_id string, document_id string, source string")
