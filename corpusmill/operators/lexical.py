@@ -72,6 +72,11 @@ def _ranked_topk(scored: DataFrame, id: str, k: int) -> DataFrame:
     return top_k(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc(id)], k)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Dealt out by shard: few rows each, but much work, so that partitions are not merged by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
+
+
 def _shards(postings: Postings, terms: DataFrame) -> DataFrame:
     """The documents of all shards and the rows of some terms."""
     return postings.docs.unionByName(postings.terms.join(F.broadcast(terms), "term", "left_semi"), allowMissingColumns=True)
@@ -91,7 +96,7 @@ def _best_of_shards(rows: DataFrame, wanted: DataFrame, k: int, id: str, kinds:
     asked = to_arrow_type(wanted.schema["query_id"].dataType)
     schema = f"query_id {kinds['query_id']}, {id} {kinds[id]}, score double, held long, scored long"
 
-    def search(table: pa.Table, scopes: dict[str, np.ndarray] | None) -> pa.Table:
+    def search(table: pa.Table, scopes: dict[int, np.ndarray] | None) -> pa.Table:
         weights, scope_of, mean_of = shared.value
         shard, out = Shard(table), []
         for query, terms in weights.items():
@@ -116,13 +121,13 @@ def _best_of_shards(rows: DataFrame, wanted: DataFrame, k: int, id: str, kinds:
         return pa.table(columns)
 
     if members is None:
-        return rows.groupBy("shard").applyInArrow(lambda table: search(table, None), schema)
+        return _dealt(rows).groupBy("shard").applyInArrow(lambda table: search(table, None), schema)
 
     def search_scopes(table: pa.Table, inside: pa.Table) -> pa.Table:
         scopes = {s: np.asarray(x) for s, x in zip(inside.column("scope_key").to_pylist(), inside.column("numbers").to_pylist(), strict=True)}
         return search(table, scopes)
 
-    return rows.groupBy("shard").cogroup(members.groupBy("shard")).applyInArrow(search_scopes, schema)
+    return _dealt(rows).groupBy("shard").cogroup(_dealt(members).groupBy("shard")).applyInArrow(search_scopes, schema)
 
 
 def _kinds(queries: DataFrame, chunks: DataFrame, id: str) -> dict[str, str]:
@@ -151,14 +156,12 @@ def bm25_blocks(queries: DataFrame, chunks: DataFrame, k: int, id: str, text: st
     postings = build_block_postings(chunks, None, id, text) if postings is None else postings
     # One row for each term of a shard, and one for each shard.
     n_docs = postings.docs.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
-    counts = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
-    vocabulary = postings.terms.select("term", F.size("numbers").cast("long").alias("df"), counts.alias("cf"))
-    weighed = vocabulary.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).withColumn("raw", raw_idf(F.lit(n_docs), F.col("df")))
+    weighed = postings.terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).withColumn("raw", raw_idf(F.lit(n_docs), F.col("df")))
     weighed = cut_lineage(weighed)
     overall = weighed.agg(F.avg("raw").alias("mean_idf"), F.try_divide(F.sum("cf"), F.lit(n_docs)).alias("mean_length")).first()
     mean_length = F.lit(overall.mean_length).cast("double")
     wanted = query_terms(queries).join(weighed, "term").select(
-        "query_id", F.lit(None).cast("string").alias("scope_key"), "term", _weight(F.col("raw"), F.lit(overall.mean_idf).cast("double")).alias("weight"),
+        "query_id", F.lit(None).cast("long").alias("scope_key"), "term", _weight(F.col("raw"), F.lit(overall.mean_idf).cast("double")).alias("weight"),
         mean_length.alias("mean_length"),
     )
     wanted = cut_lineage(wanted)
@@ -222,12 +225,9 @@ def bm25_topk_scoped(
     """
     keyed = scopes.withColumn(
         "scope_key",
-        F.sha2(
-            F.to_json(F.struct(
-                "session_id", F.array_sort(F.array_distinct("document_ids")).alias("d"),
-                F.array_sort(F.array_distinct("sources")).alias("s"),
-            )), 256,
-        ),
+        F.xxhash64(F.to_json(F.struct(
+            "session_id", F.array_sort(F.array_distinct("document_ids")).alias("d"), F.array_sort(F.array_distinct("sources")).alias("s"),
+        ))),
     )
     distinct = keyed.dropDuplicates(["scope_key"]).drop("scope_id").withColumnRenamed("scope_key", "scope_id")
     members = scope_members(distinct, chunks, id).withColumnRenamed("scope_id", "scope_key")
@@ -236,12 +236,15 @@ def bm25_topk_scoped(
     members = cut_lineage(
         members.join(numbered, id).groupBy("shard", "scope_key").agg(F.collect_list("number").alias("numbers"))
     )
-    inside = postings.docs.unionByName(postings.terms, allowMissingColumns=True).groupBy("shard").cogroup(members.groupBy("shard"))
-    vocabulary = inside.applyInArrow(_scope_counts, "scope_key string, term string, df long, cf long").groupBy("scope_key", "term").agg(
-        F.sum("df").alias("df"), F.sum("cf").alias("cf")
+    everything = _dealt(postings.docs.unionByName(postings.terms, allowMissingColumns=True))
+    inside = everything.groupBy("shard").cogroup(_dealt(members).groupBy("shard"))
+    vocabulary = cut_lineage(
+        inside.applyInArrow(_scope_counts, "scope_key long, term string, df long, cf long").groupBy("scope_key", "term").agg(
+            F.sum("df").alias("df"), F.sum("cf").alias("cf")
+        )
     )
     sizes = members.groupBy("scope_key").agg(F.sum(F.size("numbers")).alias("n_docs"))
-    weighed = cut_lineage(vocabulary.join(sizes, "scope_key").withColumn("raw", raw_idf(F.col("n_docs"), F.col("df"))))
+    weighed = vocabulary.join(F.broadcast(sizes), "scope_key").withColumn("raw", raw_idf(F.col("n_docs"), F.col("df")))
     overall = weighed.groupBy("scope_key").agg(
         F.avg("raw").alias("mean_idf"), (F.sum("cf") / F.first("n_docs")).alias("mean_length")
     )
@@ -280,7 +283,7 @@ def _scope_counts(table: pa.Table, inside: pa.Table) -> pa.Table:
     held = np.concatenate([x[1] for x in out]) if out else np.empty(0, np.int64)
     scopes = np.repeat(np.arange(len(out)), np.array([len(x[1]) for x in out], np.int64))
     return pa.table({
-        "scope_key": pa.array([x[0] for x in out], pa.string()).take(pa.array(scopes)),
+        "scope_key": pa.array([x[0] for x in out], pa.int64()).take(pa.array(scopes)),
         "term": pa.array(shard.terms, pa.string()).take(pa.array(held)),
         "df": np.concatenate([x[2] for x in out]) if out else np.empty(0, np.int64),
         "cf": np.concatenate([x[3] for x in out]) if out else np.empty(0, np.int64),

@@ -1,6 +1,6 @@
 """Postings in shards of documents, with an upper bound for every block of them.
 
-A shard holds the documents of one stretch of a task's rows, numbered from 0; it is made where the texts are read, without a shuffle. A term's row
+A shard holds the documents of one stretch of a task's rows, numbered by length; it is made where the texts are read, without a shuffle. A term's row
 has the numbers and counts of its documents, and for each block of ``BLOCK_DOCS`` numbers the greatest count and the least document length, from
 which a bound on the score follows whatever the mean length. Blocks of all terms are aligned, so a query's bound for a block is a sum over its terms:
 the blocks with the best bounds are scored first, and of the rest only those whose bound reaches the k-th score found there.
@@ -29,35 +29,58 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 SHARD_DOCS, SHARD_TOKENS, BLOCK_DOCS, FIRST_BLOCKS = 16_384, 4_000_000, 128, 4
 
 
+def ints(blob: bytes) -> np.ndarray:
+    """Numbers as they are stored: four bytes each, which cross to Python and back without a look at every one."""
+    return np.frombuffer(blob, "<i4")
+
+
 class Postings(NamedTuple):
-    """``terms(shard, term, numbers, tfs, blocks, max_tf, min_length)`` and ``docs(shard, block_docs, ids, lengths)``; null texts are empty documents."""
+    """``terms(shard, term, df, cf, numbers, tfs, blocks, max_tf, min_length)`` and ``docs(shard, block_docs, ids, lengths)``.
+
+    Null texts are empty documents. All lists but ``ids`` are binary, see ``ints``.
+    """
 
     terms: DataFrame
     docs: DataFrame
 
     def rows(self, id: str = "chunk_id") -> DataFrame:
         """(id, term, tf, doc_length), one row for each posting."""
-        held = self.docs.select("shard", F.posexplode(F.arrays_zip("ids", "lengths")).alias("number", "d")).select(
-            "shard", "number", F.col("d.ids").alias(id), F.col("d.lengths").cast("long").alias("doc_length")
-        )
-        found = self.terms.select("shard", "term", F.explode(F.arrays_zip("numbers", "tfs")).alias("p"))
-        return found.select("shard", "term", F.col("p.numbers").alias("number"), F.col("p.tfs").cast("long").alias("tf")).join(
-            held, ["shard", "number"]
-        ).select(id, "term", "tf", "doc_length")
+
+        def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard, ids, lengths in zip(*(batch.column(c) for c in ("shard", "ids", "lengths")), strict=True):
+                    n = len(ids.values)
+                    columns = [pa.repeat(shard, n), pa.array(np.arange(n)), ids.values, pa.array(ints(lengths.as_py()).astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["shard", "number", id, "doc_length"])
+
+        def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard, term, numbers, tfs in zip(*(batch.column(c) for c in ("shard", "term", "numbers", "tfs")), strict=True):
+                    number, tf = ints(numbers.as_py()).astype(np.int64), ints(tfs.as_py()).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(x, len(tf)) for x in (shard, term)] + [pa.array(number), pa.array(tf)], ["shard", "term", "number", "tf"])
+
+        kind = self.docs.schema["ids"].dataType.elementType.simpleString()
+        held = self.docs.select("shard", "ids", "lengths").mapInArrow(documents, f"shard long, number long, {id} {kind}, doc_length long")
+        found = self.terms.select("shard", "term", "numbers", "tfs").mapInArrow(postings, "shard long, term string, number long, tf long")
+        return found.join(held, ["shard", "number"]).select(id, "term", "tf", "doc_length")
 
 
 _LISTS = ("numbers", "tfs", "blocks", "max_tf", "min_length")
 
 
-def _lists(starts: np.ndarray, values: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int32()))
+def _blobs(starts: np.ndarray, values: np.ndarray) -> pa.Array:
+    data = pa.py_buffer(np.asarray(values, "<i4").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * 4).astype(np.int32)), data])
 
 
 def _shard(number: int, batches: list[pa.RecordBatch], schema: pa.Schema, block_docs: int) -> pa.RecordBatch:
     """The rows of a shard: first its documents, then its terms in order; blocks of ``block_docs`` documents."""
-    table = pa.Table.from_batches(batches).combine_chunks()
+    table = pa.Table.from_batches(batches)
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(table.column(1)), 0)).astype(np.int64)
+    # Documents of like length share a block, which brings its bound close to their scores.
+    order = np.argsort(lengths, kind="stable")
+    table, lengths = table.take(pa.array(order)).combine_chunks(), lengths[order]
     ids, tokens = table.column(0).combine_chunks(), table.column(1).combine_chunks()
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)).astype(np.int64)
     found = pc.dictionary_encode(pc.list_flatten(tokens))
     if isinstance(found, pa.ChunkedArray):
         found = found.combine_chunks()
@@ -73,13 +96,15 @@ def _shard(number: int, batches: list[pa.RecordBatch], schema: pa.Schema, block_
     least = np.minimum.reduceat(lengths[doc], first) if len(first) else first
     edges = np.arange(len(order) + 1)
     by_term, by_block = np.searchsorted(term, edges), np.searchsorted(term[first], edges)
-    lists = [_lists(by_term, doc), _lists(by_term, tf), _lists(by_block, block[first]), _lists(by_block, top), _lists(by_block, least)]
+    lists = [_blobs(by_term, doc), _blobs(by_term, tf), _blobs(by_block, block[first]), _blobs(by_block, top), _blobs(by_block, least)]
+    total = np.concatenate(([0], np.cumsum(tf)))
+    counts = [pa.array(np.diff(by_term), pa.int64()), pa.array(np.diff(total[by_term]), pa.int64())]
     ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-    whole = [ids, _lists(np.array([0, len(lengths)]), lengths)]
+    whole = [ids, _blobs(np.array([0, len(lengths)]), lengths)]
     n = len(order)
     columns = [pa.repeat(pa.scalar(number, pa.int64()), n + 1), pa.concat_arrays([pa.nulls(1, pa.string()), found.dictionary.take(pa.array(order))])]
     columns.append(pa.concat_arrays([pa.array([block_docs], pa.int32()), pa.nulls(n, pa.int32())]))
-    columns += [pa.concat_arrays([pa.nulls(1, x.type), x]) for x in lists]
+    columns += [pa.concat_arrays([pa.nulls(1, x.type), x]) for x in counts + lists]
     columns += [pa.concat_arrays([x, pa.nulls(n, x.type)]) for x in whole]
     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -96,8 +121,8 @@ def build_block_postings(
         for batch in batches:
             size = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0)).astype(np.int64)
             if schema is None:
-                ints = pa.list_(pa.int32())
-                fields = [("shard", pa.int64()), ("term", pa.string()), ("block_docs", pa.int32()), *[(c, ints) for c in _LISTS], ("ids", pa.list_(batch.column(0).type)), ("lengths", ints)]
+                fields = [("shard", pa.int64()), ("term", pa.string()), ("block_docs", pa.int32()), ("df", pa.int64()), ("cf", pa.int64())]
+                fields += [*[(c, pa.binary()) for c in _LISTS], ("ids", pa.list_(batch.column(0).type)), ("lengths", pa.binary())]
                 schema = pa.schema(fields)
             low = 0
             while low < len(size):
@@ -115,14 +140,14 @@ def build_block_postings(
 
     named = chunks.select(id, T.tokenize(F.col(text)).alias("tokens"))
     kind = chunks.schema[id].dataType.simpleString()
-    lists = ", ".join(f"{c} array<int>" for c in _LISTS)
-    named.mapInArrow(shards, f"shard long, term string, block_docs int, {lists}, ids array<{kind}>, lengths array<int>").write.mode("overwrite").parquet(path)
+    lists = ", ".join(f"{c} binary" for c in _LISTS)
+    named.mapInArrow(shards, f"shard long, term string, block_docs int, df long, cf long, {lists}, ids array<{kind}>, lengths binary").write.mode("overwrite").parquet(path)
     return read_block_postings(chunks.sparkSession, path)
 
 
 def read_block_postings(spark: SparkSession, path: str) -> Postings:
     rows = spark.read.parquet(path)
-    return Postings(rows.filter("term is not null").select("shard", "term", *_LISTS), rows.filter("term is null").select("shard", "block_docs", "ids", "lengths"))
+    return Postings(rows.filter("term is not null").select("shard", "term", "df", "cf", *_LISTS), rows.filter("term is null").select("shard", "block_docs", "ids", "lengths"))
 
 
 def index_postings(spark: SparkSession, path: str) -> Postings:
@@ -145,7 +170,7 @@ class Shard:
         whole = np.asarray(table.column("term").is_null())
         row = table.filter(pa.array(whole)).slice(0, 1)
         self.ids = row.column("ids").combine_chunks().flatten()
-        self.lengths = np.asarray(row.column("lengths").combine_chunks().flatten())
+        self.lengths = ints(row.column("lengths")[0].as_py())
         self.block_docs = row.column("block_docs")[0].as_py()
         self.n_blocks = -(-len(self.lengths) // self.block_docs)
         terms = table.filter(pa.array(~whole))
@@ -153,9 +178,9 @@ class Shard:
         self.at = {t: i for i, t in enumerate(self.terms)}
         self.lists, self.ends = {}, {}
         for c in _LISTS:
-            column = terms.column(c).combine_chunks()
-            self.lists[c] = np.asarray(column.flatten())
-            self.ends[c] = np.concatenate(([0], np.cumsum(np.asarray(column.value_lengths())))) if len(terms) else np.zeros(1, np.int64)
+            held = terms.column(c).to_pylist()
+            self.lists[c] = ints(b"".join(held))
+            self.ends[c] = np.cumsum([0, *map(len, held)]) // 4
 
     def of(self, name: str, term: int) -> np.ndarray:
         return self.lists[name][self.ends[name][term] : self.ends[name][term + 1]]

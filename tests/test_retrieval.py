@@ -74,12 +74,14 @@ def test_block_postings_skip_blocks_and_lose_nothing(spark, docs, tokens_held, b
     plain = {tuple(r) for r in lexical.build_postings(chunks).select("chunk_id", "term", "tf", "doc_length").collect()}
     assert {tuple(r) for r in kept.rows().collect()} == plain
     # the bound on a block holds for each of its documents and any mean length
-    lengths = {r.shard: r.lengths for r in kept.docs.collect()}
+    lengths = {r.shard: postings.ints(r.lengths) for r in kept.docs.collect()}
     for r in kept.terms.collect():
-        for number, tf in zip(r.numbers, r.tfs):
-            i = r.blocks.index(number // block)
+        numbers, tfs, blocks, max_tf, min_length = (postings.ints(r[c]).tolist() for c in ("numbers", "tfs", "blocks", "max_tf", "min_length"))
+        assert (r.df, r.cf) == (len(tfs), sum(tfs))
+        for number, tf in zip(numbers, tfs):
+            i = blocks.index(number // block)
             for mean in (1.0, 30.0, 1e4):
-                assert postings.part_score(tf, lengths[r.shard][number], mean) <= postings.part_score(r.max_tf[i], r.min_length[i], mean)
+                assert postings.part_score(tf, lengths[r.shard][number], mean) <= postings.part_score(max_tf[i], min_length[i], mean)
     for k in (1, 5, 1000):
         want = {}
         for q, text in enumerate(r.query for r in queries.orderBy("query_id").collect()):
