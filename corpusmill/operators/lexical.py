@@ -154,10 +154,8 @@ def bm25_blocks(queries: DataFrame, chunks: DataFrame, k: int, id: str, text: st
     """(query_id, id, score, held, scored): a superset of the ``k`` best of each query, with the blocks of their shard that hold
     one of its terms and those that were scored."""
     postings = build_block_postings(chunks, None, id, text) if postings is None else postings
-    # One row for each term of a shard, and one for each shard.
     n_docs = postings.docs.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
-    weighed = postings.terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).withColumn("raw", raw_idf(F.lit(n_docs), F.col("df")))
-    weighed = cut_lineage(weighed)
+    weighed = postings.vocabulary.withColumn("raw", raw_idf(F.lit(n_docs), F.col("df")))
     overall = weighed.agg(F.avg("raw").alias("mean_idf"), F.try_divide(F.sum("cf"), F.lit(n_docs)).alias("mean_length")).first()
     mean_length = F.lit(overall.mean_length).cast("double")
     wanted = query_terms(queries).join(weighed, "term").select(

@@ -37,11 +37,12 @@ def ints(blob: bytes) -> np.ndarray:
 class Postings(NamedTuple):
     """``terms(shard, term, df, cf, numbers, tfs, blocks, max_tf, min_length)`` and ``docs(shard, block_docs, ids, lengths)``.
 
-    Null texts are empty documents. All lists but ``ids`` are binary, see ``ints``.
+    ``vocabulary(term, df, cf)`` sums up the shards. Null texts are empty documents. All lists but ``ids`` are binary, see ``ints``.
     """
 
     terms: DataFrame
     docs: DataFrame
+    vocabulary: DataFrame
 
     def rows(self, id: str = "chunk_id") -> DataFrame:
         """(id, term, tf, doc_length), one row for each posting."""
@@ -141,19 +142,25 @@ def build_block_postings(
     named = chunks.select(id, T.tokenize(F.col(text)).alias("tokens"))
     kind = chunks.schema[id].dataType.simpleString()
     lists = ", ".join(f"{c} binary" for c in _LISTS)
-    named.mapInArrow(shards, f"shard long, term string, block_docs int, df long, cf long, {lists}, ids array<{kind}>, lengths binary").write.mode("overwrite").parquet(path)
+    named.mapInArrow(shards, f"shard long, term string, block_docs int, df long, cf long, {lists}, ids array<{kind}>, lengths binary").write.mode("overwrite").parquet(f"{path}/rows")
+    terms = chunks.sparkSession.read.parquet(f"{path}/rows").filter("term is not null")
+    terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).write.mode("overwrite").parquet(f"{path}/vocabulary")
     return read_block_postings(chunks.sparkSession, path)
 
 
 def read_block_postings(spark: SparkSession, path: str) -> Postings:
-    rows = spark.read.parquet(path)
-    return Postings(rows.filter("term is not null").select("shard", "term", "df", "cf", *_LISTS), rows.filter("term is null").select("shard", "block_docs", "ids", "lengths"))
+    rows = spark.read.parquet(f"{path}/rows")
+    return Postings(
+        rows.filter("term is not null").select("shard", "term", "df", "cf", *_LISTS),
+        rows.filter("term is null").select("shard", "block_docs", "ids", "lengths"),
+        spark.read.parquet(f"{path}/vocabulary"),
+    )
 
 
 def index_postings(spark: SparkSession, path: str) -> Postings:
     """The postings of a chunk index as of its last write: those of its generation if they are stored, else made and stored now."""
     folder = f"{path}/postings/generation-{index_generation(spark, path)}"
-    if exists(spark, f"{folder}/_SUCCESS"):
+    if exists(spark, f"{folder}/vocabulary/_SUCCESS"):
         return read_block_postings(spark, folder)
     return build_block_postings(index_read(spark, path), folder)
 

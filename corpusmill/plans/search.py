@@ -80,41 +80,60 @@ def single_step(
     return hits
 
 
-def multi_step(
-    queries: DataFrame, index: Index, rewrites: DataFrame, scopes: DataFrame | None = None,
-    fallback: DataFrame | None = None, suggestions: DataFrame | None = None, rounds: int = 3,
-    embed: Callable[[DataFrame], DataFrame] | None = None, scorer=T.token_overlap, pack: dict = ZH,
-    evidence=fusion.EVIDENCE_ZH, step_back: str = routing.STEP_BACK_ZH, sub_queries=routing.SUB_QUERIES_ZH,
-) -> DataFrame:
-    """Several phrasings per query, fused; further rounds only for queries still insufficient.
+class Steps(NamedTuple):
+    """What searches of several steps need besides the queries; see ``multi_step``."""
 
-    ``rewrites(query_id, rewrites)``, ``fallback(query_id, query)`` and ``suggestions(query_id,
-    suggestion)`` come from outside, as do vectors of rewritten texts (``embed``). Every round is
-    written out before the next, so plans stay short and a lost executor costs one round.
-    """
+    rewrites: DataFrame | None = None
+    fallback: DataFrame | None = None
+    suggestions: DataFrame | None = None
+    rounds: int = 3
+    embed: Callable[[DataFrame], DataFrame] | None = None
+    evidence: tuple = fusion.EVIDENCE_ZH
+    step_back: str = routing.STEP_BACK_ZH
+    sub_queries: tuple[str, ...] = routing.SUB_QUERIES_ZH
+
+
+LABELS = ("sub_id", "owner", "kind", "list_no", "k")
+
+
+def _labelled_search(asked: DataFrame, index: Index, scopes: DataFrame | None, scorer, pack: dict) -> DataFrame:
+    """Hits of ``asked(sub_id, query_id, query, vector, ...)`` with its labels; ``query_id`` is the owning query. All texts, whatever
+    asks for them, share one pass over postings and vectors. Written out, so that what follows stays short."""
+    owners = asked.select("sub_id", F.col("query_id").alias("owner"), *[c for c in LABELS[2:] if c in asked.columns])
+    more = [c for c in ("scope_id", "retrieval_top_k") if c in asked.columns]
+    renamed = asked.select(F.col("sub_id").alias("query_id"), "query", "vector", *more)
+    hits = single_step(renamed, index, scopes, scorer, pack).withColumnRenamed("query_id", "sub_id").join(owners, "sub_id")
+    return cut_lineage(hits.withColumnRenamed("owner", "query_id"))
+
+
+def _vectored(df: DataFrame, queries: DataFrame, embed: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """The original keeps its vector; other texts get one only from ``embed``."""
     scope = ["scope_id"] if "scope_id" in queries.columns else []
-    if index.postings is None:
-        # every round reads the postings again, so they are written once
-        index = index._replace(postings=build_block_postings(index.chunks))
+    own = queries.select("query_id", *scope, F.col("query").alias("__q"), F.col("vector").alias("__v"))
+    kind = queries.schema["vector"].dataType
+    joined = df.join(own, "query_id").withColumn("vector", F.when(F.col("query") == F.col("__q"), F.col("__v")).cast(kind))
+    joined = joined.drop("__q", "__v")
+    return embed(joined) if embed is not None else joined
+
+
+def _phrasings(queries: DataFrame, steps: Steps, pack: dict) -> DataFrame:
+    """The texts that a query of several steps asks first, labelled with kind, list_no and k."""
+    rewrites = steps.rewrites
+    if rewrites is None:
+        rewrites = queries.select("query_id", F.array().cast("array<string>").alias("rewrites"))
+    expanded = routing.expand_queries(queries, rewrites, pack, steps.step_back, steps.sub_queries)
+    sub = F.concat_ws("#", F.col("query_id").cast("string"), F.col("list_no").cast("string"))
+    return _vectored(expanded.withColumn("sub_id", sub), queries, steps.embed)
+
+
+def _further_rounds(
+    queries: DataFrame, first: DataFrame, index: Index, scopes: DataFrame | None, steps: Steps, scorer, pack: dict
+) -> DataFrame:
+    """Fuse the hits of all phrasings, then ask again for queries that have too little."""
 
     def search(asked: DataFrame) -> DataFrame:
-        """``asked(sub_id, query_id, query, vector, ...)``: hits keep the owning query."""
-        owners = asked.select("sub_id", F.col("query_id").alias("__owner"), *[c for c in ("kind", "list_no", "k") if c in asked.columns])
-        renamed = asked.select(F.col("sub_id").alias("query_id"), "query", "vector", *scope)
-        hits = single_step(renamed, index, scopes, scorer, pack)
-        return hits.withColumnRenamed("query_id", "sub_id").join(owners, "sub_id").withColumnRenamed("__owner", "query_id")
-
-    def vectored(df: DataFrame) -> DataFrame:
-        """The original keeps its vector; other texts get one only from ``embed``."""
-        own = queries.select("query_id", *scope, F.col("query").alias("__q"), F.col("vector").alias("__v"))
-        kind = queries.schema["vector"].dataType
-        joined = df.join(own, "query_id").withColumn("vector", F.when(F.col("query") == F.col("__q"), F.col("__v")).cast(kind))
-        joined = joined.drop("__q", "__v")
-        return embed(joined) if embed is not None else joined
-
-    expanded = routing.expand_queries(queries, rewrites, pack, step_back, sub_queries)
-    expanded = expanded.withColumn("sub_id", F.concat_ws("#", F.col("query_id").cast("string"), F.col("list_no").cast("string")))
-    first = cut_lineage(search(vectored(expanded)).select(*HITS, "kind", "list_no", "k"))
+        return _labelled_search(_vectored(asked, queries, steps.embed), index, scopes, scorer, pack)
+
     narrow = first.filter((F.col("kind") == "sub_query") & (F.col("rank") <= F.col("k"))).withColumns(
         {"round": F.lit(0), "rank": F.col("list_no") * 100 + F.col("rank")}
     )
@@ -124,35 +143,59 @@ def multi_step(
     scores = fused.select("query_id", "chunk_id", scorer(F.col("query"), F.col("text")).cast("double").alias("new_score"))
     reranked = fusion.rerank_keep_all(fused, scores).withColumns({"round": F.lit(1), "match_type": F.lit("hybrid")})
     columns = [*HITS, "round"]
-    found = fusion.dedupe_hits(narrow.select(*columns).unionByName(reranked.select(*columns)))
+    found = cut_lineage(fusion.dedupe_hits(narrow.select(*columns).unionByName(reranked.select(*columns))))
 
-    if fallback is not None:
+    if steps.fallback is not None:
         empty = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
         empty = empty.filter(~matches(F.col("query"), pack["tabular"]))
-        if scope:
+        if "scope_id" in queries.columns:
             empty = empty.filter("scope_id is null")
-        asked = fallback.join(empty.select("query_id"), "query_id", "left_semi").withColumn("sub_id", F.col("query_id").cast("string"))
-        found = found.unionByName(search(vectored(asked)).withColumn("round", F.lit(2)).select(*columns))
-    found = cut_lineage(found)
+        asked = cut_lineage(steps.fallback.join(empty.select("query_id"), "query_id", "left_semi"))
+        if not asked.isEmpty():
+            asked = asked.withColumn("sub_id", F.col("query_id").cast("string"))
+            found = cut_lineage(found.unionByName(search(asked).withColumn("round", F.lit(2)).select(*columns)))
 
-    for number in range(2, rounds + 1):
+    for number in range(2, steps.rounds + 1):
         enough = fusion.sufficiency(queries, found).filter("sufficient").select("query_id")
         open_queries = queries.join(enough, "query_id", "left_anti").select("query_id", "query")
-        if suggestions is not None:
+        if steps.suggestions is not None:
             text = F.concat_ws(" ", "query", F.when(F.col("suggestion") != "", F.col("suggestion")))
-            open_queries = open_queries.join(suggestions, "query_id", "left").select("query_id", text.alias("query"))
+            open_queries = open_queries.join(steps.suggestions, "query_id", "left").select("query_id", text.alias("query"))
+        open_queries = cut_lineage(open_queries)
         if open_queries.isEmpty():
             break
-        again = vectored(open_queries.withColumn("sub_id", F.col("query_id").cast("string")))
-        more = search(again).withColumn("round", F.lit(number + 1)).select(*columns)
-        found = cut_lineage(fusion.dedupe_hits(found.unionByName(more)))
+        more = search(open_queries.withColumn("sub_id", F.col("query_id").cast("string"))).withColumn("round", F.lit(number + 1))
+        found = cut_lineage(fusion.dedupe_hits(found.unionByName(more.select(*columns))))
 
     ordered = fusion._ranked(found.drop("rank"), [F.desc(F.round("score", 9)), F.asc("round"), F.asc("chunk_id")])
     flagged = queries.select("query_id", matches(F.col("query"), pack["inference_search"]).alias("is_inference"))
-    covered = fusion.evidence_coverage(ordered, flagged, evidence)
+    covered = fusion.evidence_coverage(ordered, flagged, steps.evidence)
     return covered.drop("rank", "round").withColumnRenamed("new_rank", "rank").select(*HITS)
 
 
+def _with_postings(index: Index) -> Index:
+    """Postings that are read more than once are made once."""
+    return index if index.postings is not None else index._replace(postings=build_block_postings(index.chunks))
+
+
+def multi_step(
+    queries: DataFrame, index: Index, rewrites: DataFrame | None = None, scopes: DataFrame | None = None,
+    fallback: DataFrame | None = None, suggestions: DataFrame | None = None, rounds: int = 3,
+    embed: Callable[[DataFrame], DataFrame] | None = None, scorer=T.token_overlap, pack: dict = ZH,
+    evidence=fusion.EVIDENCE_ZH, step_back: str = routing.STEP_BACK_ZH, sub_queries=routing.SUB_QUERIES_ZH,
+) -> DataFrame:
+    """Several phrasings per query, fused; further rounds only for queries still insufficient.
+
+    ``rewrites(query_id, rewrites)``, ``fallback(query_id, query)`` and ``suggestions(query_id,
+    suggestion)`` come from outside, as do vectors of rewritten texts (``embed``). Every round is
+    written out before the next, so plans stay short and a lost executor costs one round.
+    """
+    steps = Steps(rewrites, fallback, suggestions, rounds, embed, evidence, step_back, sub_queries)
+    index = _with_postings(index)
+    first = _labelled_search(_phrasings(queries, steps, pack), index, scopes, scorer, pack)
+    return _further_rounds(queries, first, index, scopes, steps, scorer, pack)
+
+
 def prepend_aggregate(hits: DataFrame, aggregates: DataFrame) -> DataFrame:
     """Put a computed answer (``aggregates(query_id, answer, source)``) before the hits: rank 0
     becomes 1, score 1, no chunk; every hit moves down by one."""
@@ -213,34 +256,29 @@ register_defaults()
 
 def adaptive_search(
     queries: DataFrame, index: Index, rewrites: DataFrame | None = None, scopes: DataFrame | None = None, pack: dict = ZH,
-    budget_words: dict = BUDGET_ZH, strategies: tuple[str, ...] = ("no_retrieval", "single_step", "multi_step"), **multi,
+    budget_words: dict = BUDGET_ZH, scorer=T.token_overlap, **multi,
 ) -> DataFrame:
     """Each query goes the way its class asks for; table answers come first. Adds ``strategy``.
 
-    Only the strategies named are planned; a query routed to another one takes the single step. An unknown
-    strategy is an error. Without ``rewrites`` a complex query is searched by its own texts.
+    Queries of one step and all phrasings of complex ones are rows of one table, told apart by labels, and are searched in one
+    pass; further rounds take the complex ones that still lack something. Without ``rewrites`` a complex query is searched by its own texts.
     """
-    if unknown := set(strategies) - {"no_retrieval", "single_step", "multi_step"}:
-        raise ValueError(f"unknown strategies: {sorted(unknown)}")
-    if rewrites is None:
-        rewrites = queries.select("query_id", F.array().cast("array<string>").alias("rewrites"))
+    steps = Steps(rewrites, **multi)
     scoped = None
     if "scope_id" in queries.columns:
         queries = queries.withColumn("__scoped", F.col("scope_id").isNotNull())
         scoped = "__scoped"
-    routed = routing.route(queries, pack, scoped=scoped)
-    planned = F.col("strategy").isin(*strategies)
-    routed = routed.withColumn("strategy", F.when(planned, F.col("strategy")).otherwise("single_step"))
-    parts = None
-    for name in strategies:
-        own = routed.filter(F.col("strategy") == name).drop("strategy")
-        if name != "single_step":
-            own = own.drop("retrieval_top_k")
-        kwargs = {"pack": pack, "scopes": scopes}
-        if name == "multi_step":
-            kwargs |= {"rewrites": rewrites, **multi}
-        hits = run_strategy(name, own, index, **kwargs).withColumn("strategy", F.lit(name))
-        parts = hits if parts is None else parts.unionByName(hits)
+    routed = cut_lineage(routing.route(queries, pack, scoped=scoped))
+    index = _with_postings(index)
+    simple, hard = routed.filter("strategy = 'single_step'"), routed.filter("strategy = 'multi_step'")
+    none = {c: F.lit(None).cast("long") for c in ("list_no", "k")}
+    one = simple.withColumns({"sub_id": F.concat_ws("#", F.lit("one"), F.col("query_id").cast("string")), "kind": F.lit("single"), **none})
+    phrased = _phrasings(hard, steps, pack).withColumn("retrieval_top_k", F.lit(None).cast("long"))
+    columns = ["sub_id", "query_id", "query", "vector", "retrieval_top_k", *LABELS[2:], *(["scope_id"] if scoped else [])]
+    first = _labelled_search(one.select(*columns).unionByName(phrased.select(*columns)), index, scopes, scorer, pack)
+    parts = first.filter("kind = 'single'").select(*HITS)
+    if not hard.isEmpty():
+        parts = parts.unionByName(_further_rounds(hard, first.filter("kind <> 'single'"), index, scopes, steps, scorer, pack))
     # a few rows per query, read below both for table answers and as hits: written once
     parts = cut_lineage(parts)
     asked = routed.filter(matches(F.col("query"), pack["aggregate"]))
@@ -249,7 +287,7 @@ def adaptive_search(
         "query_id", "answer", F.lit("deterministic_table_aggregation").alias("source")
     )
     strategy = routed.select("query_id", "strategy")
-    return prepend_aggregate(parts.drop("strategy"), answers).drop("chunk_index").join(strategy, "query_id")
+    return prepend_aggregate(parts, answers).drop("chunk_index").join(strategy, "query_id")
 
 
 def compare_strategies(queries: DataFrame, index: Index, answers: DataFrame, contexts: int = 5, **kwargs) -> DataFrame:
@@ -257,6 +295,7 @@ def compare_strategies(queries: DataFrame, index: Index, answers: DataFrame, con
 
     ``answers(query_id, path, answer)`` are the generated answers of each path.
     """
+    index = _with_postings(index)
     standard = single_step(queries, index, kwargs.get("scopes"), pack=kwargs.get("pack", ZH)).withColumn("path", F.lit("standard"))
     adaptive = adaptive_search(queries, index, **kwargs).drop("strategy").withColumn("path", F.lit("adaptive"))
     found = standard.select(*HITS, "path").unionByName(adaptive.select(*HITS, "path")).groupBy("query_id", "path").agg(
