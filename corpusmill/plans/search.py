@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions.rule_packs import ZH, matches
 from corpusmill.functions.session import cut_lineage
+from corpusmill.functions.skew import fits
 from corpusmill.functions.vectors import nearest_scoped
 from corpusmill.operators import dense, fusion, lexical, routing
 from corpusmill.operators.postings import Postings, build_block_postings
@@ -24,6 +25,8 @@ from corpusmill.operators.tables import BUDGET_ZH, aggregate_markdown
 
 # Depth of each list, candidates to rescore, results kept.
 BM25_K, DENSE_K, POOL, TOP_K = 10, 40, 20, 6
+#: Hits that are sent to the chunks at most.
+SENT_HITS = 100_000
 HITS = ("query_id", "chunk_id", "rank", "score", "match_type", "text", "source")
 
 
@@ -41,6 +44,12 @@ def no_retrieval(queries: DataFrame, index: Index) -> DataFrame:
     return queries.sparkSession.createDataFrame([], shape)
 
 
+def _with_content(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Texts and sources of hits. The few hits of a search are sent to the chunks, whose texts then stay where they are."""
+    hits = cut_lineage(hits)
+    return fusion.with_content(F.broadcast(hits) if fits(hits, SENT_HITS) else hits, chunks, ["text", "source"])
+
+
 def single_step(
     queries: DataFrame, index: Index, scopes: DataFrame | None = None, scorer=T.token_overlap, pack: dict = ZH,
     top_k: int = TOP_K, threshold: float = 0.0,
@@ -55,7 +64,7 @@ def single_step(
         if "element_type" in chunks.columns:
             held = members.join(chunks.select("chunk_id", "element_type", "text"), "chunk_id")
             found = fusion.structure_search(routing.query_intent(scoped, pack), held)
-            # few rows, used three times below: written once
+            # few rows, used several times below: written once
             structural = cut_lineage(found.withColumn("match_type", F.lit("keyword")))
             rest = queries.join(structural.select("query_id").distinct(), "query_id", "left_anti")
         inside = rest.filter("scope_id is not null")
@@ -70,13 +79,13 @@ def single_step(
         words = lexical.bm25_topk(rest, chunks, BM25_K, postings=postings)
         near = dense.dense_topk(rest.filter("vector is not null"), vectors, DENSE_K)
     fused = fusion.rrf_fuse(words, near).filter(F.col("rank") <= POOL)
-    content = fusion.with_content(fused, chunks, ["text", "source"])
+    content = _with_content(fused, chunks)
     ranked = fusion.rerank(content.join(rest.select("query_id", "query"), "query_id"), scorer, POOL, top_k, threshold)
     hits = ranked.withColumn("match_type", F.lit("hybrid")).select(*HITS)
     if has_limit:
         hits = fusion.limit_hits(hits, queries.select("query_id", F.col("retrieval_top_k").alias("k")))
     if structural is not None:
-        hits = hits.unionByName(fusion.with_content(structural, chunks, ["text", "source"]).select(*HITS))
+        hits = hits.unionByName(_with_content(structural, chunks).select(*HITS))
     return hits
 
 
@@ -139,7 +148,7 @@ def _further_rounds(
     )
     lists = first.filter("kind != 'sub_query'").withColumnRenamed("list_no", "list_id")
     fused = fusion.rrf_fuse_lists(lists)
-    fused = fusion.with_content(fused, index.chunks, ["text", "source"]).join(queries.select("query_id", "query"), "query_id")
+    fused = _with_content(fused, index.chunks).join(queries.select("query_id", "query"), "query_id")
     scores = fused.select("query_id", "chunk_id", scorer(F.col("query"), F.col("text")).cast("double").alias("new_score"))
     reranked = fusion.rerank_keep_all(fused, scores).withColumns({"round": F.lit(1), "match_type": F.lit("hybrid")})
     columns = [*HITS, "round"]
