@@ -26,7 +26,7 @@ from corpusmill.sources.index import exists, index_generation, index_read
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 #: Documents and tokens of a shard at most, but for single longer documents; numbers of a block; blocks that are scored first.
-SHARD_DOCS, SHARD_TOKENS, BLOCK_DOCS, FIRST_BLOCKS = 16_384, 4_000_000, 128, 4
+SHARD_DOCS, SHARD_TOKENS, BLOCK_DOCS, FIRST_BLOCKS = 16_384, 1_000_000, 64, 4
 
 
 def ints(blob: bytes) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +20,25 @@ def file_suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-def read_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(file_path, source, file_type, loader, modified, size, content) of the supported files."""
-    files = (
+def _listed(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
+    return (
         spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
         .option("pathGlobFilter", "*.{" + ",".join(s[1:] for s in LOADERS) + "}").load(path)
     )
+
+
+def empty_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(file_path) of the supported files of zero bytes, which have no rows; they come from the listing that Spark makes for a read."""
+    files = _listed(spark, path, recursive)
+    # The listing writes local names with three slashes, rows with one.
+    named = spark.createDataFrame([(re.sub(r"^file:/+", "file:/", name),) for name in files.inputFiles()], "name string")
+    without_rows = named.join(files.select(F.col("_metadata.file_path").alias("name")), "name", "left_anti")
+    return without_rows.select(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))).alias("file_path"))
+
+
+def read_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(file_path, source, file_type, loader, modified, size, content) of the supported files."""
+    files = _listed(spark, path, recursive)
     loader = F.lit(None).cast("string")
     for suffix, name in LOADERS.items():
         loader = F.when(F.col("file_type") == suffix, name).otherwise(loader)
@@ -67,14 +82,19 @@ def read_corpus(spark: SparkSession, path: str, recursive: bool = False) -> Data
 
 
 def load_with_errors(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Every file with a status; a file that gives no text never stops the others."""
+    """Every supported file with a status, those of zero bytes too; a file that gives no text never stops the others."""
     files = decode_text(read_files(spark, path, recursive))
     binary = ~F.col("loader").isin(*TEXT_LOADERS)
     error = F.when(binary, "binary format, decoded outside").when(~F.coalesce("text", F.lit("")).rlike(r"(?U)\S"), "no text")
-    return files.select(
+    empty = empty_files(spark, path, recursive).select(
+        "file_path", F.element_at(F.split("file_path", "/"), -1).alias("source"), file_suffix(F.col("file_path")).alias("file_type"),
+        F.lit(None).cast("string").alias("text"), F.lit("error").alias("status"), F.lit("no text").alias("error"),
+    )
+    loaded = files.select(
         "file_path", "source", "file_type", F.when(error.isNull(), F.col("text")).alias("text"),
         F.when(error.isNull(), "ok").otherwise("error").alias("status"), error.alias("error"),
     )
+    return loaded.unionByName(empty)
 
 
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from catalog import stores
+from corpusmill.sources import files as fs
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -17,10 +18,20 @@ def test_text_files_are_bounded_and_whole(spark):
 
 
 def test_error_branch_runs(spark):
-    """Spark lists no file of zero bytes, so empty.txt has no row."""
+    """Every supported file has one row, empty.txt too."""
     loaded = __spark_entry__.queries()["load_with_errors"](spark, TABLES).filter("file_type <> '.txt' or status = 'error' or chars < 20").collect()
     found = sorted((r.file_type, r.status, r.error or "") for r in loaded)
     assert found == [
         (".csv", "ok", ""), (".docx", "error", "binary format, decoded outside"), (".md", "ok", ""), (".pdf", "error", "binary format, decoded outside"),
-        (".txt", "error", "no text"), (".txt", "ok", ""),
+        (".txt", "error", "no text"), (".txt", "error", "no text"), (".txt", "ok", ""),
     ]
+
+
+def test_files_of_zero_bytes_have_a_status(spark, tmp_path):
+    for name, content in {"a b+c%20é.txt": b"", "e.md": b"", "full.txt": b"x", "picture.png": b"", "sub/deep.csv": b"", "sub/t.txt": b"y"}.items():
+        at = tmp_path / name
+        at.parent.mkdir(exist_ok=True)
+        at.write_bytes(content)
+    found = sorted((r.source, r.status) for r in fs.load_with_errors(spark, str(tmp_path), recursive=True).collect())
+    assert found == [("a b+c%20é.txt", "error"), ("deep.csv", "error"), ("e.md", "error"), ("full.txt", "ok"), ("t.txt", "ok")]
+    assert len([r for r in fs.load_with_errors(spark, str(tmp_path)).collect()]) == 3
