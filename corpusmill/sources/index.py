@@ -1,8 +1,9 @@
 """The chunk index: an append-only folder of Parquet files.
 
-``<path>/chunks`` holds the rows, partitioned by session; ``<path>/deletes`` the ids taken out;
-``<path>/generations`` one row per write. A row counts when no later delete names it, so a
-delete never rewrites data and a reader always sees whole writes. One writer at a time.
+``<path>/chunks`` holds one folder for each write, partitioned by session; ``<path>/deletes`` the ids taken out;
+``<path>/generations`` one row per write, added last. A row counts when its write is recorded and no later delete names
+it, so a delete never rewrites data, a reader always sees whole writes, and a write that failed halfway is
+written over by the next one. One writer at a time.
 """
 
 from __future__ import annotations
@@ -39,20 +40,30 @@ def _record(spark: SparkSession, path: str, generation: int, operation: str) ->
     row.write.mode("append").parquet(f"{path}/generations")
 
 
-def index_append(chunks: DataFrame, path: str) -> int:
-    """Add chunks (``chunk_id``, ``session_id``, ``source``, ``text``, ...); returns the generation."""
+def index_append(chunks: DataFrame, path: str, batch: str | None = None) -> int:
+    """Add chunks (``chunk_id``, ``session_id``, ``source``, ``text``, ...); returns the generation.
+
+    A named ``batch`` is added once: if it is recorded, nothing is written and its generation comes back.
+    """
     spark = chunks.sparkSession
+    operation = "append" if batch is None else f"append {batch}"
+    if batch is not None:
+        done = _log(spark, path).filter(F.col("operation") == operation).agg(F.max("generation").alias("g")).first()["g"]
+        if done is not None:
+            return done
     generation = index_generation(spark, path) + 1
-    chunks.withColumn("generation", F.lit(generation).cast("long")).write.mode("append").partitionBy("session_id").parquet(
-        f"{path}/chunks"
+    chunks.withColumn("generation", F.lit(generation).cast("long")).write.mode("overwrite").partitionBy("session_id").parquet(
+        f"{path}/chunks/write={generation}"
     )
-    _record(spark, path, generation, "append")
+    _record(spark, path, generation, operation)
     return generation
 
 
 def index_read(spark: SparkSession, path: str) -> DataFrame:
     """Live chunks. Session filters prune folders, other filters reach the files."""
     rows = spark.read.option("mergeSchema", "true").parquet(f"{path}/chunks")
+    # What a failed write left has the number of the next one.
+    rows = rows.filter(F.col("write") <= index_generation(spark, path)).drop("write")
     cleared = _log(spark, path).filter("operation = 'clear'").agg(F.max("generation").alias("g")).first()["g"]
     if cleared is not None:
         rows = rows.filter(F.col("generation") > cleared)

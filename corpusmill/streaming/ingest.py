@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.skew import fits
 from corpusmill.operators.chunking import chunk_documents
 from corpusmill.plans.ingest import with_ids
 from corpusmill.sources.index import exists, index_append, index_read
 
+#: Ids of a batch that are sent to the index at most.
+SENT_IDS = 200_000
+
 
 def stream_ingest(documents: DataFrame, path: str, checkpoint: str, strategy: str = "auto", available_now: bool = True):
     """Start indexing a stream of ``(doc_id, text, session_id, source, file_type)``.
 
-    A document already in the index is skipped, so re-delivered batches and files change nothing.
+    A document already in the index is skipped, so re-delivered files change nothing. A batch that is run again after a failure, before
+    or after its write was recorded, neither doubles nor loses chunks. The ids of a batch are sent to the index where they are
+    few, so that only the id column is read and nothing of the index is shuffled.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(["doc_id"])
         if exists(spark, f"{path}/chunks"):
-            known = index_read(spark, path).select(F.col("document_id").alias("__known")).distinct()
-            fresh = fresh.join(known, F.col("doc_id").cast("string") == F.col("__known"), "left_anti")
-        index_append(with_ids(chunk_documents(fresh, strategy)), path)
+            ids = fresh.select(F.col("doc_id").cast("string").alias("document_id"))
+            known = index_read(spark, path).select("document_id")
+            known = known.join(F.broadcast(ids) if fits(ids, SENT_IDS) else ids, "document_id", "left_semi").distinct()
+            fresh = fresh.join(known, F.col("doc_id").cast("string") == F.col("document_id"), "left_anti")
+        index_append(with_ids(chunk_documents(fresh, strategy)), path, f"{checkpoint}#{batch_id}")
 
     writer = documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

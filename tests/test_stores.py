@@ -1,8 +1,13 @@
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from catalog import stores
 from corpusmill.sources import files as fs
+from corpusmill.sources import index as ix
+from corpusmill.streaming.ingest import stream_ingest
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -35,3 +40,43 @@ def test_files_of_zero_bytes_have_a_status(spark, tmp_path):
     found = sorted((r.source, r.status) for r in fs.load_with_errors(spark, str(tmp_path), recursive=True).collect())
     assert found == [("a b+c%20é.txt", "error"), ("deep.csv", "error"), ("e.md", "error"), ("full.txt", "ok"), ("t.txt", "ok")]
     assert len([r for r in fs.load_with_errors(spark, str(tmp_path)).collect()]) == 3
+
+
+def documents_stream(spark, folder):
+    schema = "doc_id long, text string, session_id string, source string, file_type string"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_a_batch_that_failed_is_neither_doubled_nor_lost(spark, tmp_path, monkeypatch):
+    folder, path, checkpoint = (str(tmp_path / x) for x in ("in", "index", "checkpoint"))
+    schema = "doc_id long, text string, session_id string, source string, file_type string"
+    for part in range(3):
+        rows = [(10 * part + i, f"Text {part} {i}.", f"s{i % 2}", "a.txt", ".txt") for i in range(4)]
+        spark.createDataFrame([*rows, (1, "again", "s0", "a.txt", ".txt")], schema).coalesce(1).write.mode("append").parquet(folder)
+    record, calls = ix._record, []
+
+    def failing(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise RuntimeError("lost between the data and the record")
+        record(*args)
+
+    monkeypatch.setattr(ix, "_record", failing)
+    with pytest.raises(Exception, match="lost between"):
+        stream_ingest(documents_stream(spark, folder), path, checkpoint, "recursive").awaitTermination()
+    assert ix.index_read(spark, path).select("document_id").distinct().count() < 12
+    monkeypatch.setattr(ix, "_record", record)
+
+    def whole():
+        found = Counter(r.document_id for r in ix.index_read(spark, path).collect())
+        assert len(found) == 12 and set(found.values()) == {1}
+
+    stream_ingest(documents_stream(spark, folder), path, checkpoint, "recursive").awaitTermination()
+    whole()
+    # lost after the record, before the stream noted the batch as done
+    generation, last = ix.index_generation(spark, path), tmp_path / "checkpoint" / "commits"
+    for name in ("2", ".2.crc"):
+        (last / name).rename(tmp_path / f"gone{name}")
+    stream_ingest(documents_stream(spark, folder), path, checkpoint, "recursive").awaitTermination()
+    whole()
+    assert ix.index_generation(spark, path) == generation
