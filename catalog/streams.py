@@ -15,9 +15,9 @@ from corpusmill.streaming.ordered import rolling_failure_rate
 
 
 def as_stream(spark, sf_dir, name):
-    """The table's file as a stream of one batch."""
+    """The table as a stream of one batch; the pattern finds one file as well as a folder of files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def timed(events):
