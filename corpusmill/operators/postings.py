@@ -74,15 +74,22 @@ def _blobs(starts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * 4).astype(np.int32)), data])
 
 
+def _token_counts(joined: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Tokens of texts whose tokens are joined by blanks."""
+    filled = pc.fill_null(joined, "")
+    return np.asarray(pc.count_substring(filled, " ")).astype(np.int64) + (np.asarray(pc.binary_length(filled)) > 0)
+
+
 def _shard(number: int, batches: list[pa.RecordBatch], schema: pa.Schema, block_docs: int) -> pa.RecordBatch:
     """The rows of a shard: first its documents, then its terms in order; blocks of ``block_docs`` documents."""
     table = pa.Table.from_batches(batches)
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(table.column(1)), 0)).astype(np.int64)
+    lengths = _token_counts(table.column(1))
     # Documents of like length share a block, which brings its bound close to their scores.
     order = np.argsort(lengths, kind="stable")
     table, lengths = table.take(pa.array(order)).combine_chunks(), lengths[order]
     ids, tokens = table.column(0).combine_chunks(), table.column(1).combine_chunks()
-    found = pc.dictionary_encode(pc.list_flatten(tokens))
+    flat = pc.list_flatten(pc.split_pattern(pc.fill_null(tokens, ""), " "))
+    found = pc.dictionary_encode(flat.filter(pc.not_equal(flat, "")))
     if isinstance(found, pa.ChunkedArray):
         found = found.combine_chunks()
     order = np.asarray(pc.sort_indices(found.dictionary)).astype(np.int64)
@@ -120,7 +127,7 @@ def build_block_postings(
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, held, docs, tokens, schema = TaskContext.get().partitionId(), 0, [], 0, 0, None
         for batch in batches:
-            size = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0)).astype(np.int64)
+            size = _token_counts(batch.column(1))
             if schema is None:
                 fields = [("shard", pa.int64()), ("term", pa.string()), ("block_docs", pa.int32()), ("df", pa.int64()), ("cf", pa.int64())]
                 fields += [*[(c, pa.binary()) for c in _LISTS], ("ids", pa.list_(batch.column(0).type)), ("lengths", pa.binary())]
@@ -139,7 +146,8 @@ def build_block_postings(
         if held:
             yield _shard(part << 32 | count, held, schema, block_docs)
 
-    named = chunks.select(id, T.tokenize(F.col(text)).alias("tokens"))
+    # Tokens hold no blanks; one string for each text takes less room on the way than a list.
+    named = chunks.select(id, F.array_join(T.tokenize(F.col(text)), " ").alias("tokens"))
     kind = chunks.schema[id].dataType.simpleString()
     lists = ", ".join(f"{c} binary" for c in _LISTS)
     named.mapInArrow(shards, f"shard long, term string, block_docs int, df long, cf long, {lists}, ids array<{kind}>, lengths binary").write.mode("overwrite").parquet(f"{path}/rows")
