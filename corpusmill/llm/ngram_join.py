@@ -31,6 +31,10 @@ RANKED_NGRAMS = 100_000
 COUNTED_AT_ONCE = 4_000_000
 #: Prefix n-grams gathered before they are sent to their column blocks.
 POSTS_AT_ONCE = 2_000_000
+#: Pairs of a column block whose counts are gathered before they are passed on.
+PAIRS_AT_ONCE = 4_000_000
+#: Bits of the candidates' filter for each of them, and bits of the whole filter at most (64 MB).
+FILTER_BITS_EACH, FILTER_BITS = 32, 1 << 29
 #: Rows from which on an n-gram is a node of the candidate graph instead of giving pairs.
 HOT_ROWS = 200
 #: Overlap count of an edge that stays whatever its bound is.
@@ -193,6 +197,15 @@ def candidate_links(spark: SparkSession, matrix: DataFrame, percent: int) -> Dat
         if held:
             yield flush()
 
+    def counted(post: np.ndarray, i: list[np.ndarray], j: list[np.ndarray]) -> pa.RecordBatch:
+        x, y = post[np.concatenate(i)], post[np.concatenate(j)]
+        both, at, count = np.unique(np.stack((x["row"], y["row"]), axis=1), axis=0, return_index=True, return_counts=True)
+        x, y = x[at], y[at]
+        left_x, left_y = x["n"].astype(np.int64) - x["q"], y["n"].astype(np.int64) - y["q"]
+        left = np.where(x["theta"] < y["theta"], left_x, np.where(x["theta"] > y["theta"], left_y, np.maximum(left_x, left_y)))
+        least = -(-percent * (x["n"].astype(np.int64) + y["n"]) // (100 + percent))
+        return rows(pair, (both[:, 0], both[:, 1], count, least - left))
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[bytes]] = {}
         for batch in batches:
@@ -204,7 +217,7 @@ def candidate_links(spark: SparkSession, matrix: DataFrame, percent: int) -> Dat
             run = np.flatnonzero(np.diff(post["ngram"][order], prepend=np.uint32(0)) != 0)
             first = np.union1d([0], run)
             length = np.diff(np.append(first, len(post)))
-            i, j = [], []
+            i, j, gathered = [], [], 0
             for m in np.unique(length[length > 1]):
                 at = order[first[length == m][:, None] + np.arange(m)[None, :]]
                 if m >= HOT_ROWS:
@@ -220,17 +233,12 @@ def candidate_links(spark: SparkSession, matrix: DataFrame, percent: int) -> Dat
                     fit = (100 * np.minimum(n, o) >= percent * np.maximum(n, o)) & (post["row"][x] != post["row"][y])
                     i.append(x[fit])
                     j.append(y[fit])
-            if not i:
-                continue
-            x, y = post[np.concatenate(i)], post[np.concatenate(j)]
-            both, at, count = np.unique(np.stack((x["row"], y["row"]), axis=1), axis=0, return_index=True, return_counts=True)
-            if not len(both):
-                continue
-            x, y = x[at], y[at]
-            left_x, left_y = x["n"].astype(np.int64) - x["q"], y["n"].astype(np.int64) - y["q"]
-            left = np.where(x["theta"] < y["theta"], left_x, np.where(x["theta"] > y["theta"], left_y, np.maximum(left_x, left_y)))
-            least = -(-percent * (x["n"].astype(np.int64) + y["n"]) // (100 + percent))
-            yield rows(pair, (both[:, 0], both[:, 1], count, least - left))
+                    gathered += len(i[-1])
+                    if gathered > PAIRS_AT_ONCE:
+                        yield counted(post, i, j)
+                        i, j, gathered = [], [], 0
+            if i:
+                yield counted(post, i, j)
 
     def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,11 +304,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, block_row
         links = None
     else:
         links = _multiply(docs, member, k, percent, int(max(total[0] / block_rows, total[1] / block_entries)) + 1)
-    out = matrix.select("doc_id", F.col("n").alias("n_shingles"), "row").join(
-        size.select("row", F.col("doc_id").alias("alone"), "copies"), "row", "left"
-    )
     if links is None:
-        return out.select("doc_id", "n_shingles", F.coalesce("alone", "doc_id").alias("component_id"), F.coalesce(F.col("copies") - 1, F.lit(0)).alias("n_links"))
+        found = size.select("row", F.lit(None).cast("long").alias("links"), F.lit(None).cast("long").alias("component_id")).limit(0)
+        return _labelled(matrix, size, found)
     final = links.filter("root is not null").select("row", "root").distinct()
     if total[2] > 1:
         final = components(final.select(F.col("row").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "row")
@@ -309,13 +315,32 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, block_row
     named = final.join(size.select("row", "doc_id"), "row")
     named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("row", "component_id")
     degree = links.groupBy("row").agg(F.sum("links").alias("links"))
-    found = degree.join(named, "row", "left")
-    return out.join(found, "row", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "alone", "doc_id").alias("component_id"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
-    )
+    return _labelled(matrix, size, degree.join(named, "row", "left"))
+
+
+def _labelled(matrix: DataFrame, size: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per document. Only sets that have copies or links are joined to their documents, in one join of two exchanges
+    that adaptive execution can split where a set has very many copies; documents without shingles meet nothing."""
+    component = F.coalesce("component_id", "doc_id").alias("component_id")
+    degree = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    labels = cut_lineage(size.join(found, "row", "left").filter("copies > 1 or links > 0 or component_id is not null").select("row", component, degree))
+    document = ["doc_id", F.col("n").alias("n_shingles"), component, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")]
+    alone = ["doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")]
+    return matrix.filter("row is not null").join(labels, "row", "left").select(*document).union(matrix.filter("row is null").select(*alone))
+
+
+def _may_hold(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """The documents whose id is among ``ids``, and few others, without a shuffle of the documents.
+
+    The ids set bits of a filter of ``FILTER_BITS_EACH`` bits for each of the ``count`` ids, ``FILTER_BITS`` (64 MB) at most; beyond that
+    it lets more documents through. Its blocks of 4 KB are sent to the documents.
+    """
+    bits = min(FILTER_BITS, FILTER_BITS_EACH << max(count - 1, 1).bit_length())
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    place = [F.bitmap_bucket_number(bit).alias("block"), F.bitmap_bit_position(bit).cast("int").alias("bit")]
+    blocks = ids.select(*place).repartition("block").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    held = F.expr("shiftright(cast(conv(hex(substring(bits, bit div 8 + 1, 1)), 16, 10) as int), bit % 8) & 1 = 1")
+    return docs.select("*", *place).join(F.broadcast(blocks), "block").filter(held).select(*docs.columns)
 
 
 def _multiply(docs: DataFrame, member: DataFrame, k: int, percent: int, groups: int) -> DataFrame:
@@ -352,7 +377,8 @@ def _multiply(docs: DataFrame, member: DataFrame, k: int, percent: int, groups:
             pieces.append(pd.DataFrame({"row": row, "root": pd.array([to.get(r) for r in row.tolist()], dtype="Int64"), "links": counted @ copies}))
         return pa.Table.from_pandas(pd.concat(pieces), schema=out, preserve_index=False)
 
-    picked = docs.filter("text is not null").join(member.select(F.col("doc_id").alias("d"), *held), F.col("doc_id").eqNullSafe(F.col("d")))
+    wanted = member.select("doc_id")
+    picked = _may_hold(docs.filter("text is not null"), wanted, wanted.count()).join(member.select(F.col("doc_id").alias("d"), *held), F.col("doc_id").eqNullSafe(F.col("d")))
     picked = picked.select(*held, F.col("text").cast("binary").alias("text")).mapInArrow(sets, ", ".join(f"{c} long" for c in held) + ", set binary")
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda b: (b != F.col("own")) | (F.col("parts") == 1))
     tiles = picked.withColumn("other", F.explode(others)).withColumns({"ti": F.least("own", "other"), "tj": F.greatest("own", "other")}).drop("other")

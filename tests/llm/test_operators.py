@@ -112,6 +112,8 @@ def test_ngram_join_equals_all_pairs(spark):
 def test_ngram_join_with_frequent_ngrams(spark, monkeypatch, ranked):
     """N-grams of more rows than HOT_ROWS, known as such from the counts or not."""
     monkeypatch.setattr(ngram_join, "HOT_ROWS", 4)
+    monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 3)
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 64)
     if not ranked:
         monkeypatch.setattr(ngram_join, "frequent_ngrams", lambda docs, k: (np.empty(0, np.uint64), 0))
     rows = corpus(5)
