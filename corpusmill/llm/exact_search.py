@@ -1,37 +1,46 @@
 """Exact top-k inner products over M-trees.
 
 With one more component, sqrt(M - |x|^2) for vectors and 0 for queries (M the largest |x|^2), a larger inner product is a smaller
-Euclidean distance. Vectors are dealt by nearest root pivot into blocks of bounded size; a block's task builds paged metric nodes that
-hold covering radii and distances to the parent pivot, and searches them best first. Bounds from the triangle inequality over stored
+Euclidean distance. Vectors are dealt by nearest root pivot into blocks of bounded size; a block's tree, built once and kept as a blob, has
+paged metric nodes that hold covering radii and distances to the parent pivot. Queries search it best first and in company: in each round
+every query names its most promising node, and those that name the same one share one matrix product. Bounds from the triangle inequality over stored
 distances leave out most computations. A query searches its own block first and is then sent to those blocks only whose covering
 radius lets them hold a better or equal score. Scores are integers; bounds have slack for rounding, and ties are kept.
 """
 
 from __future__ import annotations
 
-import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.session import cut_lineage
+from corpusmill.functions.skew import each
 from corpusmill.llm.common import rows
 
 #: Root pivots, a sample of the vectors; any choice gives the same results.
 ROOT_PIVOTS = 64
 BLOCK_VECTORS = 20_000
-PAGE_ENTRIES = 48
+PAGE_ENTRIES = 256
+#: Queries that search a block in one task, and those that go through its tree together.
+TASK_QUERIES = 16_384
+TOGETHER = 512
 SLACK = 1e-6
+#: Scores below this one are exact as doubles, in any order of summing.
+EXACT = float(1 << 52)
+#: Stands for no score, no id.
+NONE, NO_ID = -(1 << 62), (1 << 63) - 1
 
 _HIT = "query_id long, vec_id long, score long"
+_HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 class Node:
-    __slots__ = ("points", "ids", "values", "pivots", "radii", "to_parent", "children")
+    __slots__ = ("ids", "values", "pivots", "radii", "to_parent", "children")
 
 
 def build(points: np.ndarray, values: np.ndarray, ids: np.ndarray, pivot: np.ndarray) -> Node:
@@ -54,7 +63,8 @@ def build(points: np.ndarray, values: np.ndarray, ids: np.ndarray, pivot: np.nda
         spread = len(np.unique(owner)) > 1
     if not spread:
         # A page, or copies of one point, which share all bounds.
-        node.points, node.values, node.ids, node.to_parent, node.children = points, values, ids, away, None
+        order = np.argsort(away, kind="stable")
+        node.values, node.ids, node.to_parent, node.children = values[order], ids[order], away[order], None
         return node
     node.children, node.pivots, node.radii = [], [], []
     for k in np.unique(owner):
@@ -67,42 +77,75 @@ def build(points: np.ndarray, values: np.ndarray, ids: np.ndarray, pivot: np.nda
     return node
 
 
-def search(root: Node, pivot: np.ndarray, query: np.ndarray, value: np.ndarray, own: int, k: int, lift: float, floor_: float | None = None) -> list[tuple[int, int]]:
-    """The k best (score, vec_id) of a tree; of equal scores the smaller ids. ``floor_``: a score that k
-    candidates elsewhere already reach."""
-    square = float(query @ query) + lift
-
-    def limit() -> float:
-        least = best[0][0] if len(best) == k else -np.inf
-        least = max(least, floor_) if floor_ is not None else least
-        return np.inf if least == -np.inf else np.sqrt(max(square - 2 * least, 0)) * (1 + SLACK) + SLACK
-
-    best: list[tuple[int, int]] = []
-    todo = [(0.0, 0, float(np.sqrt(((query - pivot) ** 2).sum())), root)]
-    count = 1
-    while todo:
-        bound, _, to_pivot, node = heapq.heappop(todo)
-        reach = limit()
-        if bound > reach:
-            break
-        if node.children is None:
-            at = np.flatnonzero((np.abs(node.to_parent - to_pivot) <= reach) & (node.ids != own))
-            if len(at):
-                score, ids = node.values[at] @ value, node.ids[at]
-                for i in np.lexsort((ids, -score))[:k]:
-                    entry = (int(score[i]), -int(ids[i]))
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-            continue
-        at = np.flatnonzero(np.abs(node.to_parent - to_pivot) - node.radii <= reach)
-        for i, d in zip(at.tolist(), np.sqrt(((node.pivots[at] - query) ** 2).sum(axis=1)).tolist(), strict=True):
-            lower = max(d - node.radii[i], 0.0)
-            if lower <= reach:
-                heapq.heappush(todo, (lower, count, d, node.children[i]))
-                count += 1
-    return [(s, -i) for s, i in best]
+class Best:
+    """The k best (score, id) of each of a run of queries; of equal scores the smaller ids."""
+
+    def __init__(self, count: int, k: int, floors: np.ndarray):
+        self.k, self.floors = k, floors
+        self.scores, self.ids = np.full((count, k), NONE, np.int64), np.full((count, k), NO_ID, np.int64)
+
+    def least(self) -> np.ndarray:
+        return np.maximum(self.scores[:, -1], self.floors)
+
+    def take(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take in a row of scores for each of the queries ``q``."""
+        bar, k = self.least()[q], self.k
+        if len(ids) > k:
+            bar = np.maximum(bar, np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k])
+        a, b = np.nonzero((scores >= bar[:, None]) & (scores > NONE))
+        q_all = np.concatenate((np.repeat(q, k), q[a]))
+        s, i = np.concatenate((self.scores[q].ravel(), scores[a, b])), np.concatenate((self.ids[q].ravel(), ids[b]))
+        order = np.lexsort((i, -s, q_all))
+        first = np.flatnonzero(np.diff(q_all[order], prepend=-1))
+        at = order[first[:, None] + np.arange(k)]
+        self.scores[q_all[at[:, 0]]], self.ids[q_all[at[:, 0]]] = s[at], i[at]
+
+
+def search(root: Node, pivot: np.ndarray, points: np.ndarray, values: np.ndarray, own: np.ndarray, k: int, lift: float, floors: np.ndarray) -> Best:
+    """The k best of a tree for each query. ``floors``: scores that k candidates elsewhere already reach, or NONE.
+
+    ``own`` are ids that don't count for a query.
+    """
+    best, nodes = Best(len(points), k, floors), [root]
+    square = (points**2).sum(axis=1) + lift
+    blur = SLACK + np.sqrt(1e-13 * (square + lift))
+    number = np.float64 if lift < EXACT else np.int64
+    asked = values.astype(number)
+    who, bound, node = np.arange(len(points)), np.zeros(len(points)), np.zeros(len(points), np.int64)
+    away = np.sqrt(((points - pivot) ** 2).sum(axis=1))
+    while True:
+        least = best.least()
+        reach = np.where(least == NONE, np.inf, np.sqrt(np.maximum(square - 2.0 * least, 0)) * (1 + SLACK) + blur)
+        open_ = bound <= reach[who]
+        who, bound, node, away = who[open_], bound[open_], node[open_], away[open_]
+        if not len(who):
+            return best
+        order = np.lexsort((bound, who))
+        chosen = order[np.flatnonzero(np.diff(who[order], prepend=-1))]
+        more = []
+        for n in np.unique(node[chosen]):
+            at = chosen[node[chosen] == n]
+            q, d, page = who[at], away[at], nodes[n]
+            near = reach[q]
+            if page.children is None:
+                low, high = np.searchsorted(page.to_parent, (d - near).min()), np.searchsorted(page.to_parent, (d + near).max(), "right")
+                for a in range(low, high, PAGE_ENTRIES):
+                    b = min(a + PAGE_ENTRIES, high)
+                    scores = (asked[q] @ page.values[a:b].astype(number).T).astype(np.int64)
+                    scores[own[q][:, None] == page.ids[None, a:b]] = NONE
+                    best.take(q, scores, page.ids[a:b])
+                continue
+            stored = np.abs(page.to_parent[None, :] - d[:, None]) - page.radii[None, :]
+            child = np.flatnonzero((stored <= near[:, None]).any(axis=0))
+            centre = page.pivots[child]
+            to = np.sqrt(np.maximum((points[q] ** 2).sum(axis=1)[:, None] - 2 * points[q] @ centre.T + (centre**2).sum(axis=1)[None, :], 0))
+            lower = np.maximum(np.maximum(to - page.radii[child], stored[:, child]), bound[at][:, None])
+            i, j = np.nonzero(lower <= near[:, None])
+            more.append((q[i], lower[i, j], len(nodes) + j, to[i, j]))
+            nodes.extend(page.children[c] for c in child)
+        left = np.ones(len(who), bool)
+        left[chosen] = False
+        who, bound, node, away = (np.concatenate(x) for x in zip((who[left], bound[left], node[left], away[left]), *more))
 
 
 def _lifted(x: np.ndarray, lift: float) -> np.ndarray:
@@ -159,22 +202,40 @@ def _one_length(vectors: DataFrame, k: int, every: int) -> DataFrame:
     blocks = spread.groupBy("region", "block").agg(F.max("away").alias("radius")).collect()  # one row for each BLOCK_VECTORS
     place = np.array([(b.region, b.block) for b in blocks])
     radius = np.array([b.radius for b in blocks])
-    queries = spread.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "x", "region", "block", F.lit(None).cast("long").alias("least"))
+    asked = spread.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = cut_lineage(asked.select(F.col("vec_id").alias("query_id"), "x", "region", "block", F.lit(None).cast("long").alias("least")))
+    chunks = -(-queries.count() // TASK_QUERIES)
+    if not chunks:
+        return queries.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.col("least").alias("score"))
+    made = pa.schema([("region", pa.int32()), ("block", pa.int32()), ("tree", pa.binary())])
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return np.asarray(column.combine_chunks().flatten(), dtype=np.int64).reshape(len(column), -1)
+
+    def plant(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
+        values = matrix(held.column("x"))
+        small = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= values.min() and values.max() <= np.iinfo(t).max)
+        tree = build(_lifted(values.astype(np.float64), lift), values.astype(small), held.column("vec_id").to_numpy(), pivots[key[0].as_py()])
+        return pa.table([[key[0].as_py()], [key[1].as_py()], [pickle.dumps(tree)]], schema=made)
+
+    trees = cut_lineage(spread.select("region", "block", "vec_id", "x").groupBy("region", "block").applyInArrow(plant, "region int, block int, tree binary"))
+    trees = trees.withColumn("chunk", each(chunks))
 
-    def look(key, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        hits: list[tuple[int, int, int]] = []
+    def look(key: tuple[pa.Scalar, ...], held: pa.Table, asked: pa.Table) -> pa.Table:
+        hits = [_HITS.empty_table()]
         if len(held) and len(asked):
-            values = np.array(held["x"].tolist(), dtype=np.int64)
-            pivot = pivots[int(key[0])]
-            tree = build(_lifted(values.astype(np.float64), lift), values, held["vec_id"].to_numpy(), pivot)
-            for q, x, least in zip(asked["query_id"], asked["x"], asked["least"], strict=True):
-                x = np.asarray(x, dtype=np.int64)
-                point = _query_points(x[None, :].astype(np.float64))[0]
-                hits += [(int(q), i, s) for s, i in search(tree, pivot, point, x, int(q), k, lift, None if pd.isna(least) else float(least))]
-        return pd.DataFrame(hits, columns=["query_id", "vec_id", "score"]).astype("int64")
+            tree = pickle.loads(held.column("tree")[0].as_py())
+            ids, values, least = asked.column("query_id").to_numpy(), matrix(asked.column("x")), asked.column("least").fill_null(NONE).to_numpy()
+            for low in range(0, len(ids), TOGETHER):
+                at = slice(low, low + TOGETHER)
+                best = search(tree, pivots[key[0].as_py()], _query_points(values[at].astype(np.float64)), values[at], ids[at], k, lift, least[at])
+                q, i = np.nonzero(best.scores > NONE)
+                hits.append(pa.table([ids[at][q], best.ids[q, i], best.scores[q, i]], schema=_HITS))
+        return pa.concat_tables(hits)
 
     def run(asked: DataFrame) -> DataFrame:
-        return spread.groupBy("region", "block").cogroup(asked.groupBy("region", "block")).applyInPandas(look, _HIT)
+        sent = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
+        return trees.groupBy("region", "block", "chunk").cogroup(sent.groupBy("region", "block", "chunk")).applyInArrow(look, _HIT)
 
     home = cut_lineage(run(queries))
     least = home.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))

@@ -325,7 +325,8 @@ def brute_top(rows, k=5, every=50):
 
 
 def test_exact_search_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(exact_search, "BLOCK_VECTORS", 150)
+    for name, value in {"BLOCK_VECTORS": 150, "PAGE_ENTRIES": 16, "TASK_QUERIES": 5, "TOGETHER": 3}.items():
+        monkeypatch.setattr(exact_search, name, value)
     r = np.random.default_rng(4)
     centre = r.normal(size=(6, 8))
     rows = [(i, (centre[i % 6] + 0.3 * r.normal(size=8)).tolist()) for i in range(700)]
@@ -337,6 +338,26 @@ def test_exact_search_equals_brute_force(spark, monkeypatch):
     assert exact_search.exact_top_k(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size,floor", [(100, False), (100, True), (1 << 28, False)])
+def test_tree_search_equals_brute_force(monkeypatch, size, floor):
+    """Also scores beyond what doubles hold exactly, copies in pages of their own and scores known beforehand."""
+    monkeypatch.setattr(exact_search, "PAGE_ENTRIES", 8)
+    r = np.random.default_rng(5)
+    values = r.integers(-size, size, (300, 6))
+    values[200:] = values[7]
+    ids = r.permutation(300)
+    lift = float((values.astype(float) ** 2).sum(axis=1).max())
+    pivot = exact_search._lifted(values[:1].astype(float), lift)[0]
+    tree = exact_search.build(exact_search._lifted(values.astype(float), lift), values, ids, pivot)
+    q = np.concatenate((values[:20], np.zeros((1, 6), np.int64)))
+    own = np.append(ids[:20], -1)
+    scores = [[sum(int(a) * int(b) for a, b in zip(x, y)) for y in values] for x in q]
+    want = [sorted((-s, int(i)) for s, i in zip(row, ids) if i != o)[:5] for row, o in zip(scores, own)]
+    floors = np.array([-w[-1][0] if floor else exact_search.NONE for w in want])
+    best = exact_search.search(tree, pivot, exact_search._query_points(q.astype(float)), q, own, 5, lift, floors)
+    assert [[(-int(s), int(i)) for s, i in zip(a, b)] for a, b in zip(best.scores, best.ids)] == want
+
+
 def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
