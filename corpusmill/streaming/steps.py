@@ -48,6 +48,16 @@ class Breaker:
     def _open(self, now: float) -> None:
         self.status, self.opened_at, self.probes, self.successes = "open", now, 0, 0
 
+    def encode(self) -> str:
+        bits = "".join("1" if r else "0" for r in self.results)
+        return f"{self.status}|{bits}|{self.opened_at!r}|{self.probes}|{self.successes}"
+
+    def decode(self, text: str) -> Breaker:
+        """Takes over an encoded state."""
+        self.status, bits, opened_at, probes, successes = text.split("|")
+        self.results, self.opened_at, self.probes, self.successes = [b == "1" for b in bits], float(opened_at), int(probes), int(successes)
+        return self
+
     @property
     def rate(self) -> float:
         return sum(self.results) / len(self.results) if self.results else 0.0

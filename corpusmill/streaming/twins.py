@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.streaming.ordered import ordered_scan
+from corpusmill.streaming.ordered import ordered_scan, speculative_scan
 from corpusmill.streaming.steps import BUCKET, REFILL_PER_MINUTE, TTL_SECONDS, Breaker, bucket_step, ttl_step
 
 
-def quality_breaker(results: DataFrame, key: str, ts: str, order: list[str], gated: bool = True, **limits) -> DataFrame:
-    """Breaker state after each result: adds ``allowed``, ``status``, ``failure_rate``."""
+def quality_breaker(
+    results: DataFrame, key: str, ts: str, order: list[str], gated: bool = True, block: int = 10_000, warm: int = 256, **limits
+) -> DataFrame:
+    """Breaker state after each result: adds ``allowed``, ``status``, ``failure_rate``. A key of more than ``block`` results is spread over tasks."""
 
-    def step(state, now, row):
+    def step(state, now, failed):
         state = Breaker(**limits) if state is None else state
-        return state, state.step(now, bool(row["failed"]), gated)
+        return state, state.step(now, bool(failed), gated)
+
+    def encode(state):
+        return (state or Breaker(**limits)).encode()
+
+    def decode(text):
+        return Breaker(**limits).decode(text)
 
-    return ordered_scan(results, key, ts, order, step, "allowed boolean, status string, failure_rate double")
+    return speculative_scan(
+        results, key, ts, order, ["failed"], step, "allowed boolean, status string, failure_rate double", encode, decode, block, warm
+    )
 
 
 def token_bucket(requests: DataFrame, key: str, ts: str, order: list[str], cap: int = BUCKET, per_minute: int = REFILL_PER_MINUTE) -> DataFrame:

@@ -230,3 +230,23 @@ def test_late_requests_refill_nothing():
         last = now if last is None else max(last, now)
         out.append((round(tokens, 6), ok))
     assert out == [(1.0, True), (1.0, True), (0.0, True), (0.0, False), (0.0, True)]
+
+
+@pytest.mark.parametrize("warm,gap", [(8, 9.0), (1, 0.7)])
+def test_breaker_of_one_hot_key_equals_one_pass(spark, warm, gap):
+    """Blocks of 25 rows, also where the rows before a block don't tell its state; one key has nearly all rows, one is null."""
+    rng = random.Random(7)
+    rows, clock = [], 0.0
+    for i in range(600):
+        clock += rng.choice([0.1, 1.0, 3.0]) * gap
+        rows.append((None if i % 40 == 7 else 1 if i % 50 == 3 else 2**60, i, clock, rng.random() < (0.5 if i // 100 % 2 else 0.1)))
+    df = spark.createDataFrame(rows, "key long, event_id long, ts double, failed boolean")
+    out = twins.quality_breaker(df, "key", "ts", ["event_id"], block=25, warm=warm)
+    got = {r["event_id"]: (r["key"], r["allowed"], r["status"], r["failure_rate"]) for r in out.collect()}
+    state, want = {}, {}
+    for key, i, ts, failed in rows:
+        w = state.setdefault(key, Breaker()).step(ts, failed)
+        want[i] = (key, w["allowed"], w["status"], w["failure_rate"])
+    assert got == want and {w[2] for w in want.values()} >= {"open", "closed", "half_open"}
+    assert out.columns == ["key", "event_id", "ts", "failed", "allowed", "status", "failure_rate"]
+    assert twins.quality_breaker(df.limit(0), "key", "ts", ["event_id"]).count() == 0
