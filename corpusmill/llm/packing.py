@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.session import cut_lineage
 from corpusmill.llm.common import rows, slices
-from corpusmill.llm.tokens import Encoder
+from corpusmill.llm.tokens import shared_encoder
 
 #: Numbering within a length is done in so many groups, so that a common length is no single task.
 SALTS = 32
@@ -31,7 +31,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int,
     schema = pa.schema(fields + ([("ids", pa.binary())] if with_ids else []))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer, words=False), end_id.to_bytes(4, "little")
+        encoder, end = shared_encoder(tokenizer, words=False), end_id.to_bytes(4, "little")
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for low, _, texts in slices(batch):

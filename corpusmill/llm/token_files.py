@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.session import scratch_dir
 from corpusmill.llm.common import rows, slices
-from corpusmill.llm.tokens import Encoder
+from corpusmill.llm.tokens import shared_encoder
 
 _SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
@@ -34,7 +34,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, at, part = Encoder(tokenizer, words=True), end_id.to_bytes(4, "little"), 0, TaskContext.get().partitionId()
+        encoder, end, at, part = shared_encoder(tokenizer, words=True), end_id.to_bytes(4, "little"), 0, TaskContext.get().partitionId()
         for batch in batches:
             ids = batch.column("doc_id")
             for low, high, texts in slices(batch):

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
-#: Words whose ids a worker keeps; beyond that it starts anew.
+#: Words whose ids a worker keeps; beyond that it forgets the older half.
 KEPT_WORDS = 300_000
 
 #: Texts of these characters only are cut into words here: on them the patterns below mean the same as the
@@ -20,6 +22,20 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 #: How byte-level vocabularies write bytes: printable ones as they are, the others from U+0100 on.
 _BYTES = {**{b: b for b in _SHOWN}, **{b: 256 + i for i, b in enumerate(_HIDDEN)}}
+_BLANK = chr(_BYTES[32])
+
+
+def _shown(part: str) -> str:
+    """How a byte-level vocabulary writes a string."""
+    if part.isascii() and part.isprintable():
+        return part.replace(" ", _BLANK)
+    return part.encode().decode("latin-1").translate(_BYTES)
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str, words: bool) -> Encoder:
+    """The encoder of this process; tasks that follow one another in a worker share it and the words that it keeps."""
+    return Encoder(path, words)
 
 
 class Encoder:
@@ -34,13 +50,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.known = Tokenizer.from_file(path), words, {}
+        self.number = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def _unit(self, part: str) -> bytes:
+        return b"".join([self.number[t.id] for t in self.tokenizer.model.tokenize(_shown(part))])
+
     def _word(self, word: str) -> bytes:
-        model, ids = self.tokenizer.model, []
-        for part in _PARTS.findall(word) if self.words else (word,):
-            ids += [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(_BYTES))]
-        return np.array(ids, "<u4").tobytes()
+        if not self.words or word.isascii() and word.isalpha():
+            return self._unit(word)
+        known, found = self.known, []
+        for part in _PARTS.findall(word):
+            # A part alone has the same ids, so words with a comma behind them cost a lookup.
+            ids = known.get(part)
+            if ids is None:
+                ids = known[part] = self._unit(part)
+            found.append(ids)
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         if not _PLAIN.fullmatch(text) or any(a in text for a in self.added):
@@ -51,7 +77,8 @@ class Encoder:
         except KeyError:
             pass
         if len(known) > KEPT_WORDS:
-            known.clear()
+            for word in list(islice(known, len(known) // 2)):
+                del known[word]
         new = set(units).difference(known)
         if len(new) > KEPT_WORDS:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
