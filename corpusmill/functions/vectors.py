@@ -18,6 +18,8 @@ from corpusmill.functions.skew import each, fits, top_k
 
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 20_000
+#: Vectors compared with a query block at once.
+STRIPE = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -69,6 +71,16 @@ def _compare(q_ids, q: np.ndarray, block: pd.DataFrame, metric: str, floor: floa
     return pd.DataFrame({"query_id": np.asarray(q_ids)[qi], **rest, "score": sims[qi, vi]})
 
 
+def _striped(
+    q_ids, q: np.ndarray, block: pd.DataFrame, metric: str, floor: float | None, k: int | None, reduce: Reducer, best: pd.DataFrame | None = None
+) -> pd.DataFrame | None:
+    """``best`` and what a block adds to it, reduced after each stripe."""
+    for low in range(0, len(block), STRIPE):
+        found = _compare(q_ids, q, block.iloc[low : low + STRIPE], metric, floor, k)
+        best = reduce(found if best is None else pd.concat([best, found], ignore_index=True))
+    return best
+
+
 def compare_blocks(
     queries: DataFrame, vectors: DataFrame, metric: str, reduce: Reducer, floor: float | None, k: int | None
 ) -> DataFrame:
@@ -94,9 +106,7 @@ def compare_blocks(
             ids, q = shared.value
             best: pd.DataFrame | None = None
             for batch in batches:
-                if len(batch):
-                    found = _compare(ids, q, batch, metric, floor, k)
-                    best = reduce(found if best is None else pd.concat([best, found], ignore_index=True))
+                best = _striped(ids, q, batch, metric, floor, k, reduce, best)
             if best is not None and len(best):
                 yield best
 
@@ -108,29 +118,35 @@ def compare_blocks(
     def spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int, key: Column) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(other, each(n_other))
 
-    left = spread(queries, "qb", q_blocks, "vb", v_blocks, F.col("query_id"))
+    # Both sides may come from one table: a cogroup needs different columns of them.
+    left = spread(queries.withColumnRenamed("vector", "q"), "qb", q_blocks, "vb", v_blocks, F.col("query_id"))
     right = spread(vectors, "vb", v_blocks, "qb", q_blocks, F.struct(*[f.name for f in others]))
 
     def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
             return pd.DataFrame(columns=["query_id", *[f.name for f in others], "score"])
-        return reduce(_compare(q["query_id"].tolist(), _matrix(q["vector"]), v.drop(columns=["qb", "vb"]), metric, floor, k))
+        return _striped(q["query_id"].tolist(), _matrix(q["q"]), v.drop(columns=["qb", "vb"]), metric, floor, k, reduce)
 
     return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(meet, schema)
 
 
-def nearest(
-    queries: DataFrame, vectors: DataFrame, k: int, id: str, metric: str = "l2", threshold: float = 0.0
-) -> DataFrame:
-    """(query_id, id, score, rank): exact best ``k`` per query, ties by id."""
+def _best_of(k: int, id: str) -> Reducer:
+    """The best ``k`` rows per query by rounded score, ties by id."""
 
     def cut(found: pd.DataFrame) -> pd.DataFrame:
         tagged = found.assign(__order=found["score"].round(9))
         ordered = tagged.sort_values(["query_id", "__order", id], ascending=[True, False, True])
         return ordered.groupby("query_id", sort=False).head(k).drop(columns="__order")
 
+    return cut
+
+
+def nearest(
+    queries: DataFrame, vectors: DataFrame, k: int, id: str, metric: str = "l2", threshold: float = 0.0
+) -> DataFrame:
+    """(query_id, id, score, rank): exact best ``k`` per query, ties by id."""
     floor = threshold if threshold > 0 else None
-    found = compare_blocks(queries, vectors.select(id, "vector"), metric, cut, floor, k)
+    found = compare_blocks(queries, vectors.select(id, "vector"), metric, _best_of(k, id), floor, k)
     return top_k(found, ["query_id"], [F.desc(F.round("score", 9)), F.asc(id)], k)
 
 
@@ -155,7 +171,7 @@ def nearest_scoped(queries: DataFrame, members: DataFrame, k: int, id: str, metr
     def spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int, key: str) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(other, each(n_other))
 
-    left = spread(asked, "qb", q_blocks, "vb", v_blocks, "query_id")
+    left = spread(asked.withColumnRenamed("vector", "q"), "qb", q_blocks, "vb", v_blocks, "query_id")
     right = spread(held, "vb", v_blocks, "qb", q_blocks, id)
     types = {f.name: f.dataType.simpleString() for f in [*asked.schema.fields, *held.schema.fields]}
     schema = f"query_id {types['query_id']}, {id} {types[id]}, score double"
@@ -163,11 +179,7 @@ def nearest_scoped(queries: DataFrame, members: DataFrame, k: int, id: str, metr
     def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
             return pd.DataFrame(columns=["query_id", id, "score"])
-        found = _compare(q["query_id"].tolist(), _matrix(q["vector"]), v[[id, "vector"]], metric, None, k)
-        tagged = found.assign(__order=found["score"].round(9)).sort_values(
-            ["query_id", "__order", id], ascending=[True, False, True]
-        )
-        return tagged.groupby("query_id", sort=False).head(k)[["query_id", id, "score"]]
+        return _striped(q["query_id"].tolist(), _matrix(q["q"]), v[[id, "vector"]], metric, None, k, _best_of(k, id))[["query_id", id, "score"]]
 
     keys = ("scope_id", "qb", "vb")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)

@@ -186,6 +186,19 @@ def test_nearest_is_exact_in_blocks(spark, monkeypatch, metric, block):
         assert [r["chunk_id"] for r in got if r["query_id"] == i] == want
 
 
+@pytest.mark.parametrize("stripe", [4096, 5])
+def test_nearest_of_rows_of_the_same_table_in_blocks(spark, monkeypatch, stripe):
+    monkeypatch.setattr(V, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(V, "VECTOR_BLOCK", 16)
+    monkeypatch.setattr(V, "STRIPE", stripe, raising=False)
+    vectors = spark.range(60).selectExpr("id as chunk_id", "array(double(id), 0D) as vector")
+    asked = vectors.filter("chunk_id % 6 = 0").withColumnRenamed("chunk_id", "query_id")
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in V.nearest(asked, vectors, 2, "chunk_id").collect()}
+    assert got == {(q, k): q if k == 1 else max(q - 1, 1 if q == 0 else 0) for q in range(0, 60, 6) for k in (1, 2)}
+    scoped = V.nearest_scoped(asked.selectExpr("*", "1 as scope_id"), vectors.selectExpr("*", "1 as scope_id"), 2, "chunk_id")
+    assert got == {(r.query_id, r["rank"]): r.chunk_id for r in scoped.collect()}
+
+
 def test_nearest_scoped(spark):
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
