@@ -65,15 +65,14 @@ def review_triggers(requests: DataFrame) -> DataFrame:
 
 
 def enqueue_reviews(requests: DataFrame, hits: DataFrame, docs: int = 5, chars: int = 300) -> DataFrame:
-    """Pending review items for requests with at least one reason, ``created_at`` = request time."""
+    """Pending review items for requests with at least one reason, ``created_at`` = request time.
+
+    Texts are cut where the hits are; only what is shown of them is dealt out by request."""
     due = review_triggers(requests).filter(F.size("trigger_reasons") > 0)
-    shown = hits.join(due.select("query_id"), "query_id", "left_semi").filter(F.col("rank") <= docs)
+    item = ("rank", F.substring("text", 1, chars).alias("content"), "score", F.coalesce("source", F.lit("")).alias("source"))
+    shown = hits.filter(F.col("rank") <= docs).select("query_id", *item).repartition("query_id").join(due.select("query_id"), "query_id", "left_semi")
     previews = shown.groupBy("query_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("rank", F.substring("text", 1, chars).alias("content"), "score", F.coalesce("source", F.lit("")).alias("source"))
-            )
-        ).alias("retrieved_docs_preview")
+        F.array_sort(F.collect_list(F.struct("rank", "content", "score", "source"))).alias("retrieved_docs_preview")
     )
     none = F.array().cast("array<struct<rank:bigint,content:string,score:double,source:string>>")
     return due.join(previews, "query_id", "left").withColumns(
