@@ -2,9 +2,34 @@
 
 from __future__ import annotations
 
+import weakref
+
+import pyarrow as pa
+
+from corpusmill.functions import splitting
 from corpusmill.operators import review
 
 
+class Chunks(list):
+    """A list that can be counted while it lives."""
+
+
+def test_chunks_of_a_batch_are_python_objects_for_a_few_texts_only():
+    held, most = [], 0
+
+    def split(text, size, overlap):
+        nonlocal most
+        found = Chunks(splitting.split_text(text, size, overlap))
+        held.append(weakref.ref(found))
+        most = max(most, sum(r() is not None for r in held))
+        return found
+
+    texts = ["aa bb cc" if i % 3 else None for i in range(1000)]
+    got = splitting._in_slices(split, pa.array(texts), pa.array([4] * 1000), pa.array([0] * 1000))
+    assert got.to_pylist() == [None if t is None else ["aa", "bb", "cc"] for t in texts]
+    assert most <= splitting.SLICE
+
+
 def test_enqueue_reviews_deals_out_previews_and_no_texts(spark):
     requests = spark.range(4).selectExpr(
         "id as query_id", "id as session_id", "'a' as answer", "timestamp'2024-01-01 00:00:00' as created_at", "id = 3 as quality_passed",
