@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.functions import text as T
+from corpusmill.functions.arrays import unfold
 from corpusmill.functions.session import cut_lineage
 from corpusmill.functions.skew import fits, salted, top_k
 from corpusmill.operators.postings import EPSILON, K1, B, Postings, Shard, build_block_postings
@@ -27,15 +28,18 @@ SALTS = 16
 
 
 def build_postings(chunks: DataFrame, id: str = "chunk_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, term, tf, doc_length), partitioned by id. Write it out to keep an index generation."""
-    tokens = (
-        chunks.select(id, *keep, text)
-        .repartition(id)
-        .select(id, *keep, T.tokenize(F.col(text)).alias("tokens"))
-        .select(id, *keep, F.size("tokens").cast("long").alias("doc_length"), F.explode_outer("tokens").alias("term"))
-        .filter("term is not null")
+    """(id, term, tf, doc_length), counted inside each row, where the texts are. Write it out to keep an index generation."""
+    tokens = chunks.select(id, *keep, F.sort_array(T.tokenize(F.col(text))).alias("tokens"))
+    size = F.size("tokens")
+    # where a run of equal tokens begins, and the end of the last
+    first = F.transform("tokens", lambda t, i: F.when((i == 0) | (t != F.get("tokens", i - 1)), i))
+    starts = tokens.withColumn("starts", F.concat(F.array_compact(first), F.array(size)))
+    runs = F.transform(
+        F.slice("starts", F.lit(1), F.size("starts") - 1),
+        lambda s, i: F.struct(F.get("tokens", s).alias("term"), (F.get("starts", i + 1) - s).cast("long").alias("tf")),
     )
-    return tokens.groupBy(id, *keep, "doc_length", "term").agg(F.count("*").alias("tf"))
+    rows = unfold(starts, [id, *keep, size.cast("long").alias("doc_length")], runs, "run_no", "r")
+    return rows.select(id, *keep, "doc_length", "r.term", "r.tf")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

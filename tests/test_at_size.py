@@ -7,7 +7,7 @@ import weakref
 import pyarrow as pa
 
 from corpusmill.functions import splitting
-from corpusmill.operators import review
+from corpusmill.operators import lexical, review
 
 
 class Chunks(list):
@@ -42,3 +42,12 @@ def test_enqueue_reviews_deals_out_previews_and_no_texts(spark):
     assert grouped and not any("substring" in line or "text" in line for line in grouped)
     shown = {r.query_id: [(p["rank"], p.content, p.source) for p in r.retrieved_docs_preview] for r in queue.collect()}
     assert shown == {q: [(k + 1, f"{4 * k + q}" + "x" * (300 - len(f"{4 * k + q}")), "") for k in range(2)] for q in range(3)}
+
+
+def test_postings_are_counted_without_a_shuffle_or_a_table_of_terms(spark):
+    chunks = spark.createDataFrame([(1, "b a B c"), (2, None), (3, "--"), (4, "a")], "chunk_id long, text string")
+    found = lexical.build_postings(chunks)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    assert sorted((r.chunk_id, r.term, r.tf, r.doc_length) for r in found.collect()) == [(1, "a", 1, 4), (1, "b", 2, 4), (1, "c", 1, 4), (4, "a", 1, 1)]
+    assert found.columns == ["chunk_id", "doc_length", "term", "tf"]
