@@ -8,9 +8,12 @@ final ranking. Weights are sent to the tasks when they are few; more queries mee
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -25,6 +28,8 @@ BROADCAST_QUERIES = 10_000
 #: (query, term) weights that are sent to the tasks at most.
 SENT_WEIGHTS = 500_000
 SALTS = 16
+#: Entries that meet all queries at once in the token-set search.
+ENTRY_ROWS = 128
 
 
 def build_postings(chunks: DataFrame, id: str = "chunk_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -292,25 +297,69 @@ def _scope_counts(table: pa.Table, inside: pa.Table) -> pa.Table:
     })
 
 
+def _best_overlaps(sets: DataFrame, asked: DataFrame, k: int, id: str) -> DataFrame:
+    """(query_id, id, score) of the ``k`` best entries of every task that share a token with a query; the queries are collected."""
+    local = asked.select("query_id", "q").filter("n_query > 0").collect()
+    asking: dict[str, list[int]] = defaultdict(list)
+    for number, r in enumerate(local):
+        for term in r.q:
+            asking[term].append(number)
+    queries = pa.array([r.query_id for r in local], to_arrow_type(asked.schema["query_id"].dataType))
+    terms = {t: np.array(n, np.int64) for t, n in asking.items()}
+    shared = sets.sparkSession.sparkContext.broadcast((queries, np.array([len(r.q) for r in local], np.int64), terms))
+    kind = to_arrow_type(sets.schema[id].dataType)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, n_query, terms = shared.value
+        least, best = np.full(len(queries), -np.inf), None
+        for batch in batches:
+            for low in range(0, len(batch) if len(queries) else 0, ENTRY_ROWS):
+                part = batch.slice(low, ENTRY_ROWS)
+                tokens, n_entry = part.column(2), np.asarray(pc.list_value_length(part.column(2)))
+                pairs = [(terms[t], r) for t, r in zip(tokens.flatten().to_pylist(), pc.list_parent_indices(tokens).to_pylist(), strict=True) if t in terms]
+                if not pairs:
+                    continue
+                keys = np.concatenate([q * len(part) + r for q, r in pairs])
+                key, common = np.unique(keys, return_counts=True)
+                query, row = key // len(part), key % len(part)
+                score = 0.6 * common / (n_entry[row] + n_query[query] - common) + 0.4 * np.asarray(part.column(1))[row]
+                order = np.where(np.isnan(score), np.inf, np.round(score, 9))
+                kept = np.flatnonzero(order >= least[query])
+                ids = part.column(0).take(pa.array(row[kept])).to_pandas()
+                found = pd.DataFrame({"query": query[kept], "id": ids, "score": score[kept], "order": order[kept]})
+                best = found if best is None else pd.concat([best, found], ignore_index=True)
+                best = best.sort_values(["query", "order", "id"], ascending=[True, False, True]).groupby("query", sort=False).head(k)
+                last = best.groupby("query")["order"].agg(["size", "min"])
+                last = last[last["size"] == k]
+                least[last.index.to_numpy()] = last["min"].to_numpy()
+        if best is not None:
+            columns = [queries.take(pa.array(best["query"].to_numpy())), pa.array(best["id"], kind), pa.array(best["score"].to_numpy())]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", id, "score"])
+
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, {id} {sets.schema[id].dataType.simpleString()}, score double"
+    held = sets.filter("importance is not null and n_entry > 0").select(id, F.col("importance").cast("double").alias("importance"), "tokens")
+    return held.mapInArrow(search, schema)
+
+
 def jaccard_topk(
     queries: DataFrame, entries: DataFrame, k: int = 5, id: str = "entry_id", text: str = "content"
 ) -> DataFrame:
     """0.6 x Jaccard of token sets + 0.4 x importance, best ``k`` positive.
 
     Entries that share no token differ only by importance, so besides the matches only the ``k``
-    most important entries can rank; those are the only ones attached to every query.
+    most important entries can rank; those are the only ones attached to every query. A checked small
+    table of queries is sent to the entries, and only ``k`` of them per query leave a task.
     """
     small = fits(queries, BROADCAST_QUERIES)
     sets = (
-        entries.select(id, "importance", text).repartition(id)
-        .select(id, "importance", T.memory_tokens(F.col(text)).alias("tokens"))
+        entries.select(id, "importance", T.memory_tokens(F.col(text)).alias("tokens"))
         .withColumn("n_entry", F.size("tokens"))
     )
     asked = queries.select("query_id", T.memory_tokens(F.col("query")).alias("q")).withColumn("n_query", F.size("q"))
     wanted = asked.select("query_id", "n_query", F.explode("q").alias("term"))
     held = sets.select(id, "importance", "n_entry", F.explode("tokens").alias("term"))
-    common = (
-        _join_terms(held, wanted, id, ["term"], small)
+    common = _best_overlaps(sets, asked, k, id) if small else (
+        _join_terms(held, wanted, id, ["term"], False)
         .groupBy("query_id", id, "importance", "n_entry", "n_query").agg(F.count("*").alias("shared"))
         .select(
             "query_id", id,

@@ -51,3 +51,18 @@ def test_postings_are_counted_without_a_shuffle_or_a_table_of_terms(spark):
     assert "Exchange" not in plan and "Aggregate" not in plan
     assert sorted((r.chunk_id, r.term, r.tf, r.doc_length) for r in found.collect()) == [(1, "a", 1, 4), (1, "b", 2, 4), (1, "c", 1, 4), (4, "a", 1, 1)]
     assert found.columns == ["chunk_id", "doc_length", "term", "tf"]
+
+
+def test_overlaps_of_few_queries_are_cut_in_the_tasks(spark, monkeypatch):
+    entries = spark.range(400).selectExpr(
+        "id as entry_id", "nullif(concat_ws(' ', 'w' || id % 7, 'w' || id % 11, 'w' || id % 13, 'all'), 'w0 w0 w0 all') as content",
+        "case when id % 50 <> 3 then id % 10 / 10D end as importance",
+    )
+    queries = spark.createDataFrame([(1, "w1 w2 all"), (2, ""), (3, "w5 w5 w6"), (4, "none")], "query_id long, query string")
+    monkeypatch.setattr(lexical, "ENTRY_ROWS", 16, raising=False)
+    few = lexical.jaccard_topk(queries, entries, 4)
+    assert "explode" not in few.filter("score > 0")._jdf.queryExecution().optimizedPlan().toString().replace("explode(CASE", "")
+    got = sorted((r.query_id, r["rank"], r.entry_id, round(r.score, 9)) for r in few.collect())
+    monkeypatch.setattr(lexical, "BROADCAST_QUERIES", 0)
+    assert got == sorted((r.query_id, r["rank"], r.entry_id, round(r.score, 9)) for r in lexical.jaccard_topk(queries, entries, 4).collect())
+    assert len(got) == 16
