@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +11,16 @@ CJK = r"一-鿿"
 BLANK = r"[ \t\n\r\f\x0B]"
 
 
+BLANKS = " \t\n\r\f\x0b"
+
+
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(col, F.lit(BLANKS))
+
+
+def is_blank(col: Column) -> Column:
+    """Whether a text holds nothing but blanks; looks no further than to the first other character."""
+    return ~col.rlike(r"[^ \t\n\r\f\x0B]")
 
 
 def squeeze(col: Column) -> Column:
@@ -22,6 +32,11 @@ def occurrences(col: Column, char: str) -> Column:
     return F.length(col) - F.length(F.replace(col, F.lit(char), F.lit("")))
 
 
+def count_cjk(col: Column) -> Column:
+    """Number of CJK characters, from what is left without them: a text that has none is not copied."""
+    return F.length(col) - F.length(F.regexp_replace(col, rf"[{CJK}]+", ""))
+
+
 def tokenize(col: Column) -> Column:
     """Lower-case tokens: each CJK character, each run of Latin letters, each digit run."""
     return F.regexp_extract_all(F.lower(col), F.lit(rf"[{CJK}]|[a-z]+|[0-9]+"), F.lit(0))
@@ -36,21 +51,35 @@ def memory_tokens(col: Column) -> Column:
 
 def unify_breaks(col: Column) -> Column:
     """Drop NUL, non-breaking space to space, every line end to a line feed."""
-    col = F.translate(F.coalesce(col, F.lit("")), "\u00a0", " ")
-    return F.regexp_replace(F.regexp_replace(col, "\\x00", ""), r"\r\n|\r", "\n")
+    col = F.coalesce(col, F.lit(""))
+    for old, new in (("\u00a0", " "), ("\x00", ""), ("\r\n", "\n"), ("\r", "\n")):
+        col = F.replace(col, F.lit(old), F.lit(new))
+    return col
+
+
+def normalize_blanks(col: Column) -> Column:
+    """Collapse blanks and trim; single spaces are no match and cost no copy."""
+    return F.trim(F.regexp_replace(col, r"\t[\t ]*| [\t ]+", " "))
 
 
 def normalize_line(col: Column) -> Column:
     """Collapse blanks, trim, close gaps the extraction left between CJK characters."""
-    col = F.trim(F.regexp_replace(col, r"[\t ]+", " "))
+    col = normalize_blanks(col)
     col = F.regexp_replace(col, rf"([{CJK}]) +(?=[{CJK}])", "$1")
     col = F.regexp_replace(col, rf"([{CJK}]) +(?=[、，。；：！？])", "$1")
     return F.regexp_replace(col, rf"([（《]) +(?=[{CJK}])", "$1")
 
 
+def map_lines(text: Column, build: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+    """``build(line, normalize)`` for every line of a text; gaps between CJK characters are looked for only in texts that have some."""
+    lines = F.split(unify_breaks(text), "\n")
+    plain = F.transform(lines, lambda x: build(x, normalize_blanks))
+    return F.when(text.rlike(f"[{CJK}]"), F.transform(lines, lambda x: build(x, normalize_line))).otherwise(plain)
+
+
 def normalize_text(col: Column) -> Column:
     """``normalize_line`` on every line, outer blank lines removed."""
-    return strip(F.array_join(F.transform(F.split(unify_breaks(col), "\n"), normalize_line), "\n"))
+    return strip(F.array_join(map_lines(col, lambda x, normalize: normalize(x)), "\n"))
 
 
 def lines_of(col: Column) -> Column:
@@ -77,7 +106,7 @@ def first_number(col: Column) -> Column:
 
 def estimate_tokens(col: Column) -> Column:
     """CJK characters count 2, others 0.3, truncated."""
-    cjk = F.length(F.regexp_replace(col, rf"[^{CJK}]", ""))
+    cjk = count_cjk(col)
     return (cjk * 2 + (F.length(col) - cjk) * F.lit(0.3)).cast("long")
 
 

@@ -185,16 +185,17 @@ def _by_markdown(markdown: bool | Column, yes: Column, no: Column) -> Column:
 
 def is_heading(line: Column, following: Column, markdown: bool | Column = False) -> Column:
     dated_next = F.coalesce(following.rlike(P.DATE_RANGE), F.lit(False))
+    # lengths first: most lines are too long to be headings and meet no pattern
     shape = (
-        line.rlike(P.NUMBERED_HEADING)
+        ((F.length(line) <= 48) & _ends_with_colon(line))
+        | line.rlike(P.NUMBERED_HEADING)
         | line.rlike(P.CHAPTER_HEADING)
-        | ((F.length(line) <= 48) & _ends_with_colon(line))
         | ((F.length(line) <= 28) & line.rlike(P.HEADING_WORD))
-        | (dated_next & (F.length(line) <= 70))
+        | ((F.length(line) <= 70) & dated_next)
     )
-    plain = (F.length(line) <= 90) & ~line.rlike(P.BULLET) & shape
+    plain = (F.length(line) <= 90) & shape & ~line.rlike(P.BULLET)
     plain = _by_markdown(markdown, line.startswith("#") | plain, plain)
-    return (line != "") & ~line.rlike(P.DATE_RANGE) & plain
+    return (line != "") & plain & ~line.rlike(P.DATE_RANGE)
 
 
 def heading_level(line: Column, following: Column, markdown: bool | Column = False) -> Column:
@@ -212,26 +213,31 @@ def heading_level(line: Column, following: Column, markdown: bool | Column = Fal
 
 
 def _flagged(df: DataFrame, text: str, markdown: bool | Column) -> DataFrame:
-    """Add ``__lines``: array of (line, tab, h, t, b, level) for the non-empty lines."""
+    """Add ``__lines``: array of (line, tab, h, t, b, level) for the non-empty lines; ``level`` is null where h is false."""
     raw = _by_markdown(markdown, F.regexp_replace(text, P.CODE_FENCE, ""), F.col(text))
-    split = F.transform(
-        F.split(T.unify_breaks(raw), "\n"),
-        lambda x: F.struct(T.normalize_line(T.strip(x)).alias("line"), T.strip(x).contains("\t").alias("tab")),
+    split = T.map_lines(
+        raw,
+        lambda x, normalize: F.struct(
+            normalize(T.strip(x)).alias("line"), (x.contains("\t") & T.strip(x).contains("\t")).alias("tab")
+        ),
     )
     df = df.withColumn("__split", F.filter(split, lambda s: s["line"] != ""))
 
     def flag(s: Column, i: Column) -> Column:
-        following = F.get("__split", i + 1)["line"]
         return F.struct(
             s["line"].alias("line"),
             s["tab"].alias("tab"),
-            is_heading(s["line"], following, markdown).alias("h"),
+            is_heading(s["line"], F.get("__split", i + 1)["line"], markdown).alias("h"),
             (_looks_like_table(s["line"]) | s["tab"]).alias("t"),
             s["line"].rlike(P.BULLET).alias("b"),
-            heading_level(s["line"], following, markdown).alias("level"),
         )
 
-    return df.withColumn("__lines", F.transform("__split", flag)).drop("__split")
+    def leveled(s: Column, i: Column) -> Column:
+        level = F.when(s["h"], heading_level(s["line"], F.get("__split", i + 1)["line"], markdown))
+        return F.struct(*[s[c].alias(c) for c in ("line", "tab", "h", "t", "b")], level.alias("level"))
+
+    df = df.withColumn("__flags", F.transform("__split", flag))
+    return df.withColumn("__lines", F.transform("__flags", leveled)).drop("__split", "__flags")
 
 
 def classify_lines(df: DataFrame, text: str = "text", markdown: bool | Column = False) -> DataFrame:
@@ -246,7 +252,7 @@ def classify_lines(df: DataFrame, text: str = "text", markdown: bool | Column =
         "line_no",
         F.col("f.line").alias("line"),
         kind.alias("line_class"),
-        F.when(F.col("f.h"), F.col("f.level").cast("long")).alias("heading_level"),
+        F.col("f.level").cast("long").alias("heading_level"),
     )
 
 
@@ -442,7 +448,7 @@ def build_outline(df: DataFrame, document_id: str, source: str, file_type: str,
 
 def quality_column(text: Column, warnings: Column | None = None) -> Column:
     """Parse quality between 0 and 1 of a row that has ``elements``."""
-    cjk = F.length(F.regexp_replace(text, rf"[^{T.CJK}]", ""))
+    cjk = T.count_cjk(text)
     spaced = F.size(F.regexp_extract_all(text, F.lit(rf"[{T.CJK}]\s+[{T.CJK}]"), F.lit(0)))
     count = F.size(warnings) if warnings is not None else F.lit(0)
     score = (
@@ -454,7 +460,7 @@ def quality_column(text: Column, warnings: Column | None = None) -> Column:
         - F.least(F.lit(0.20), count * F.lit(0.04))
     )
     bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(score, 3)))
-    return F.when(T.strip(F.coalesce(text, F.lit(""))) == "", F.lit(0.0)).otherwise(bounded)
+    return F.when(T.is_blank(F.coalesce(text, F.lit(""))), F.lit(0.0)).otherwise(bounded)
 
 
 def parse_quality(df: DataFrame, text: str = "text", markdown: bool | Column = False) -> DataFrame:

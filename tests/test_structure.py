@@ -85,3 +85,17 @@ def test_spans(spark):
     spans = spark.createDataFrame(rows, "doc_id long, page int, pos int, text string, size double, bold boolean, style string")
     got = [(r["heading_path"], r["page"], r["text"]) for r in st.sections_from_spans(spans).orderBy("section_no").collect()]
     assert got == [("Title", 1, "Title\nbody one"), ("Title > Part", 2, "Part\nbody two"), ("Title > Styled", 3, "Styled\nend")]
+
+
+def test_lines_meet_only_the_patterns_that_can_change_them(spark):
+    """No pattern that matches every character, no level for lines that are no headings, no work on CJK gaps without CJK."""
+    texts = ["1.2 Title\nplain words  here\t x y\x00\r\nlast:\rend ", "第一章 背景\n你 好 ， 世界  a  （ 你", " \t\n\r\x0b\f", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    levels = [(f.h, f.level) for r in st._flagged(df, "text", False).collect() for f in r["__lines"]]
+    assert any(h for h, _ in levels) and all((level is not None) == h for h, level in levels)
+    got = [r.x for r in df.orderBy("doc_id").select(T.lines_of(F.col("text")).alias("x")).collect()]
+    assert got == [["1.2 Title", "plain words here x y", "last:", "end"], ["第一章背景", "你好， 世界 a （你"], [], [], []]
+    counts = df.orderBy("doc_id").select(T.count_cjk(F.col("text")), T.is_blank(F.coalesce("text", F.lit("")))).collect()
+    assert [tuple(r) for r in counts] == [(0, False), (10, False), (0, True), (0, True), (None, True)]
+    plan = st.parse_quality(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"[^{T.CJK}]" not in plan and "translate(" not in plan
