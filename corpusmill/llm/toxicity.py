@@ -8,6 +8,7 @@ logistic model over a document's strongest evidence gives the score.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -68,6 +69,7 @@ def _codes(text: str) -> np.ndarray:
     return np.where(raw < 0x250, _CODE[np.minimum(raw, 0x24F)], LETTER)
 
 
+@functools.cache
 def _code(c: str) -> int:
     return int(_CODE[ord(c)]) if ord(c) < 0x250 else LETTER
 
@@ -93,39 +95,56 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log(n / n.sum(axis=2, keepdims=True)).astype(np.float32)
 
 
+#: Per worker: the costs of the last model's trigrams as one list, which is read faster than an array.
+_COSTS: list = [None, []]
+
+
+def _costs(model: np.ndarray) -> list[float]:
+    if _COSTS[0] is not model:
+        _COSTS[:] = model, model.ravel().tolist()
+    return _COSTS[1]
+
+
 def restore(seen: str, model: np.ndarray) -> str:
     """The likeliest text behind ``seen`` (lower case): Viterbi search over the lattice of its characters.
 
     A state is the last two characters; each seen character is kept, replaced by a letter that it looks like, taken as a repetition, or, if
     it separates letters, left out or taken as a blank.
     """
-    states: dict[tuple[int, int], tuple[float, str]] = {(SPACE, SPACE): (0.0, "")}
+    costs = _costs(model)
+    states: dict[int, tuple[float, str]] = {SPACE * SYMBOLS + SPACE: (0.0, "")}
     last = ""
     for c in seen:
-        steps: list[tuple[str, float]] = []
+        if len(states) == 1 and c != last and c.isalpha():  # nothing to choose from
+            ((pair, (cost, text)),) = states.items()
+            at = pair * SYMBOLS + _code(c)
+            states = {at % (SYMBOLS * SYMBOLS): (cost - costs[at], text + c)}
+            last = c
+            continue
+        steps: list[tuple[str, int, float]] = []
         if c.isalpha():
-            steps.append((c, 0.0))
+            steps.append((c, _code(c), 0.0))
         elif c.isspace():
-            steps += [(" ", KEPT_APART), ("", SEPARATED)]
+            steps += [(" ", SPACE, KEPT_APART), ("", 0, SEPARATED)]
         else:
-            steps += [(x, SUBSTITUTED) for x in LOOKALIKES.get(c, "")]
-            steps += [("", SEPARATED), (" ", KEPT_APART)] if c in ".-_*~|" else [("", DROPPED)]
+            steps += [(x, _code(x), SUBSTITUTED) for x in LOOKALIKES.get(c, "")]
+            steps += [("", 0, SEPARATED), (" ", SPACE, KEPT_APART)] if c in ".-_*~|" else [("", 0, DROPPED)]
         if c == last:
-            steps.append(("", REPEATED))
+            steps.append(("", 0, REPEATED))
         last = c
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
-            for x, price in steps:
+        following: dict[int, tuple[float, str]] = {}
+        for pair, (cost, text) in states.items():
+            for x, k, price in steps:
                 if x:
-                    k = _code(x)
-                    key, value = (b, k), (cost + price - float(model[a, b, k]), text + x)
+                    at = pair * SYMBOLS + k
+                    key, value = at % (SYMBOLS * SYMBOLS), (cost + price - costs[at], text + x)
                 else:
-                    key, value = (a, b), (cost + price, text)
-                if key not in following or value < following[key]:
+                    key, value = pair, (cost + price, text)
+                held = following.get(key)
+                if held is None or value < held:
                     following[key] = value
         states = following
-    ends = [(cost - float(model[a, b, SPACE]), text) for (a, b), (cost, text) in states.items()]
-    return min(ends)[1].strip()
+    return min((cost - costs[pair * SYMBOLS + SPACE], text) for pair, (cost, text) in states.items())[1].strip()
 
 
 @dataclass
@@ -138,6 +157,8 @@ class ToxicityModel:
 
 def suspects(word: str) -> list[str]:
     """The forms of a lower-cased word that may be obfuscated: without its edges, and also without those that look like letters."""
+    if word.isalpha():  # no edges
+        return [word] if len(word) > 2 and _DOUBLED.search(word) else []
     forms = {word.strip(_EDGES), word.strip(_LOOSE_EDGES)}
     return sorted(f for f in forms if len(f) > 2 and (_DOUBLED.search(f) or not f.isalpha() and _READABLE.search(f)))
 
@@ -150,7 +171,7 @@ def decoded(seen: str, model: np.ndarray) -> list[str]:
 
 def readings(word: str, model: np.ndarray) -> list[str]:
     """The letter runs of a lower-cased word, and of what is restored from it if it may be obfuscated."""
-    found = _LETTERS.findall(word)
+    found = [word] if word.isalpha() else _LETTERS.findall(word)
     for seen in suspects(word):
         for text in decoded(seen, model):
             found += _LETTERS.findall(text)
@@ -174,11 +195,13 @@ def spaced_out(text: str, model: np.ndarray) -> list[str]:
 class _Scorer:
     def __init__(self, model: ToxicityModel):
         self.model, self.known = model, {}
+        # all features of a run begin like the run, so one look tells whether any can be known
+        self.openings = {f[: STEMS[0]] for f in model.evidence}
 
     def word(self, word: str) -> float:
-        get = self.model.evidence.get
-        found = max((get(f, 0.0) for r in readings(word, self.model.characters) for f in features(r)), default=0.0)
-        return max(found, 0.0)
+        get, openings = self.model.evidence.get, self.openings
+        runs = [r for r in readings(word, self.model.characters) if r[: STEMS[0]] in openings]
+        return max(max((get(f, 0.0) for r in runs for f in features(r)), default=0.0), 0.0)
 
     def measures(self, text: str) -> tuple[float, float, float, float, float]:
         """Constant, strongest and second evidence, number of words with evidence, length."""

@@ -427,3 +427,21 @@ def test_token_files_of_odd_tables(spark):
     got = sorted((r.start, r.n_tokens, r.doc_id) for r in token_round_trip(table(spark, rows), WORD_BPE).collect())
     assert got[0] == (0, 2, None) and [g[0] for g in got] == [0, *np.cumsum([g[1] for g in got])[:-1].tolist()]
     assert token_round_trip(table(spark, []), WORD_BPE).count() == 0
+
+
+def test_words_whose_openings_are_unknown_are_not_looked_up(monkeypatch):
+    from corpusmill.llm import toxicity
+
+    grams = np.random.default_rng(1).random((64, 64, 64), np.float32)
+    model = toxicity.ToxicityModel(np.log(grams / grams.sum(axis=2, keepdims=True)), {"badly*": 2.0, "bad": 3.0, "wors*": 1.0, "neg": -1.0})
+    words = ["badlyx", "bad", "bad!", "b4d", "wor", "worser", "wooorse", "neg", "harmless", "letter", "a.b.c", "²", "ß$s", "harm-less1"]
+
+    def plain(word):
+        found = (model.evidence.get(f, 0.0) for r in toxicity.readings(word, model.characters) for f in features(r))
+        return max(max(found, default=0.0), 0.0)
+
+    features, asked = toxicity.features, []
+    monkeypatch.setattr(toxicity, "features", lambda run: asked.append(run) or features(run))
+    got = [toxicity._Scorer(model).word(w) for w in words]
+    assert not {"harmless", "wor"} & set(asked) and "badlyx" in asked
+    assert got == [plain(w) for w in words] and got[:2] == [2.0, 3.0]
