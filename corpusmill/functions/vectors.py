@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,73 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), clash.cast("double")).otherwise(value)
 
 
+#: Sentences whose vectors exist at once.
+SENTENCES = 4096
+
+
+def term_index(terms: pa.Array, dim: int) -> np.ndarray:
+    """The place of each term in a hashed vector, as HashingTF has it: its 32-bit Murmur3 hash with seed 42."""
+
+    def mixed(k: np.ndarray) -> np.ndarray:
+        k = k * np.uint32(0xCC9E2D51)
+        return (k << 15 | k >> 17) * np.uint32(0x1B873593)
+
+    starts = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+    raw = terms.buffers()[2]
+    data = np.frombuffer((b"" if raw is None else raw.to_pybytes()) + bytes(4), np.uint8)
+    starts, size = starts[:-1], np.diff(starts)
+    word = lambda at: sum(data[at + i].astype(np.uint32) << np.uint32(8 * i) for i in range(4))
+    h = np.full(len(size), 42, np.uint32)
+    block, held = 0, np.flatnonzero(size >= 4)
+    while len(held):
+        x = h[held] ^ mixed(word(starts[held] + 4 * block))
+        h[held] = (x << 13 | x >> 19) * np.uint32(5) + np.uint32(0xE6546B64)
+        block += 1
+        held = held[size[held] >= 4 * (block + 1)]
+    tail = word(starts + size // 4 * 4) & ((np.uint32(1) << (8 * (size % 4)).astype(np.uint32)) - np.uint32(1))
+    h ^= mixed(tail)
+    h ^= size.astype(np.uint32)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> np.uint32(shift)) * np.uint32(factor)
+    return (h ^ h >> np.uint32(16)).view(np.int32) % dim
+
+
+def sentence_gaps(tokens: pa.Array, dim: int) -> pa.Array:
+    """One less the cosine of each sentence and the next, null for the last of its list, by unit vectors of hashed counts over the
+    sentence and its neighbours. ``tokens``: lists of sentences, whose tokens are joined by blanks. Sums run in the order of the dimensions."""
+    sentences, n = tokens.flatten(), len(tokens.flatten())
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    last, first = np.zeros(n, bool), np.zeros(n, bool)
+    last[ends[sizes > 0] - 1] = True
+    first[(ends - sizes)[sizes > 0]] = True
+    out = np.empty(n)
+    for low in range(0, n, SENTENCES):
+        high = min(n, low + SENTENCES)
+        start, end = max(0, low - 1), min(n, high + 2)
+        words = pc.split_pattern(sentences.slice(start, end - start), " ")
+        of, terms = pc.list_parent_indices(words), pc.list_flatten(words)
+        filled = pc.not_equal(terms, "")
+        found = pc.dictionary_encode(terms.filter(filled))
+        place = term_index(found.dictionary, dim)[np.asarray(found.indices)]
+        m = end - start
+        counts = np.bincount(place * m + np.asarray(of.filter(filled)), minlength=dim * m).reshape(dim, m).astype(float)
+        at = np.arange(low, min(high + 1, n))
+        before, after = np.maximum(at - 1 - start, 0), np.minimum(at + 1 - start, m - 1)
+        context = counts[:, at - start] + counts[:, before] * ~first[at] + counts[:, after] * ~last[at]
+        norm = np.sqrt((context * context).sum(0))
+        context /= np.where(norm == 0, 1, norm)
+        own, cross = np.zeros(len(at)), np.zeros(len(at) - 1)
+        for x in context:
+            own += x * x
+            cross += x[:-1] * x[1:]
+        norms = np.sqrt(own[:-1]) * np.sqrt(own[1:])
+        out[low : low + len(cross)] = 1 - np.where(norms == 0, 0.0, cross / np.where(norms == 0, 1, norms))
+    values = pa.array(out, pa.float64(), mask=last)
+    edges = pa.array(np.concatenate(([0], ends)), pa.int32(), mask=np.concatenate((np.asarray(tokens.is_null()), [False])))
+    return pa.ListArray.from_arrays(edges, values)
+
+
 def distance_to_similarity(d: Column) -> Column:
     d = d.cast("double")
     usable = d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf"))

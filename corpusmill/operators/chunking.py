@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions.arrays import unfold
 from corpusmill.functions.splitting import FIXED_SEPARATORS, MARKDOWN_SEPARATORS, SEPARATORS, chunks_column
-from corpusmill.functions.vectors import cosine
+from corpusmill.functions.vectors import sentence_gaps
 from corpusmill.operators import structure as st
-from corpusmill.operators.dense import featurize
 
 # Default sizes.
 SIZE, OVERLAP, MIN_SIZE = 800, 100, 100
@@ -169,24 +169,26 @@ def chunk_semantic(df: DataFrame, percentile: float = 0.9, min_size: int = MIN_S
 
     The distance limit is the given percentile within the document; a group shorter than
     ``min_size`` grows on. Documents with one sentence stay whole. Vectors depend on the sentences alone, so a
-    document is cut the same way in any batch. Other columns come along.
+    document is cut the same way in any batch. Other columns come along. Sentences stay in their row: nothing is shuffled.
     """
-    sentences = F.filter(F.split(F.col(text), r"(?<=[.?!。！？])\s+"), lambda s: T.strip(s) != "")
+    sentences = F.filter(F.split(F.col(text), r"(?<=[.?!。！？])\s+"), lambda s: ~T.is_blank(s))
     rest = [c for c in _rest(df, text) if c != doc]
-    listed = df.select(doc, F.struct(*rest, F.lit(True).alias("__kept")).alias("__rest"), sentences.alias("__s"))
-    context = F.transform(
-        "__s", lambda s, i: F.struct(s.alias("sentence"), F.array_join(F.slice("__s", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " ").alias("context"))
-    )
-    first = F.when(F.col("no") == 0, F.col("__rest")).alias("__rest")
-    rows = unfold(listed, [doc, "__rest"], context, "no", "c").select(doc, first, "no", "c.*")
-    vectored = featurize(rows, dim, "context", idf=False).select(doc, "__rest", "no", "sentence", "vector")
-    by_doc = Window.partitionBy(doc)
-    following = F.lead("vector").over(by_doc.orderBy("no"))
-    gaps = vectored.withColumn("gap", F.when(following.isNotNull(), 1 - cosine(F.col("vector"), following))).drop("vector")
-    limited = gaps.withColumn("limit", F.percentile("gap", percentile).over(by_doc))
-    gathered = limited.groupBy(doc).agg(
-        F.first("__rest", ignorenulls=True).alias("__rest"),
-        F.array_sort(F.collect_list(F.struct("no", "sentence", F.coalesce(F.col("gap") > F.col("limit"), F.lit(False)).alias("cut")))).alias("s"),
+
+    @F.arrow_udf("array<double>")
+    def gaps(tokens: pa.Array) -> pa.Array:
+        return sentence_gaps(tokens, dim)
+
+    listed = df.select(doc, *rest, sentences.alias("__s"))
+    spaced = listed.withColumn("__gaps", gaps(F.transform("__s", lambda s: F.array_join(T.tokenize(s), " "))))
+    placed = spaced.withColumn("__sorted", F.array_sort(F.array_compact("__gaps")))
+    # the exact percentile, between its two neighbours
+    at = (F.size("__sorted") - 1) * F.lit(percentile)
+    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    below, above = F.get("__sorted", low), F.get("__sorted", high)
+    limit = F.when((low == high) | (below == above), below).otherwise((high - at) * below + (at - low) * above)
+    gathered = placed.withColumn("__limit", limit).withColumn(
+        "s",
+        F.zip_with("__s", "__gaps", lambda s, g: F.struct(s.alias("sentence"), F.coalesce(g > F.col("__limit"), F.lit(False)).alias("cut"))),
     )
     state = "struct<open:string,done:array<string>>"
     start = F.struct(F.lit(None).cast("string").alias("open"), F.array().cast("array<string>").alias("done")).cast(state)
@@ -203,8 +205,7 @@ def chunk_semantic(df: DataFrame, percentile: float = 0.9, min_size: int = MIN_S
         "s", start, step,
         lambda acc: F.when(acc["open"].isNotNull(), F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]),
     )
-    named = gathered.withColumn("__g", groups).select(doc, *[F.col("__rest")[c].alias(c) for c in rest], "__g")
-    return unfold(named, [doc, *rest], "__g", "chunk_index", "text")
+    return unfold(gathered.withColumn("__g", groups), [doc, *rest], "__g", "chunk_index", "text")
 
 
 UNSPLIT = ("outline", "row_group", "code")

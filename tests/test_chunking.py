@@ -1,6 +1,8 @@
 from hypothesis import given, settings
 from hypothesis import strategies as hs
 
+import pyarrow as pa
+
 from corpusmill.functions.splitting import SEPARATORS, split_protected, split_text
 from corpusmill.operators import chunking as ch
 from corpusmill.plans.ingest import ingest
@@ -96,3 +98,26 @@ def test_auto_chunk_reads_markdown_by_file_type(spark):
     assert not by(2, "code") and not by(3, "code") and "Title" not in by(2, "heading")
     whole = ch.auto_chunk(df.filter("doc_id = 1"), markdown=True).orderBy("structure_order", "chunk_part").collect()
     assert whole == [r for r in got if r["doc_id"] == 1]
+
+
+def test_semantic_chunks_stay_in_their_rows(spark, monkeypatch):
+    """Gaps are those of hashed vectors of the contexts, to the last bit; no sentence or vector is shuffled."""
+    from pyspark.sql import functions as F
+
+    from corpusmill.functions import vectors
+    from corpusmill.operators.dense import featurize
+
+    monkeypatch.setattr(vectors, "SENTENCES", 3, raising=False)
+    lists = [["a bb ccc dddd eeeee", "bb 12345678 中 文", "", "a a a zzzzzzzzz"], [], ["only one"], None, ["", ""], ["x y", "x y", "y z", "zz bb", "a"]]
+    got = vectors.sentence_gaps(pa.array(lists, pa.list_(pa.string())), 128).to_pylist()
+    rows = []
+    for d, s in enumerate(lists):
+        rows += [(d, i, " ".join(s[max(0, i - 1) : i + 2])) for i in range(len(s or []))]
+    vectored = featurize(spark.createDataFrame(rows, "d int, i int, text string"), 128, idf=False).select("d", "i", "vector")
+    following = vectored.select("d", (F.col("i") - 1).alias("i"), F.col("vector").alias("next"))
+    pairs = vectored.join(following, ["d", "i"]).select("d", "i", (1 - vectors.cosine(F.col("vector"), F.col("next"))).alias("gap"))
+    want = {(r.d, r.i): r.gap for r in pairs.collect()}
+    assert got == [None if s is None else [want.get((d, i)) for i in range(len(s))] for d, s in enumerate(lists)] and len(want) == 8
+    df = spark.createDataFrame([(1, "Cats purr. Dogs bark. Stocks fell."), (2, None)], "doc_id long, text string")
+    plan = ch.chunk_semantic(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
