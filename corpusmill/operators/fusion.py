@@ -121,7 +121,7 @@ def structure_search(queries: DataFrame, scoped_chunks: DataFrame, k: int = 18,
     """Outline first, then body or headings (by intent), longer first.
 
     ``queries(query_id, query, query_intent, scope_id)``; ``scoped_chunks(scope_id, chunk_id,
-    element_type, text)``. The best ``k`` of a scope are found once for each of the two orders,
+    element_type, text)``, or ``chars`` in place of ``text``. The best ``k`` of a scope are found in one pass for both orders,
     so a scope of any size is cut before it meets the queries that use it.
     """
     asked = queries.filter(F.col("query_intent").isin(*GLOBAL_INTENTS)).select(
@@ -130,18 +130,12 @@ def structure_search(queries: DataFrame, scoped_chunks: DataFrame, k: int = 18,
     )
     kind = F.col("element_type")
     usable = scoped_chunks.filter(kind.isin("outline", "heading", *BODY_ELEMENTS)).select(
-        "scope_id", "chunk_id", kind, F.length("text").alias("chars")
+        "scope_id", "chunk_id", kind, F.col("chars") if "chars" in scoped_chunks.columns else F.length("text").alias("chars"),
+        F.explode(F.array(F.lit(True), F.lit(False))).alias("body_first"),
     )
-
-    def ordered(body_first: bool) -> DataFrame:
-        body, head = (1, 2) if body_first else (2, 1)
-        priority = (
-            F.when(kind == "outline", 0).when(kind.isin(*BODY_ELEMENTS), body).when(kind == "heading", head).otherwise(3)
-        )
-        best = top_k(usable, ["scope_id"], [priority, F.desc("chars"), F.asc("chunk_id")], k)
-        return best.withColumn("body_first", F.lit(body_first))
-
-    best = ordered(True).unionByName(ordered(False))
+    body = F.when(F.col("body_first"), 1).otherwise(2)
+    priority = F.when(kind == "outline", 0).when(kind.isin(*BODY_ELEMENTS), body).when(kind == "heading", 3 - body).otherwise(3)
+    best = top_k(usable, ["scope_id", "body_first"], [priority, F.desc("chars"), F.asc("chunk_id")], k)
     score = F.greatest(F.lit(0.0), 1.0 - (F.col("rank") - 1) * 0.02)
     return asked.join(best, ["scope_id", "body_first"]).select(
         "query_id", "chunk_id", "rank", score.alias("score"), "query_intent"

@@ -216,6 +216,23 @@ def scope_members(scopes: DataFrame, chunks: DataFrame, id: str = "chunk_id") ->
     )
 
 
+def _clauses() -> Column:
+    """What a scope asks for, as text; alike for scopes that differ only in the order of their lists."""
+    return F.to_json(F.struct(
+        "session_id", F.array_sort(F.array_distinct("document_ids")).alias("d"), F.array_sort(F.array_distinct("sources")).alias("s"),
+    ))
+
+
+def shared_scopes(queries: DataFrame, scopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries and scopes where one scope stands for all with the same clauses, and none is left that no query asks for."""
+    asked = scopes.join(queries.select("scope_id").distinct(), "scope_id", "left_semi").withColumn("__clauses", _clauses())
+    one = asked.groupBy("__clauses").agg(F.min("scope_id").alias("__one"))
+    named = cut_lineage(asked.join(one, "__clauses").drop("__clauses"))
+    kept = named.filter(F.col("scope_id") == F.col("__one")).drop("__one")
+    renamed = queries.join(named.select("scope_id", "__one"), "scope_id", "left")
+    return renamed.withColumn("scope_id", F.coalesce("__one", "scope_id")).select(*queries.columns), kept
+
+
 def bm25_topk_scoped(
     queries: DataFrame,
     scopes: DataFrame,
@@ -230,12 +247,7 @@ def bm25_topk_scoped(
     ``queries(query_id, query, scope_id)``; statistics are computed once per distinct set of
     clauses, not per query.
     """
-    keyed = scopes.withColumn(
-        "scope_key",
-        F.xxhash64(F.to_json(F.struct(
-            "session_id", F.array_sort(F.array_distinct("document_ids")).alias("d"), F.array_sort(F.array_distinct("sources")).alias("s"),
-        ))),
-    )
+    keyed = scopes.withColumn("scope_key", F.xxhash64(_clauses()))
     distinct = keyed.dropDuplicates(["scope_key"]).drop("scope_id").withColumnRenamed("scope_key", "scope_id")
     members = scope_members(distinct, chunks, id).withColumnRenamed("scope_id", "scope_key")
     postings = build_block_postings(chunks, None, id, text) if postings is None else postings
@@ -243,7 +255,8 @@ def bm25_topk_scoped(
     members = cut_lineage(
         members.join(numbered, id).groupBy("shard", "scope_key").agg(F.collect_list("number").alias("numbers"))
     )
-    everything = _dealt(postings.docs.unionByName(postings.terms, allowMissingColumns=True))
+    counted = postings.terms.select("shard", "term", "numbers", "tfs")
+    everything = _dealt(postings.docs.unionByName(counted, allowMissingColumns=True))
     inside = everything.groupBy("shard").cogroup(_dealt(members).groupBy("shard"))
     vocabulary = cut_lineage(
         inside.applyInArrow(_scope_counts, "scope_key long, term string, df long, cf long").groupBy("scope_key", "term").agg(
@@ -291,7 +304,7 @@ def _scope_counts(table: pa.Table, inside: pa.Table) -> pa.Table:
     scopes = np.repeat(np.arange(len(out)), np.array([len(x[1]) for x in out], np.int64))
     return pa.table({
         "scope_key": pa.array([x[0] for x in out], pa.int64()).take(pa.array(scopes)),
-        "term": pa.array(shard.terms, pa.string()).take(pa.array(held)),
+        "term": shard.terms.take(pa.array(held)),
         "df": np.concatenate([x[2] for x in out]) if out else np.empty(0, np.int64),
         "cf": np.concatenate([x[3] for x in out]) if out else np.empty(0, np.int64),
     })

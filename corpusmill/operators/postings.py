@@ -8,6 +8,7 @@ the blocks with the best bounds are scored first, and of the rest only those who
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -178,8 +179,21 @@ def part_score(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _unblobbed(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all blobs, and where those of each begin and end; read in place, without an object for each blob."""
+    wide = np.int64 if pa.types.is_large_binary(blobs.type) else np.int32
+    ends = np.frombuffer(blobs.buffers()[1], wide)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64) if len(blobs) else np.zeros(1, np.int64)
+    held = blobs.buffers()[2]
+    low, high = int(ends[0]), int(ends[-1])
+    return np.frombuffer(held, "<i4", (high - low) // 4, low) if high > low else np.empty(0, "<i4"), (ends - low) // 4
+
+
 class Shard:
-    """A shard's rows in one task."""
+    """A shard's rows in one task; of the terms' lists those that were sent."""
 
     def __init__(self, table: pa.Table):
         whole = np.asarray(table.column("term").is_null())
@@ -189,13 +203,15 @@ class Shard:
         self.block_docs = row.column("block_docs")[0].as_py()
         self.n_blocks = -(-len(self.lengths) // self.block_docs)
         terms = table.filter(pa.array(~whole))
-        self.terms = terms.column("term").to_pylist()
-        self.at = {t: i for i, t in enumerate(self.terms)}
+        self.terms = _whole(terms.column("term"))
         self.lists, self.ends = {}, {}
         for c in _LISTS:
-            held = terms.column(c).to_pylist()
-            self.lists[c] = ints(b"".join(held))
-            self.ends[c] = np.cumsum([0, *map(len, held)]) // 4
+            if c in table.column_names:
+                self.lists[c], self.ends[c] = _unblobbed(_whole(terms.column(c)))
+
+    @functools.cached_property
+    def at(self) -> dict[str, int]:
+        return {t: i for i, t in enumerate(self.terms.to_pylist())}
 
     def of(self, name: str, term: int) -> np.ndarray:
         return self.lists[name][self.ends[name][term] : self.ends[name][term + 1]]

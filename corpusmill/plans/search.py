@@ -59,14 +59,18 @@ def single_step(
     has_limit = "retrieval_top_k" in queries.columns
     rest, structural = queries, None
     if scopes is not None:
+        # read by free and by scoped queries
+        postings = _with_postings(index).postings
+        rest, scopes = lexical.shared_scopes(queries, scopes)
         members = lexical.scope_members(scopes, chunks)
-        scoped = queries.filter("scope_id is not null")
+        scoped = rest.filter("scope_id is not null")
         if "element_type" in chunks.columns:
-            held = members.join(chunks.select("chunk_id", "element_type", "text"), "chunk_id")
+            # lengths stand for the texts, which would be repeated for each scope
+            held = members.join(chunks.select("chunk_id", "element_type", F.length("text").alias("chars")), "chunk_id")
             found = fusion.structure_search(routing.query_intent(scoped, pack), held)
             # few rows, used several times below: written once
             structural = cut_lineage(found.withColumn("match_type", F.lit("keyword")))
-            rest = queries.join(structural.select("query_id").distinct(), "query_id", "left_anti")
+            rest = rest.join(structural.select("query_id").distinct(), "query_id", "left_anti")
         inside = rest.filter("scope_id is not null")
         free = rest.filter("scope_id is null")
         words = lexical.bm25_topk(free, chunks, BM25_K, postings=postings).unionByName(

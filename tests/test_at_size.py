@@ -7,7 +7,9 @@ import weakref
 import pyarrow as pa
 
 from corpusmill.functions import splitting
+from corpusmill.functions.rule_packs import EN
 from corpusmill.operators import lexical, review
+from corpusmill.plans import search
 
 
 class Chunks(list):
@@ -66,3 +68,34 @@ def test_overlaps_of_few_queries_are_cut_in_the_tasks(spark, monkeypatch):
     monkeypatch.setattr(lexical, "BROADCAST_QUERIES", 0)
     assert got == sorted((r.query_id, r["rank"], r.entry_id, round(r.score, 9)) for r in lexical.jaccard_topk(queries, entries, 4).collect())
     assert len(got) == 16
+
+
+def test_scopes_are_searched_once_and_only_if_asked_for(spark, monkeypatch):
+    scopes = spark.createDataFrame(
+        [(1, "s", None, ["b", "a"]), (2, "s", None, ["a", "b", "a"]), (3, None, [1, 2], None), (4, "t", None, None), (5, "u", None, None)],
+        "scope_id long, session_id string, document_ids array<long>, sources array<string>",
+    )
+    queries = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 9), (5, None)], "query_id long, scope_id long")
+    named, kept = lexical.shared_scopes(queries, scopes)
+    assert named.columns == queries.columns
+    assert {r.query_id: r.scope_id for r in named.collect()} == {1: 1, 2: 1, 3: 3, 4: 9, 5: None}
+    assert sorted(r.scope_id for r in kept.collect()) == [1, 3]
+
+    chunks = spark.range(60).selectExpr(
+        "id as chunk_id", "concat('word w', id % 7, ' w', id % 5, repeat(' pad', cast(id % 4 as int))) as text", "if(id % 2 = 0, 's', 't') as session_id",
+        "id as document_id", "if(id % 3 = 0, 'a', 'c') as source", "if(id % 4 < 2, 'section', 'heading') as element_type",
+    )
+    vectors = spark.range(60).selectExpr("id as chunk_id", "array(id / 60D, 1D) as vector")
+    asked = spark.range(8).selectExpr(
+        "id as query_id", "if(id < 6, id, null) as scope_id", "concat(if(id % 2 = 0, 'list all of ', ''), 'w', id % 7, ' word') as query", "array(id / 8D, 1D) as vector"
+    )
+    built, build = [], search.build_block_postings
+    monkeypatch.setattr(search, "build_block_postings", lambda *a, **k: built.append(1) or build(*a, **k))
+    monkeypatch.setattr(lexical, "build_block_postings", lambda *a, **k: built.append(1) or build(*a, **k))
+    hits = search.single_step(asked, search.Index(chunks, vectors), scopes, pack=EN).collect()
+    assert len(built) == 1
+    inside = {1: lambda c: c % 6 == 0, 2: lambda c: c % 6 == 0, 3: lambda c: c in (1, 2), 4: lambda c: c % 2 == 1, 5: lambda c: False}
+    assert {h.query_id for h in hits} == {1, 2, 3, 4, 6, 7}
+    assert all(inside.get(h.query_id, lambda c: True)(h.chunk_id) for h in hits)
+    # headings first, all of one length, so by id
+    assert [h.chunk_id for h in sorted(hits, key=lambda h: h["rank"]) if h.query_id == 4 and h.match_type == "keyword"][:2] == [3, 7]
