@@ -28,6 +28,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 #: Documents and tokens of a shard at most, but for single longer documents; numbers of a block; blocks that are scored first.
 SHARD_DOCS, SHARD_TOKENS, BLOCK_DOCS, FIRST_BLOCKS = 16_384, 1_000_000, 64, 4
+#: Rows of a batch that are copied at once.
+PIECE_ROWS = 512
 
 
 def ints(blob: bytes) -> np.ndarray:
@@ -81,6 +83,12 @@ def _token_counts(joined: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(pc.count_substring(filled, " ")).astype(np.int64) + (np.asarray(pc.binary_length(filled)) > 0)
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Copies of ``PIECE_ROWS`` rows each, so that a shard that waits for more rows does not hold the whole batches that it takes them from."""
+    for low in range(0, len(batch), PIECE_ROWS):
+        yield batch.take(pa.array(np.arange(low, min(len(batch), low + PIECE_ROWS))))
+
+
 def _shard(number: int, batches: list[pa.RecordBatch], schema: pa.Schema, block_docs: int) -> pa.RecordBatch:
     """The rows of a shard: first its documents, then its terms in order; blocks of ``block_docs`` documents."""
     table = pa.Table.from_batches(batches)
@@ -97,7 +105,10 @@ def _shard(number: int, batches: list[pa.RecordBatch], schema: pa.Schema, block_
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     key = rank[np.asarray(found.indices)] * max(1, len(ids)) + np.repeat(np.arange(len(ids)), lengths) if len(found) else np.empty(0, np.int64)
+    # the longest lists are not needed any more
+    found, tokens, table, flat = found.dictionary, None, None, None
     pair, tf = np.unique(key, return_counts=True)
+    del key
     term, doc = pair // max(1, len(ids)), pair % max(1, len(ids))
     block = doc // block_docs
     first = np.flatnonzero(np.concatenate(([True], (np.diff(term) != 0) | (np.diff(block) != 0)))) if len(pair) else np.empty(0, np.int64)
@@ -111,7 +122,7 @@ def _shard(number: int, batches: list[pa.RecordBatch], schema: pa.Schema, block_
     ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
     whole = [ids, _blobs(np.array([0, len(lengths)]), lengths)]
     n = len(order)
-    columns = [pa.repeat(pa.scalar(number, pa.int64()), n + 1), pa.concat_arrays([pa.nulls(1, pa.string()), found.dictionary.take(pa.array(order))])]
+    columns = [pa.repeat(pa.scalar(number, pa.int64()), n + 1), pa.concat_arrays([pa.nulls(1, pa.string()), found.take(pa.array(order))])]
     columns.append(pa.concat_arrays([pa.array([block_docs], pa.int32()), pa.nulls(n, pa.int32())]))
     columns += [pa.concat_arrays([pa.nulls(1, x.type), x]) for x in counts + lists]
     columns += [pa.concat_arrays([x, pa.nulls(n, x.type)]) for x in whole]
@@ -127,7 +138,7 @@ def build_block_postings(
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, held, docs, tokens, schema = TaskContext.get().partitionId(), 0, [], 0, 0, None
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             size = _token_counts(batch.column(1))
             if schema is None:
                 fields = [("shard", pa.int64()), ("term", pa.string()), ("block_docs", pa.int32()), ("df", pa.int64()), ("cf", pa.int64())]
@@ -142,8 +153,11 @@ def build_block_postings(
                     held.append(batch.slice(low, high - low))
                     docs, tokens, low = docs + high - low, tokens + int(size[low:high].sum()), high
                 if low < len(size):
-                    yield _shard(part << 32 | count, held, schema, block_docs)
+                    made = _shard(part << 32 | count, held, schema, block_docs)
                     count, held, docs, tokens = count + 1, [], 0, 0
+                    pa.default_memory_pool().release_unused()
+                    yield made
+                    del made
         if held:
             yield _shard(part << 32 | count, held, schema, block_docs)
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from corpusmill.functions import splitting
 from corpusmill.functions.rule_packs import EN
-from corpusmill.operators import lexical, review
+from corpusmill.operators import lexical, postings, review
 from corpusmill.plans import search
 
 
@@ -99,3 +99,11 @@ def test_scopes_are_searched_once_and_only_if_asked_for(spark, monkeypatch):
     assert all(inside.get(h.query_id, lambda c: True)(h.chunk_id) for h in hits)
     # headings first, all of one length, so by id
     assert [h.chunk_id for h in sorted(hits, key=lambda h: h["rank"]) if h.query_id == 4 and h.match_type == "keyword"][:2] == [3, 7]
+
+
+def test_rows_of_an_unfinished_shard_do_not_hold_their_batch():
+    whole = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(["word " * 50, None] * 1000)], ["id", "tokens"])
+    pieces = list(postings._pieces(whole))
+    assert pa.Table.from_batches(pieces).to_pylist() == whole.to_pylist()
+    assert max(len(p) for p in pieces) <= postings.PIECE_ROWS < len(whole)
+    assert all(p.get_total_buffer_size() < whole.get_total_buffer_size() / 2 for p in pieces)
