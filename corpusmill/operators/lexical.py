@@ -101,23 +101,26 @@ def _best_of_shards(rows: DataFrame, wanted: DataFrame, k: int, id: str, kinds:
     for r in wanted.collect():
         weights[r.query_id][r.term] = r.weight
         scope_of[r.query_id], mean_of[r.query_id] = r.scope_key, r.mean_length
-    shared = rows.sparkSession.sparkContext.broadcast((dict(weights), scope_of, mean_of))
+    # queries of one scope are scored together; phrasings of one question, whose ids begin alike, share most words
+    together: dict = defaultdict(list)
+    for query in sorted(weights, key=str):
+        together[scope_of[query]].append(query)
+    shared = rows.sparkSession.sparkContext.broadcast((dict(weights), dict(together), mean_of))
     asked = to_arrow_type(wanted.schema["query_id"].dataType)
     schema = f"query_id {kinds['query_id']}, {id} {kinds[id]}, score double, held long, scored long"
 
     def search(table: pa.Table, scopes: dict[int, np.ndarray] | None) -> pa.Table:
-        weights, scope_of, mean_of = shared.value
+        weights, together, mean_of = shared.value
         shard, out = Shard(table), []
-        for query, terms in weights.items():
-            if scopes is not None and scope_of[query] not in scopes:
-                continue
+        for scope, queries in together.items():
             inside = None
             if scopes is not None:
+                if scope not in scopes:
+                    continue
                 inside = np.zeros(len(shard.lengths), bool)
-                inside[scopes[scope_of[query]]] = True
-            number, score, held, scored = shard.best(terms, mean_of[query], k, inside)
-            if len(number):
-                out.append((query, number, score, held, scored))
+                inside[scopes[scope]] = True
+            found = shard.best([weights[q] for q in queries], mean_of[queries[0]], k, inside)
+            out += [(q, *x) for q, x in zip(queries, found, strict=True) if len(x[0])]
         size = [len(x[1]) for x in out]
         numbers = np.concatenate([x[1] for x in out]) if out else np.empty(0, np.int64)
         columns = {

@@ -28,6 +28,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 #: Documents and tokens of a shard at most, but for single longer documents; numbers of a block; blocks that are scored first.
 SHARD_DOCS, SHARD_TOKENS, BLOCK_DOCS, FIRST_BLOCKS = 16_384, 1_000_000, 64, 4
+#: Queries that are scored together at most, and numbers in the table of their scores or weights.
+GROUP_QUERIES, GROUP_CELLS = 128, 2_000_000
 #: Rows of a batch that are copied at once.
 PIECE_ROWS = 512
 
@@ -193,6 +195,15 @@ def part_score(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _product(weights: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray, width: int) -> np.ndarray:
+    """``weights`` times the matrix of ``width`` columns with these values; only rows that have some are made."""
+    has = np.zeros(weights.shape[1], bool)
+    has[row] = True
+    dense = np.zeros((int(has.sum()), width))
+    dense[(np.cumsum(has) - 1)[row], column] = value
+    return weights[:, has] @ dense
+
+
 def _whole(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
@@ -230,36 +241,90 @@ class Shard:
     def of(self, name: str, term: int) -> np.ndarray:
         return self.lists[name][self.ends[name][term] : self.ends[name][term + 1]]
 
-    def best(self, weights: dict[str, float], mean: float, k: int, members: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
-        """(numbers, scores, blocks with a term, blocks scored) of the k best documents, ties by id; ``members``: which ones count."""
-        terms = [(self.at[t], w) for t, w in weights.items() if t in self.at]
-        bounds = np.zeros(self.n_blocks)
-        for t, w in terms:
-            bounds[self.of("blocks", t)] += max(w, 0.0) * part_score(self.of("max_tf", t), self.of("min_length", t), mean)
+    @functools.cached_property
+    def by_document(self) -> tuple[np.ndarray, ...]:
+        """(numbers, terms, counts) in order of documents, then terms, and where those of each block begin and end."""
+        number = self.lists["numbers"].astype(np.int64)
+        order = np.argsort(number, kind="stable")
+        number, term = number[order], np.repeat(np.arange(len(self.terms)), np.diff(self.ends["numbers"]))[order]
+        return number, term, self.lists["tfs"][order], np.searchsorted(number, np.arange(self.n_blocks + 1) * self.block_docs)
+
+    def best(self, asked: list[dict[str, float]], mean: float, k: int, members: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
+        """For the weights of each query: (numbers, scores, blocks with a term, blocks scored) of the k best documents, ties by id; ``members``: which ones count.
+
+        A block is scored for all queries of a group that need it by one product of their weights and its documents.
+        """
+        weights = [{self.at[t]: w for t, w in terms.items() if t in self.at} for terms in asked]
+        found, low = [], 0
+        while low < len(weights):
+            terms, high = set(weights[low]), low + 1
+            while high < min(len(weights), low + GROUP_QUERIES):
+                more = len(weights[high].keys() - terms)
+                if (high + 1 - low) * max(len(terms) + more, len(self.lengths)) > GROUP_CELLS:
+                    break
+                terms.update(weights[high])
+                high += 1
+            found += self._best_of(weights[low:high], np.array(sorted(terms), np.int64), mean, k, members)
+            low = high
+        return found
+
+    def _best_of(self, asked: list[dict[int, float]], terms: np.ndarray, mean: float, k: int, members: np.ndarray | None) -> list:
+        n, docs = len(asked), len(self.lengths)
+        local = np.full(len(self.terms), -1)
+        local[terms] = np.arange(len(terms))
+        weights = np.zeros((n, len(terms)))
+        for q, held in enumerate(asked):
+            weights[q, local[list(held)]] = list(held.values())
+        row = np.repeat(local, np.diff(self.ends["blocks"]))
+        at = row >= 0
+        most = part_score(self.lists["max_tf"][at], self.lists["min_length"][at], mean)
+        bounds = _product(np.maximum(weights, 0), row[at], self.lists["blocks"][at], most, self.n_blocks)
         if members is not None:
-            bounds[np.bincount(np.flatnonzero(members) // self.block_docs, minlength=self.n_blocks) == 0] = 0
-        scores = np.zeros(len(self.lengths))
-        done = np.zeros(self.n_blocks, bool)
+            bounds[:, np.bincount(np.flatnonzero(members) // self.block_docs, minlength=self.n_blocks) == 0] = 0
+        number, term, tf, ends = self.by_document
+        scores = np.zeros((n, docs))
+        done = np.zeros((n, self.n_blocks), bool)
 
         def score(chosen: np.ndarray) -> np.ndarray:
-            for t, w in terms:
-                number = self.of("numbers", t)
-                at = chosen[number // self.block_docs]
-                number = number[at]
-                scores[number] += w * part_score(self.of("tfs", t)[at], self.lengths[number], mean)
+            for b in np.flatnonzero(chosen.any(axis=0)):
+                row = local[term[ends[b] : ends[b + 1]]]
+                at = np.flatnonzero(row >= 0)
+                held, first, last = number[ends[b] + at], b * self.block_docs, min(docs, (b + 1) * self.block_docs)
+                part, q = part_score(tf[ends[b] + at], self.lengths[held], mean), np.flatnonzero(chosen[:, b])
+                made = _product(weights[q], row[at], held - first, part, last - first)
+                scores[q, first:last] = made if members is None else np.where(members[first:last], made, 0)
             done[chosen] = True
-            real = scores if members is None else np.where(members, scores, 0)
-            return np.flatnonzero(real > 0)
-
-        held = int((bounds > 0).sum())
-        first = np.zeros(self.n_blocks, bool)
-        first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
-        found = score(first & (bounds > 0))
-        least = np.partition(scores[found], len(found) - k)[len(found) - k] if len(found) >= k else 0.0
-        found = score((bounds > 0) & ~done & (bounds >= least - 1e-8))
-        if len(found) > k:
-            near = np.round(scores[found], 9)
-            found = found[near >= np.partition(near, len(near) - k)[len(near) - k]]
-        order = pc.sort_indices(pa.table({"s": -np.round(scores[found], 9), "id": self.ids.take(pa.array(found))}), [("s", "ascending"), ("id", "ascending")])
-        found = found[np.asarray(order)[:k]]
-        return found, scores[found], held, int((done & (bounds > 0)).sum())
+            # the k-th score of each query, or 0
+            return np.maximum(np.partition(scores, docs - k, axis=1)[:, docs - k], 0) if docs >= k else np.zeros(n)
+
+        first = np.zeros((n, self.n_blocks), bool)
+        np.put_along_axis(first, np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        least = score(first & (bounds > 0))
+        least = score((bounds > 0) & ~done & (bounds >= least[:, None] - 1e-8))
+        query, found = np.nonzero((scores > 0) & (scores >= least[:, None] - 1e-8))
+        exact = self._scores(asked, query, found, mean)
+        query, found, exact = query[exact > 0], found[exact > 0], exact[exact > 0]
+        order = pc.sort_indices(
+            pa.table({"q": query, "s": -np.round(exact, 9), "id": self.ids.take(pa.array(found))}), [("q", "ascending"), ("s", "ascending"), ("id", "ascending")]
+        )
+        query, found, exact = query[order], found[order], exact[order]
+        ends = np.searchsorted(query, np.arange(n + 1))
+        held, made = (bounds > 0).sum(axis=1), (done & (bounds > 0)).sum(axis=1)
+        return [
+            (found[low : min(low + k, high)], exact[low : min(low + k, high)], int(held[q]), int(made[q]))
+            for q, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True))
+        ]
+
+    def _scores(self, asked: list[dict[int, float]], query: np.ndarray, found: np.ndarray, mean: float) -> np.ndarray:
+        """Scores of single documents, added up in the order of a query's terms, so that copies of a text tie in every shard."""
+        number, term, tf, _ = self.by_document
+        key, total = number * len(self.terms) + term, np.zeros(len(query))
+        ends = np.searchsorted(query, np.arange(len(asked) + 1))
+        for terms, low, high in zip(asked, ends[:-1], ends[1:], strict=True):
+            if low == high:
+                continue
+            wanted = found[low:high] * len(self.terms) + np.array(list(terms), np.int64)[:, None]
+            at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            part = np.where(key[at] == wanted, part_score(tf[at], self.lengths[found[low:high]], mean), 0)
+            total[low:high] = np.cumsum(np.array(list(terms.values()))[:, None] * part, axis=0)[-1]
+        return total

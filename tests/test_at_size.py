@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import weakref
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
 from corpusmill.functions import splitting
 from corpusmill.functions.rule_packs import EN
@@ -107,3 +109,32 @@ def test_rows_of_an_unfinished_shard_do_not_hold_their_batch():
     assert pa.Table.from_batches(pieces).to_pylist() == whole.to_pylist()
     assert max(len(p) for p in pieces) <= postings.PIECE_ROWS < len(whole)
     assert all(p.get_total_buffer_size() < whole.get_total_buffer_size() / 2 for p in pieces)
+
+
+@pytest.mark.parametrize("group, cells", [(128, 2_000_000), (3, 2_000_000), (128, 900)])
+def test_a_block_is_scored_once_for_many_queries(spark, monkeypatch, group, cells):
+    monkeypatch.setattr(postings, "GROUP_QUERIES", group, raising=False)
+    monkeypatch.setattr(postings, "GROUP_CELLS", cells, raising=False)
+    # every text three times, some empty
+    texts = ["" if i % 50 == 0 else f"all w{i % 7} w{i % 5} " + "x y " * (i % 11) for i in range(100)] * 3
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    kept = postings.build_block_postings(chunks.coalesce(1), block_docs=4)
+    shard = postings.Shard(kept.docs.unionByName(kept.terms, allowMissingColumns=True).toArrow())
+    asked = [{}, {"none": 1.0}, {"x": -1.0, "all": 0.5}] + [{"w": 0.3, "all": 0.1 + i / 100, "x": 1.5, "y": 0.7 / (i + 1), "5": 2.0, "3": -0.2} for i in range(60)]
+    words = [(t or "").replace("w", "w ").split() for t in texts]
+    want = []
+    for terms in asked:
+        scores = [sum(w * postings.part_score(d.count(t), len(d), 12.0) for t, w in terms.items() if t in d) for d in words]
+        want.append([(i, round(scores[i], 9)) for i in sorted(range(len(texts)), key=lambda i: (-round(scores[i], 9), i)) if scores[i] > 0][:10])
+    calls, part = [], postings.part_score
+    monkeypatch.setattr(postings, "part_score", lambda *a: calls.append(1) or part(*a))
+    found = shard.best(asked, 12.0, 10)
+    assert [[(i, round(s, 9)) for i, s in zip(np.asarray(shard.ids)[n].tolist(), scores, strict=True)] for n, scores, _, _ in found] == want
+    assert all(scored <= held for _, _, held, scored in found) and sum(x[3] for x in found) < sum(x[2] for x in found)
+    if (group, cells) == (128, 2_000_000):
+        # at most twice for a block, and once for each query's best and all bounds
+        assert len(calls) <= 2 * shard.n_blocks + len(asked) + 1 < len(asked) * 6
+    odd = np.arange(len(shard.lengths)) % 2 == 1
+    for (number, scores, _, _), (every, best, _, _) in zip(shard.best(asked, 12.0, 5, odd), shard.best(asked, 12.0, 1000), strict=True):
+        inside = odd[every]
+        assert np.array_equal(number, every[inside][:5]) and np.array_equal(scores, best[inside][:5])
