@@ -19,7 +19,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions import text as T
 from corpusmill.functions.session import scratch_dir
 from corpusmill.sources.index import exists, index_generation, index_read
 
@@ -79,10 +78,34 @@ def _blobs(starts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * 4).astype(np.int32)), data])
 
 
-def _token_counts(joined: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Tokens of texts whose tokens are joined by blanks."""
-    filled = pc.fill_null(joined, "")
-    return np.asarray(pc.count_substring(filled, " ")).astype(np.int64) + (np.asarray(pc.binary_length(filled)) > 0)
+#: Kinds of bytes: letters, digits, first bytes of three that may begin a CJK character.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[ord("a") : ord("z") + 1], _KINDS[ord("0") : ord("9") + 1], _KINDS[0xE4:0xEA] = 1, 2, 3
+
+
+def _tokens(lowered: pa.Array) -> pa.Array:
+    """A list for each of these lower-cased texts of the tokens that ``text.tokenize`` finds there; found on all bytes at once."""
+    texts = pc.fill_null(lowered.cast(pa.string()), "")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = texts.buffers()[2]
+    data = np.frombuffer(b"" if raw is None else raw, np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    kind = _KINDS[data]
+    lead = np.flatnonzero(kind == 3)
+    # U+4E00, where these characters begin, is E4 B8 80, and U+9FFF, the last, E9 BF BF
+    outside = lead[(data[lead] == 0xE4) & (data[lead + 1] < 0xB8)]
+    kind[outside] = 0
+    lead = lead[kind[lead] == 3]
+    kind[lead + 1] = kind[lead + 2] = 3
+    first = np.ones(len(kind), bool)
+    first[1:] = kind[1:] != kind[:-1]
+    first[ends[ends < len(first)]] = True
+    first[lead] = True
+    held = kind > 0
+    starts = np.flatnonzero(first & held)
+    offsets = np.append(np.flatnonzero(first[held]), int(held.sum())).astype(np.int32)
+    tokens = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[held]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, ends), pa.int32()), tokens)
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -94,13 +117,12 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _shard(number: int, batches: list[pa.RecordBatch], schema: pa.Schema, block_docs: int) -> pa.RecordBatch:
     """The rows of a shard: first its documents, then its terms in order; blocks of ``block_docs`` documents."""
     table = pa.Table.from_batches(batches)
-    lengths = _token_counts(table.column(1))
+    lengths = np.asarray(pc.list_value_length(table.column(1))).astype(np.int64)
     # Documents of like length share a block, which brings its bound close to their scores.
     order = np.argsort(lengths, kind="stable")
     table, lengths = table.take(pa.array(order)).combine_chunks(), lengths[order]
     ids, tokens = table.column(0).combine_chunks(), table.column(1).combine_chunks()
-    flat = pc.list_flatten(pc.split_pattern(pc.fill_null(tokens, ""), " "))
-    found = pc.dictionary_encode(flat.filter(pc.not_equal(flat, "")))
+    found = pc.dictionary_encode(tokens.flatten())
     if isinstance(found, pa.ChunkedArray):
         found = found.combine_chunks()
     order = np.asarray(pc.sort_indices(found.dictionary)).astype(np.int64)
@@ -108,7 +130,7 @@ def _shard(number: int, batches: list[pa.RecordBatch], schema: pa.Schema, block_
     rank[order] = np.arange(len(order))
     key = rank[np.asarray(found.indices)] * max(1, len(ids)) + np.repeat(np.arange(len(ids)), lengths) if len(found) else np.empty(0, np.int64)
     # the longest lists are not needed any more
-    found, tokens, table, flat = found.dictionary, None, None, None
+    found, tokens, table = found.dictionary, None, None
     pair, tf = np.unique(key, return_counts=True)
     del key
     term, doc = pair // max(1, len(ids)), pair % max(1, len(ids))
@@ -141,7 +163,8 @@ def build_block_postings(
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, held, docs, tokens, schema = TaskContext.get().partitionId(), 0, [], 0, 0, None
         for batch in (piece for whole in batches for piece in _pieces(whole)):
-            size = _token_counts(batch.column(1))
+            batch = pa.RecordBatch.from_arrays([batch.column(0), _tokens(batch.column(1))], ["id", "tokens"])
+            size = np.asarray(pc.list_value_length(batch.column(1))).astype(np.int64)
             if schema is None:
                 fields = [("shard", pa.int64()), ("term", pa.string()), ("block_docs", pa.int32()), ("df", pa.int64()), ("cf", pa.int64())]
                 fields += [*[(c, pa.binary()) for c in _LISTS], ("ids", pa.list_(batch.column(0).type)), ("lengths", pa.binary())]
@@ -163,8 +186,7 @@ def build_block_postings(
         if held:
             yield _shard(part << 32 | count, held, schema, block_docs)
 
-    # Tokens hold no blanks; one string for each text takes less room on the way than a list.
-    named = chunks.select(id, F.array_join(T.tokenize(F.col(text)), " ").alias("tokens"))
+    named = chunks.select(id, F.lower(text).alias("lowered"))
     kind = chunks.schema[id].dataType.simpleString()
     lists = ", ".join(f"{c} binary" for c in _LISTS)
     named.mapInArrow(shards, f"shard long, term string, block_docs int, df long, cf long, {lists}, ids array<{kind}>, lengths binary").write.mode("overwrite").parquet(f"{path}/rows")

@@ -8,7 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusmill.functions import splitting
+from corpusmill.functions import text as T
 from corpusmill.functions.rule_packs import EN
 from corpusmill.operators import lexical, postings, review
 from corpusmill.plans import search
@@ -138,3 +141,16 @@ def test_a_block_is_scored_once_for_many_queries(spark, monkeypatch, group, cell
     for (number, scores, _, _), (every, best, _, _) in zip(shard.best(asked, 12.0, 5, odd), shard.best(asked, 12.0, 1000), strict=True):
         inside = odd[every]
         assert np.array_equal(number, every[inside][:5]) and np.array_equal(scores, best[inside][:5])
+
+
+def test_tokens_of_a_shard_are_found_on_bytes(spark):
+    odd = "ab Z09-.é中文\u4e00\u9fff\u4dff\ua000\uf900\U00020000😀\n\x00K\u0130ÀſΣ"
+    texts = [None, "", "...", "a1b2中国3c", "\u4dffa", "\u9fff", "é"] + ["".join(odd[(i * i + 7 * j * (i % 5 + 1)) % len(odd)] for j in range(i % 40)) for i in range(600)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").coalesce(1)
+    rows = chunks.select(F.lower("text").alias("lowered"), T.tokenize(F.col("text")).alias("tokens")).toArrow()
+    lowered, want = rows.column(0).combine_chunks(), [x or [] for x in rows.column(1).to_pylist()]
+    assert postings._tokens(lowered).to_pylist() == want
+    assert postings._tokens(lowered.slice(5, 100)).to_pylist() == want[5:105]
+    assert postings._tokens(lowered.slice(0, 0)).to_pylist() == []
+    plain = {tuple(r) for r in lexical.build_postings(chunks).select("chunk_id", "term", "tf", "doc_length").collect()}
+    assert {tuple(r) for r in postings.build_block_postings(chunks, shard_tokens=700).rows().collect()} == plain
