@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from catalog import stores
+from corpusmill.plans.ingest import ingest
 from corpusmill.sources import files as fs
 from corpusmill.sources import index as ix
 from corpusmill.streaming.ingest import stream_ingest
@@ -95,3 +96,31 @@ def test_stream_ingest_has_two_chunks_of_every_document_as_its_sql(spark, tmp_pa
     expected = connection.sql(__spark_entry__.oracle_sql()["stream_ingest"]).fetchall()
     found = __spark_entry__.queries()["stream_ingest"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in found) == sorted(expected) == [(str(i), 2) for i in (0, 1, 11, 2, 3, 4)]
+
+
+@pytest.mark.parametrize("strategy", ["recursive", "paragraph"])
+def test_documents_without_an_id_are_kept_and_not_added_again(spark, tmp_path, strategy):
+    folder, path = str(tmp_path / "in"), str(tmp_path / "index")
+    schema = "doc_id long, text string, session_id string, source string, file_type string"
+    rows = [(None, "First.", "s0", "a.txt", ".txt"), (None, "Second.", "s0", "a.txt", ".txt"), (7, "Third.", "s0", "a.txt", ".txt")]
+    spark.createDataFrame(rows, schema).write.parquet(folder)
+    for delivery in ("first", "second"):
+        stream_ingest(documents_stream(spark, folder), path, str(tmp_path / delivery), strategy).awaitTermination()
+    found = ix.index_read(spark, path)
+    assert dict(found.dtypes)["doc_id"] == "bigint"
+    assert sorted((r.text, r.doc_id, r.document_id, r.chunk_index) for r in found.collect()) == [
+        ("First.", None, None, 0), ("Second.", None, None, 0), ("Third.", 7, "7", 0)
+    ]
+    assert found.select("chunk_id").distinct().count() == 3
+
+
+def test_an_index_without_document_keys_takes_new_documents(spark, tmp_path):
+    folder, path = str(tmp_path / "in"), str(tmp_path / "index")
+    schema = "doc_id long, text string, session_id string, source string, file_type string"
+    old = spark.createDataFrame([(1, "Old.", "s0", "a.txt", ".txt")], schema)
+    ingest(old, path)
+    old.union(spark.createDataFrame([(None, "New.", "s0", "a.txt", ".txt"), (2, "New too.", "s0", "a.txt", ".txt")], schema)).write.parquet(folder)
+    for delivery in ("first", "second"):
+        stream_ingest(documents_stream(spark, folder), path, str(tmp_path / delivery), "recursive").awaitTermination()
+    found = ix.index_read(spark, path).collect()
+    assert sorted((r.text, r.document_id) for r in found) == [("New too.", "2"), ("New.", None), ("Old.", "1")]
